@@ -8,12 +8,16 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, quality_rules, simhash
+from . import byte_bpe, language_id, media, mixing, quality_rules, simhash, token_files, url_filter
 
 _MODULES = {
+    "op1_token_files": token_files,
     "op3_simhash": simhash,
+    "op4_url_filter": url_filter,
+    "op5_media": media,
     "op6_mixing": mixing,
     "op7_language_id": language_id,
+    "op9_byte_bpe": byte_bpe,
     "op10_quality_rules": quality_rules,
 }
 
