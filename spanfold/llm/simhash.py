@@ -30,7 +30,6 @@ from .common import arrow_schema, read_table, shared_dir, small_batches, stored,
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SPLIT_AT = 2048
 MAX_ROUNDS = 60
-UPPER_TO_LOWER = None
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -184,8 +183,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     classes = stored(all_fps.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "classes")
     roots = components(links(classes.select("fp"), folder, radius, split_at), folder)
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", "root")
-    least = named.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    named = stored(named.join(least, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id")), folder, "named")
+    linked, alone = named.filter("root is not null"), named.filter("root is null").select("fp", F.col("least").alias("component_id"))
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stored(linked.select("fp", "root").join(least, "root").select("fp", "component_id").unionByName(alone), folder, "named")
     return all_fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
