@@ -8,15 +8,17 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, media, mixing, quality_rules, simhash, token_files, url_filter
+from . import byte_bpe, language_id, media, mixing, quality_rules, simhash, token_files, tree_weighting, url_filter, weak_quality
 
 _MODULES = {
     "op1_token_files": token_files,
+    "op2_weak_quality": weak_quality,
     "op3_simhash": simhash,
     "op4_url_filter": url_filter,
     "op5_media": media,
     "op6_mixing": mixing,
     "op7_language_id": language_id,
+    "op8_tree_weighting": tree_weighting,
     "op9_byte_bpe": byte_bpe,
     "op10_quality_rules": quality_rules,
 }

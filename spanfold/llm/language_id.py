@@ -195,6 +195,28 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), 4).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with their own columns, of which one language holds MIN_SHARE of the words at least.
+
+    Where no row names a language nothing can be learned, and a text needs a letter only.
+    """
+    model = Model.learn(training_rows(docs))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
+
+    def run(batches):
+        own = Model(*shared.value)
+        for batch in small_batches(batches, "text", 2 << 20):
+            texts = texts_of(batch)
+            names, scores = own.predict(texts)
+            if own.languages:
+                keep = [n != "und" and s >= MIN_SHARE for n, s in zip(names, scores)]
+            else:
+                keep = [bool(t and LETTER.search(t)) for t in texts]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, Model.learn(training_rows(docs)))
 

@@ -196,11 +196,33 @@ def calibrate(scored: DataFrame, labels: DataFrame | None, default: float = DEFA
     return float(np.argmax(caught - CLEAN_WEIGHT * lost) / 1000)
 
 
+def fitted(docs: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, Forest, float]:
+    """(scored statistics, forest, threshold)."""
+    stats = stored(rule_statistics(docs), shared_dir(docs.sparkSession, "rules"), "stats")
+    forest = fit_forest(stats)
+    scored = with_scores(stats, forest)
+    return scored, forest, calibrate(scored, labels)
+
+
+def accepted(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of docs that are kept, with their own columns; a second pass judges the texts, so that none is shuffled."""
+    _, forest, threshold = fitted(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast((forest, threshold))
+
+    def run(batches):
+        model, bound = shared.value
+        for batch in small_batches(batches, "text"):
+            stats = np.array([text_stats(t) for t in texts_of(batch)], float).reshape(-1, 5 + len(FEATURES))
+            failed = (stats[:, 0] < MIN_WORDS) | (stats[:, 4] * 100 > stats[:, 0] * REPEAT_PERCENT)
+            keep = ~failed & (model.score(beyond_ordinary(stats[:, 5:].astype(np.float32))) < bound)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """doc_id, the counts, base_failed, anomaly, threshold and kept for every row of docs."""
-    stats = stored(rule_statistics(docs), shared_dir(docs.sparkSession, "rules"), "stats")
-    scored = with_scores(stats, fit_forest(stats))
-    threshold = calibrate(scored, labels)
+    scored, _, threshold = fitted(docs, labels)
     counts = [c.split()[0] for c in COUNTS.split(", ")]
     return scored.select("doc_id", *counts, base_failed().alias("base_failed"), (~base_failed() & (F.col("anomaly") < threshold)).alias("kept"), "anomaly", F.lit(threshold).alias("threshold"))
 

@@ -189,6 +189,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return all_fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with their own columns, less all but one of each component: the smallest doc_id stays, null last.
+
+    Rows get a number of their own first, so repeated rows and null ids count as what they are.
+    """
+    folder, number = shared_dir(docs.sparkSession, "dedup"), "_row_number"
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), folder, "rows")
+    found = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text")).select(F.col("doc_id").alias(number), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(number).alias("row"))
+    kept = found.join(rows.select(number, "doc_id"), number).groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = stored(kept.select(F.col("first.row").alias(number)), folder, "kept")
+    return rows.join(kept, number, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
