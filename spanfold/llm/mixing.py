@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, arrow_schema, n_words, read_table, shared_dir, stored
 
-BLOCK, SHARD_SLOTS, MAX_SHARDS, BUCKET_ROWS, SEED = 64, 4096, 8192, 16384, 6
+BLOCK, SHARD_SLOTS, MAX_SHARDS, BUCKET_ROWS, SEED = 64, 4096, 8192, 2048, 6
 WEIGHTS, GROWTH, MOST_USES = (5, 2, 1), 1.5, 2
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
