@@ -1,14 +1,15 @@
 """Operator 9, byte-level BPE: Spark higher-order functions fold ranked merges over distinct words.
 
 A row of the plan is a chunk of documents (CHUNK_BYTES of text, or one longer document): its distinct words
-as byte arrays, and for each document the positions of its words among them. Each distinct word is folded
-once: its pieces start as single bytes, and every step merges the adjacent pair of lowest rank, leftmost
-first, looked up in a literal rank map (RANK_BUCKETS small maps behind an array, as Spark searches a map from
-its front). Documents then gather their words' ids inside the same row, so nothing is shuffled. Decoding
-joins the literal pieces of the ids.
+as arrays of byte ids, and for each document the positions of its words among them. Each distinct word is folded
+once: every step merges the adjacent pair of lowest rank, leftmost first. Ranks come from a literal map of
+pairs of ids (every way to cut a token into two tokens), in RANK_BUCKETS small maps behind an array, as Spark
+searches a map from its front. Documents then gather their words' ids inside the same row, so nothing is
+shuffled. Decoding joins the literal pieces of the ids.
 
-Words over FOLD_BYTES bytes would make the fold's cost quadratic; the same merges run for them on a heap in
-the Python step that cuts texts into words. Results do not depend on the limit.
+A word that is a token as a whole has that id, by definition. Words over FOLD_BYTES bytes would make the fold's
+cost quadratic; the same merges run for them on a heap in the Python step that cuts texts into words. Results do
+not depend on that limit.
 
 Defined cases: a null text counts as empty and has no ids; ids may be null; repeated rows are kept;
 an empty table gives an empty result; further columns are ignored.
@@ -19,7 +20,6 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, read_table, small_batches, texts_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK_BYTES, FOLD_BYTES, RANK_BUCKETS, NO_RANK = 6 << 20, 48, 1 << 14, 2**31 - 1
-CHUNK = "words array<binary>, ready array<array<int>>, docs array<struct<doc_id: bigint, at: array<int>>>"
+CHUNK_BYTES, FOLD_BYTES, RANK_BUCKETS, NO_RANK = 28 << 20, 48, 1 << 17, 2**31 - 1
+CHUNK = "words array<array<int>>, ready array<array<int>>, docs array<struct<doc_id: bigint, at: array<int>>>"
 #: White space after which a space may belong to a longer match than a cut at that space would give.
 OTHER_SPACE = tuple(f"{c} " for c in "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0                　")
 
@@ -115,6 +115,8 @@ def chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_bytes:
     schema = arrow_schema(CHUNK)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # as many entries as the vocabulary has
 
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
     def run(batches):
         cut = regex.compile(pattern)
         for batch in small_batches(batches, "text", chunk_bytes):
@@ -122,11 +124,15 @@ def chunks(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_bytes:
             for text in texts_of(batch):
                 chunk.add(text or "")
             words, at = chunk.finish()
-            ready = [merge_on_heap(w, shared.value) if len(w) > fold_bytes else None for w in words]
+            ranks = shared.value
+            ready = [[ranks[w]] if w in ranks else merge_on_heap(w, ranks) if len(w) > fold_bytes else None for w in words]
+            lengths = np.fromiter((0 if r else len(w) for w, r in zip(words, ready)), np.int64, len(words))
+            raw = np.frombuffer(b"".join(w for w, r in zip(words, ready) if not r), np.uint8)
+            folds = pa.ListArray.from_arrays(pa.array(np.append(0, lengths.cumsum()).astype(np.int32)), pa.array(byte_ids[raw]))
             offsets = np.append(0, np.cumsum([len(x) for x in at])).astype(np.int32)
             inner = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(at) if at else [], pa.int32()))
             rows = pa.StructArray.from_arrays([batch.column(0), inner], fields=list(schema.field("docs").type.value_type))
-            columns = [pa.array([words], schema.field("words").type), pa.array([ready], schema.field("ready").type), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows, type=schema.field("docs").type)]
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), folds, type=schema.field("words").type), pa.array([ready], schema.field("ready").type), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows, type=schema.field("docs").type)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, CHUNK)
@@ -138,49 +144,50 @@ def bound(value: Column, use) -> Column:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal: array of RANK_BUCKETS maps from a piece's hexadecimal digits to its rank, dealt by crc32."""
-    table: list[dict] = [{} for _ in range(RANK_BUCKETS)]
-    for piece, rank in ranks.items():
-        table[zlib.crc32(piece) % RANK_BUCKETS][piece.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>")
-
-
-def rank_of(table: Column, piece: Column) -> Column:
-    return F.coalesce(F.try_element_at(table[(F.crc32(piece) % RANK_BUCKETS).cast("int")], F.hex(piece)), F.lit(NO_RANK))
-
-
-def fold_word(table: Column, word: Column) -> Column:
-    """array<int> of the ids of one word."""
-    size = F.length(word)
-    single = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, 1))
-    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank_of(table, F.substring(word, i, 2)))
-    start = F.struct(single.alias("p"), pairs.alias("r"))
-
-    def merged(acc, pos):
-        p, r = acc["p"], acc["r"]
+    """The literal: array of RANK_BUCKETS maps from a pair of ids, as one number, to the rank of the token they make."""
+    table: list[list] = [[] for _ in range(RANK_BUCKETS)]
+    width = max(ranks.values()) + 1
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            a, b = ranks.get(token[:i]), ranks.get(token[i:])
+            if a is not None and b is not None:
+                key = a * width + b
+                table[key % RANK_BUCKETS].append({"k": key, "v": rank})
+    rows = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<array<struct<k:bigint,v:int>>>")
+    return F.transform(rows, F.map_from_entries)
+
+
+def rank_of(table: Column, width: int, a: Column, b: Column) -> Column:
+    """Rank of the token that two ids make side by side, NO_RANK if none."""
+    key = a.cast("long") * F.lit(width).cast("long") + b
+    return F.coalesce(F.try_element_at(table[(key % RANK_BUCKETS).cast("int")], key), F.lit(NO_RANK))
+
+
+def fold_word(table: Column, width: int, word: Column) -> Column:
+    """array<int> of the ids of one word, from the ids of its bytes."""
+    size = F.size(word)
+    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), size - 2), lambda i: rank_of(table, width, word[i], word[i + 1]))).otherwise(F.slice(word, 1, 0))
+    start = F.struct(word.alias("p"), pairs.alias("r"))
+
+    def merged(p, r, low, pos):
         count = F.size(p)
-
-        def put(x):
-            new_p = F.concat(F.slice(p, 1, pos - 1), F.array(x), F.slice(p, pos + 2, F.greatest(count - pos - 1, F.lit(0))))
-            left = F.when(pos > 1, F.concat(F.slice(r, 1, F.greatest(pos - 2, F.lit(0))), F.array(rank_of(table, F.concat(F.try_element_at(p, pos - 1), x))))).otherwise(F.slice(r, 1, 0))
-            right = F.when(pos + 1 < count, F.concat(F.array(rank_of(table, F.concat(x, F.try_element_at(p, pos + 2)))), F.slice(r, pos + 2, F.greatest(count - pos - 2, F.lit(0))))).otherwise(F.slice(r, 1, 0))
-            return F.struct(new_p.alias("p"), F.concat(left, right).alias("r"))
-
-        return bound(F.concat(F.element_at(p, pos), F.element_at(p, pos + 1)), put)
+        new_p = F.concat(F.slice(p, 1, pos - 1), F.array(low), F.slice(p, pos + 2, F.greatest(count - pos - 1, F.lit(0))))
+        left = F.when(pos > 1, F.concat(F.slice(r, 1, F.greatest(pos - 2, F.lit(0))), F.array(rank_of(table, width, F.try_element_at(p, pos - 1), low)))).otherwise(F.slice(r, 1, 0))
+        right = F.when(pos + 1 < count, F.concat(F.array(rank_of(table, width, low, F.try_element_at(p, pos + 2))), F.slice(r, pos + 2, F.greatest(count - pos - 2, F.lit(0))))).otherwise(F.slice(r, 1, 0))
+        return F.struct(new_p.alias("p"), F.concat(left, right).alias("r"))
 
     def step(acc, _):
         lowest = F.coalesce(F.array_min(acc["r"]), F.lit(NO_RANK))
-        return bound(lowest, lambda low: F.when(low == NO_RANK, acc).otherwise(bound(F.array_position(acc["r"], low).cast("int"), lambda pos: merged(acc, pos))))
+        return bound(lowest, lambda low: F.when(low == NO_RANK, acc).otherwise(bound(F.array_position(acc["r"], low).cast("int"), lambda pos: merged(acc["p"], acc["r"], low, pos))))
 
-    folded = F.aggregate(F.sequence(F.lit(2), size), start, step, lambda acc: F.transform(acc["p"], lambda x: rank_of(table, x)))
-    whole = rank_of(table, word)
-    return bound(whole, lambda w: F.when(w != NO_RANK, F.array(w)).otherwise(folded))
+    return F.when(size > 1, F.aggregate(F.slice(word, 2, size - 1), start, step, lambda acc: acc["p"])).otherwise(word)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_bytes: int = CHUNK_BYTES, fold_bytes: int = FOLD_BYTES) -> DataFrame:
     """doc_id and ids (array<int>) of every row of docs."""
     rows = chunks(docs, ranks, pattern, chunk_bytes, fold_bytes)
-    folded = bound(rank_map(ranks), lambda table: F.zip_with("words", "ready", lambda w, r: F.coalesce(r, fold_word(table, w))))
+    width = max(ranks.values()) + 1
+    folded = bound(rank_map(ranks), lambda table: F.zip_with("words", "ready", lambda w, r: F.coalesce(r, fold_word(table, width, w))))
     whole = bound(folded, lambda ids: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["at"], lambda i: ids[i])).alias("ids"))))
     return rows.select(F.inline(whole))
 
