@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, read_table, small_batches, texts_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK_BYTES, FOLD_BYTES, RANK_BUCKETS, NO_RANK = 28 << 20, 48, 1 << 17, 2**31 - 1
+CHUNK_BYTES, FOLD_BYTES, RANK_BUCKETS, NO_RANK = 28 << 20, 48, 1 << 17, 2**17 - 1
 CHUNK = "words array<array<int>>, ready array<array<int>>, docs array<struct<doc_id: bigint, at: array<int>>>"
 #: White space after which a space may belong to a longer match than a cut at that space would give.
 OTHER_SPACE = tuple(f"{c} " for c in "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0                　")
@@ -163,30 +163,45 @@ def rank_of(table: Column, width: int, a: Column, b: Column) -> Column:
     return F.coalesce(F.try_element_at(table[(key % RANK_BUCKETS).cast("int")], key), F.lit(NO_RANK))
 
 
+def packed(rank: Column, place: Column, token: Column) -> Column:
+    """One long of a piece: the rank of its merge with the next piece, where it starts, its id."""
+    return F.call_function("shiftleft", rank.cast("long"), F.lit(30)) + F.call_function("shiftleft", place.cast("long"), F.lit(17)) + token
+
+
+def id_in(piece: Column) -> Column:
+    return piece.bitwiseAND(F.lit((1 << 17) - 1))
+
+
 def fold_word(table: Column, width: int, word: Column) -> Column:
-    """array<int> of the ids of one word, from the ids of its bytes."""
-    size = F.size(word)
-    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(0), size - 2), lambda i: rank_of(table, width, word[i], word[i + 1]))).otherwise(F.slice(word, 1, 0))
-    start = F.struct(word.alias("p"), pairs.alias("r"))
-
-    def merged(p, r, low, pos):
-        count = F.size(p)
-        new_p = F.concat(F.slice(p, 1, pos - 1), F.array(low), F.slice(p, pos + 2, F.greatest(count - pos - 1, F.lit(0))))
-        left = F.when(pos > 1, F.concat(F.slice(r, 1, F.greatest(pos - 2, F.lit(0))), F.array(rank_of(table, width, F.try_element_at(p, pos - 1), low)))).otherwise(F.slice(r, 1, 0))
-        right = F.when(pos + 1 < count, F.concat(F.array(rank_of(table, width, low, F.try_element_at(p, pos + 2))), F.slice(r, pos + 2, F.greatest(count - pos - 2, F.lit(0))))).otherwise(F.slice(r, 1, 0))
-        return F.struct(new_p.alias("p"), F.concat(left, right).alias("r"))
+    """array<int> of the ids of one word, from the ids of its bytes.
+
+    The state is an array of packed pieces, so its minimum is the leftmost merge of lowest rank.
+    """
+    start = F.transform(word, lambda x, i: packed(rank_of(table, width, x, F.get(word, i + 1)), i, x))
+
+    def merged(acc, lowest, place):
+        token = F.shiftright(lowest, 30)
+
+        def piece(x, i):
+            joined = packed(rank_of(table, width, token, id_in(F.get(acc, place + 1))), F.shiftright(lowest, 17).bitwiseAND(F.lit(8191)), token)
+            before = packed(rank_of(table, width, id_in(x), token), F.shiftright(x, 17).bitwiseAND(F.lit(8191)), id_in(x))
+            return F.when(i == place - 1, joined).when(i == place, F.lit(-1).cast("long")).when(i == place - 2, before).otherwise(x)
+
+        return F.array_remove(F.transform(acc, piece), F.lit(-1).cast("long"))
 
     def step(acc, _):
-        lowest = F.coalesce(F.array_min(acc["r"]), F.lit(NO_RANK))
-        return bound(lowest, lambda low: F.when(low == NO_RANK, acc).otherwise(bound(F.array_position(acc["r"], low).cast("int"), lambda pos: merged(acc["p"], acc["r"], low, pos))))
+        return bound(F.array_min(acc), lambda low: F.when(low >= NO_RANK << 30, acc).otherwise(bound(F.array_position(acc, low).cast("int"), lambda place: merged(acc, low, place))))
 
-    return F.when(size > 1, F.aggregate(F.slice(word, 2, size - 1), start, step, lambda acc: acc["p"])).otherwise(word)
+    folded = F.aggregate(F.slice(word, 2, F.greatest(F.size(word) - 1, F.lit(0))), start, step)
+    return F.transform(folded, lambda x: id_in(x).cast("int"))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_bytes: int = CHUNK_BYTES, fold_bytes: int = FOLD_BYTES) -> DataFrame:
     """doc_id and ids (array<int>) of every row of docs."""
     rows = chunks(docs, ranks, pattern, chunk_bytes, fold_bytes)
     width = max(ranks.values()) + 1
+    if width >= NO_RANK or fold_bytes > 8191:
+        raise ValueError("ids and places must fit a packed piece")
     folded = bound(rank_map(ranks), lambda table: F.zip_with("words", "ready", lambda w, r: F.coalesce(r, fold_word(table, width, w))))
     whole = bound(folded, lambda ids: F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), F.flatten(F.transform(d["at"], lambda i: ids[i])).alias("ids"))))
     return rows.select(F.inline(whole))
