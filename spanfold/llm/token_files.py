@@ -178,53 +178,60 @@ def read_file(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return index[:, 0], index[:, 1], ids
 
 
-class WordEncoder:
-    """Encodes texts word by word with a tokenizers file, and remembers words.
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable in Latin-1, else the next from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
+
+
+class Words(dict):
+    """Ids of words, as bytes of unsigned 32-bit integers; looked up or else found and remembered.
 
     Exact for tokenizers that drop white space and never look across it, as this vocabulary's does: its
-    pre-tokenizer keeps no white space and its normalizer changes nothing across a space. Words of ASCII letters,
-    digits and signs take the model's merges at once; all others go through the library's whole encoding.
+    pre-tokenizer keeps no white space and its normalizer changes nothing across a space. Words of printable ASCII
+    and the letters of Latin-1, which the normalizer only puts in lower case, take the model's merges at once; all
+    others, and those that may hold a special token, go through the library's whole encoding.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.most, self.known = self.tokenizer.model, cache_words, {}
-        self.cut = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[!-/:-@\[-`{-~]+").findall
+        self.merge = self.tokenizer.model.tokenize
+        self.plain = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+        self.cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+").findall
+        self.letters = {chr(b): letter for b, letter in enumerate(byte_letters())}
+        self.letters = str.maketrans(self.letters)
         self.parts: dict = {}
 
-    def learn(self, words: list[str]) -> None:
-        """Adds ids (as bytes of unsigned 32-bit integers) of words not seen before."""
-        if len(self.known) > self.most:
-            self.known, self.parts = {}, {}
-        strange = []
-        for w in words:
-            if w.isascii() and w.isprintable() and "<|" not in w:  # a special token's text
-                ids = b""
-                for part in self.cut(w.lower()):
-                    found = self.parts.get(part)
-                    if found is None:
-                        found = self.parts[part] = np.array([t.id for t in self.model.tokenize(part)], "<u4").tobytes()
-                    ids += found
-                self.known[w] = ids
-            else:
-                strange.append(w)
-        for at in range(0, len(strange), 4096):
-            some = strange[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+    def __missing__(self, word: str) -> bytes:
+        if self.plain(word) and "<|" not in word:
+            out = b""
+            for part in self.cut(word.lower()):
+                ids = self.parts.get(part)
+                if ids is None:
+                    raw = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                    ids = self.parts[part] = np.array([t.id for t in self.merge(raw)], "<u4").tobytes()
+                out += ids
+        else:
+            out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = out
+        return out
+
+
+class WordEncoder:
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.known, self.most = Words(path), cache_words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parts).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = set().union(*parts)
-        self.learn(list(new))
+        if len(self.known) > self.most:
+            self.known.clear()
+            self.known.parts.clear()
         look = self.known.__getitem__
-        return [b"".join(map(look, p)) for p in parts]
+        return [b"".join(map(look, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 _ENCODERS: dict = {}
