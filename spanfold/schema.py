@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql.types import StructType
 
 EVENT_DDL = """
@@ -18,7 +20,14 @@ span struct<name:string,representative_count:double,destination_service:struct<r
 labels map<string,struct<value:string,values:array<string>,global:boolean>>,
 numeric_labels map<string,struct<value:double,values:array<double>,global:boolean>>
 """
-EVENT = StructType.fromDDL(EVENT_DDL)
+
+
+@cache
+def event_schema() -> StructType:
+    """The schema as Spark parses it, which needs a session."""
+    return StructType.fromDDL(EVENT_DDL)
+
+
 
 #: The combined key: interval, processing-time bucket, tenant, partition.
 COMBINED = ("interval_s", "processing_time", "cm_id", "partition_id")

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..schema import EVENT
+from ..schema import event_schema
 
 
 def events_json(spark: SparkSession, path: str) -> DataFrame:
     """Events as JSON lines, in the event schema (never inferred)."""
-    return spark.read.schema(EVENT).json(path)
+    return spark.read.schema(event_schema()).json(path)
 
 
 def events_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -19,12 +19,12 @@ def events_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def events_stream(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
-    return spark.readStream.schema(EVENT).format(kind).load(path)
+    return spark.readStream.schema(event_schema()).format(kind).load(path)
 
 
-def conform(events: DataFrame, schema: StructType = EVENT) -> DataFrame:
+def conform(events: DataFrame, schema: StructType | None = None) -> DataFrame:
     """Any subset of the event schema's top-level columns, the absent ones null."""
-    have = dict(events.dtypes)
+    have, schema = dict(events.dtypes), schema or event_schema()
     return events.select(*[F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
 
 
