@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import COMBINED, GROUP, HISTOGRAM, SERVICE, SUMS
+from ..config import Limits
+from ..schema import COMBINED, GROUP, HISTOGRAM, SERVICE, SUMS, event_schema
 from .metricsets import BRANCHES, fanned_out, presences
 
 OVERFLOW = (*COMBINED, *SERVICE)
@@ -46,8 +47,13 @@ class Partials:
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str, overflowed: bool = False) -> Partials:
-        def read(name):
-            return spark.read.parquet(f"{folder}/{name}").withColumn("processing_time", F.col("processing_time").cast("timestamp"))
+        from .limits import admit  # which needs this module
+
+        none = aggregate(spark.createDataFrame([], event_schema()), [1])
+        kinds = {k: t.schema for k, t in (admit(none, Limits.same(0)) if overflowed else none).tables().items()}
+
+        def read(name):  # a table without rows has no files to tell its schema
+            return spark.read.schema(kinds[name]).parquet(f"{folder}/{name}")
 
         groups = {m: read(f"groups_{m}") for m in GROUP}
         if not overflowed:

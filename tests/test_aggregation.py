@@ -49,9 +49,9 @@ def test_success_case(spark):
     assert set(out) == {"transaction", "service_transaction", "service_summary"}
     t = out["transaction"]
     assert t.metricset.doc_count == 1 and t.metricset.interval == "1s" and t.transaction.root
-    assert (t.transaction.duration_summary.count, t.transaction.duration_summary.sum) == (1, 100351)
+    assert (t.transaction.duration_summary["count"], t.transaction.duration_summary.sum) == (1, 100351)
     assert (t.transaction.duration_histogram["values"], t.transaction.duration_histogram.counts) == ([100351], [1])
-    assert (t.event.success_count.count, t.event.success_count.sum, t.event.outcome) == (1, 1, "success")
+    assert (t.event.success_count["count"], t.event.success_count.sum, t.event.outcome) == (1, 1, "success")
     assert set(t.labels) == {"a"} and set(t.numeric_labels) == {"n"} and t.host is None and t.cloud is None
     assert out["service_transaction"].event.outcome is None and out["service_summary"].metricset.doc_count is None
 
