@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .config import UNLIMITED, AggConfig, Limits
 from .operators import limits as limiting
-from .operators.partials import aggregate, merge
+from .operators.partials import Partials, aggregate, merge
 from .plans.aggregator import aggregate_documents, harvest_range, is_aligned, not_expired
 from .plans.documents import documents
 from .sources import adapters
+from .sources.work import work_dir
 from .telemetry import overflow_counts
 
 PLENTY = UNLIMITED
@@ -301,10 +302,13 @@ def q23(spark, d):
 
 def q24(spark, d):
     """Two halves limited apart, then merged under the same limits; events are neither lost nor doubled."""
-    limits, exact = limited(max_transaction_groups_per_service=2), limiting.Distinct(True)
-    halves = [limiting.admit(aggregate(txn(spark, d).filter(F.col("seq") % 2 == i), [HOUR]), limits, exact) for i in range(2)]
+    limits, exact, folder = limited(max_transaction_groups_per_service=2), limiting.Distinct(True), work_dir(spark, "halves")
+    halves = []
+    for i in range(2):  # each half as another cluster would leave it
+        limiting.admit(aggregate(txn(spark, d).filter(F.col("seq") % 2 == i), [HOUR]), limits, exact).save(f"{folder}/{i}")
+        halves.append(Partials.load(spark, f"{folder}/{i}", overflowed=True, distinct=exact))
     rows = documents(limiting.admit(merge(halves), limits, exact), [HOUR], exact).filter("metricset_name = 'transaction'")
-    return rows.groupBy("cm_id", F.expr(stamp("svc_timestamp")), "svc_name").agg(F.sum(F.when(F.col("overflow_count").isNull(), 1).otherwise(0)).alias("groups")).filter("groups > 0")
+    return rows.groupBy("cm_id", "svc_name").agg(F.count_if(F.col("overflow_count").isNull()).alias("groups"), F.count_if(F.col("overflow_count").isNotNull()).alias("overflows"), F.sum("metricset_doc_count").alias("events"))
 
 
 NOW = datetime(2024, 6, 1, 2, 0, 0)

@@ -46,11 +46,11 @@ class Partials:
             table.write.mode(mode).partitionBy("interval_s", "processing_time").parquet(f"{folder}/{name}")
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str, overflowed: bool = False) -> Partials:
-        from .limits import admit  # which needs this module
+    def load(cls, spark: SparkSession, folder: str, overflowed: bool = False, distinct=None) -> Partials:
+        from .limits import Distinct, admit  # which needs this module
 
         none = aggregate(spark.createDataFrame([], event_schema()), [1])
-        kinds = {k: t.schema for k, t in (admit(none, Limits.same(0)) if overflowed else none).tables().items()}
+        kinds = {k: t.schema for k, t in (admit(none, Limits.same(0), distinct or Distinct()) if overflowed else none).tables().items()}
 
         def read(name):  # a table without rows has no files to tell its schema
             return spark.read.schema(kinds[name]).parquet(f"{folder}/{name}")

@@ -9,7 +9,6 @@ State holds exact groups, so it is not bounded by the limits; RocksDB keeps it o
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -22,6 +21,7 @@ from ..functions.time import window_start
 from ..operators.metricsets import BRANCHES, fanned_out, presences
 from ..operators.partials import Partials
 from ..plans.aggregator import limited, partials_to_documents
+from ..sources.work import work_dir
 from ..schema import COMBINED, GROUP, HISTOGRAM, SERVICE, SPAN, SUMS, TRANSACTION
 
 _KEYS = {c: "string" for c in (*TRANSACTION, *SPAN)} | {"trace_root": "boolean", "faas_cold_start": "boolean"}
@@ -84,8 +84,7 @@ def start(events: DataFrame, config: AggConfig, checkpoint: str, sink: Callable[
 
 def stream_to_documents(spark: SparkSession, events: DataFrame, config: AggConfig) -> DataFrame:
     """Streams a finite table through: written as files, read as a stream, closed by one late row, documents read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spanfold-stream-')}"
-    folder = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{id(events)}"
+    folder = work_dir(spark, "stream")
     events.write.mode("overwrite").parquet(f"{folder}/events")
     last = events.agg(F.max("processing_time").alias("t")).select(F.lit(-1).cast("long").alias("seq"), F.lit("tick").alias("cm_id"), (F.col("t") + F.expr("interval 2 days")).alias("processing_time"), F.lit("tick").alias("event_type"))
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema if f.name not in last.columns]
