@@ -355,13 +355,6 @@ def q29(spark, d):
     return overflow_counts(cut, exact).filter("aggregation_type <> 'service_destination'")
 
 
-def q30(spark, d):
-    """The streaming form over all events: windows that the end of the input closes."""
-    from .streaming.windows import stream_to_documents
-
-    return stream_to_documents(spark, txn(spark, d), config(FREE, HOUR)).filter("metricset_name = 'service_transaction'").selectExpr(*SVC_TXN_OUT)
-
-
 Q17 = {"max_services": 60}
 Q18 = {"max_transaction_groups_per_service": 2}
 Q19 = {"max_transaction_groups": 500}
@@ -397,7 +390,6 @@ QUERIES = {
     "q27_partitions": q27,
     "q28_totals": q28,
     "q29_overflow_counts": q29,
-    "q30_streaming": q30,
 }
 
 _SVC_TXN = svc_txn_sql(b_sql())
@@ -438,7 +430,6 @@ ORACLE_SQL = {
     "q25_lookback": _shift_sql(f"select strftime({_floor(3600)}, '%Y-%m-%d %H:%M:%S') as bucket, cm_id, cast(count(*) as double) as events_total from y where {_floor(3600)} >= timestamp '2024-06-01 01:00:00' group by 1, 2"),
     "q27_partitions": _SVC_TXN,
     "q28_totals": "with " + b_sql() + " select 3600 as interval_s, cm_id, cast(count(*) as double) as events_total, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as youngest from b group by cm_id",
-    "q30_streaming": _SVC_TXN,
 }
 
 

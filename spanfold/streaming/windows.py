@@ -27,6 +27,8 @@ from ..schema import COMBINED, GROUP, HISTOGRAM, SERVICE, SPAN, SUMS, TRANSACTIO
 _KEYS = {c: "string" for c in (*TRANSACTION, *SPAN)} | {"trace_root": "boolean", "faas_cold_start": "boolean"}
 _VALUES = {"bucket": "int", "scaled": "bigint", "success": "double", "failure": "double", "count": "double", "total": "double", "seq": "bigint", "pos": "int", "received": "timestamp"}
 PRESENCE = "presence"
+#: Arrival order as one number keeps the state fixed in width: seq x ORDER + pos, pos being below 128.
+ORDER = 256
 
 
 def observations(events: DataFrame, interval_s: int, config: AggConfig) -> DataFrame:
@@ -49,12 +51,14 @@ def windowed(events: DataFrame, interval_s: int, config: AggConfig) -> DataFrame
     interval = next(i for i in config.intervals if int(i.total_seconds()) == interval_s)
     rows = observations(events, interval_s, config).withWatermark("processing_time", f"{int(config.harvest_delay.total_seconds())} seconds")
     window = F.window("processing_time", f"{interval_s} seconds", None, window_start(interval)).alias("w")
-    out = rows.groupBy(window, "metricset", *[c for c in COMBINED if c != "processing_time"], *SERVICE, *_KEYS, "bucket").agg(F.sum("scaled").alias("scaled"), *[F.sum(c).alias(c) for c in ("success", "failure", "count", "total")], F.min(F.struct("seq", "pos")).alias("first"), F.count("*").alias("events"), F.max("received").alias("youngest"))
+    out = rows.groupBy(window, "metricset", *[c for c in COMBINED if c != "processing_time"], *SERVICE, *_KEYS, "bucket").agg(F.sum("scaled").alias("scaled"), *[F.sum(c).alias(c) for c in ("success", "failure", "count", "total")], F.min(F.col("seq") * ORDER + F.col("pos")).alias("arrival"), F.count("*").alias("events"), F.max("received").alias("youngest"))
     return out.withColumn("processing_time", F.col("w.start")).drop("w")
 
 
 def partials_of(rows: DataFrame) -> Partials:
     """The partials of closed windows' rows (one partition id a row, so an event's presence counts once)."""
+    first = F.struct(F.expr(f"arrival div {ORDER}").alias("seq"), (F.col("arrival") % ORDER).cast("int").alias("pos"))
+    rows = rows.withColumn("first", first)
     groups = {}
     for m in GROUP:
         hist = ["bucket", "scaled"] if m in HISTOGRAM else []
@@ -71,10 +75,14 @@ def start(events: DataFrame, config: AggConfig, checkpoint: str, sink: Callable[
         raise ValueError("streams take one partition; the shuffle divides the work")
 
     def finish(interval_s: int):
-        def run(batch: DataFrame, _: int) -> None:
-            if batch.isEmpty():
+        def run(batch: DataFrame, number: int) -> None:
+            # Stored first: the plans below read the rows several times, and state should be read once.
+            to = f"{checkpoint}/closed/{interval_s}/{number}"
+            batch.write.mode("overwrite").parquet(to)
+            rows = batch.sparkSession.read.schema(batch.schema).parquet(to)
+            if rows.isEmpty():
                 return
-            cut = limited(partials_of(batch), config)
+            cut = limited(partials_of(rows), config)
             sink(partials_to_documents(cut, config), interval_s)
 
         return run
