@@ -1,16 +1,20 @@
 """Operator 8, language-model scoring by context-tree weighting over bytes.
 
 The text scored is the sequence of its tokens: each word (A-Z in lower case) and a space, then an end symbol. A byte is
-eight binary decisions; the context of a decision is the bits already known of its byte and up to DEPTH bytes before it,
-back to the word's start. Every node (context, bits known) holds counts of zeros and ones; its Krichevsky-Trofimov block
-probability Pe and the product of its children's weighted probabilities mix as Pw = (Pe + product) / 2. A score walks from
-the root to the deepest context seen in training: at each node the estimate (n1 + 1/2) / (n + 1) weighs Pe / (Pe + product),
-what is deeper weighs the rest; a context not seen takes over its parent's value, so every distribution sums to one.
+eight binary decisions; the context of a decision is the bits already known of its byte and the DEPTH bytes before it in the
+text, spaces and earlier words included; only before the text's start there is padding. Every node (context, bits known) holds
+counts of zeros and ones; its Krichevsky-Trofimov block probability Pe and the product of its children's weighted probabilities
+mix as Pw = (Pe + product) / 2. A score walks from the root to the deepest context seen in training: at each node the estimate
+(n1 + 1/2) / (n + 1) weighs Pe / (Pe + product), what is deeper weighs the rest; a context not seen takes over its parent's
+value, so every distribution sums to one.
 
-As contexts end at the word's start, a word's probability depends on the word alone: training counts and scores run over
-distinct words, whose statistics cover the whole corpus and grow with it. A chunk of documents (CHUNK_BYTES of text, or one
-longer document) is stored as its distinct words and each document as positions among them. Chunks ask for their words by a
-join on the word and get the answers back by their number; nothing is broadcast and no task holds more than a chunk.
+A chunk of documents (CHUNK_BYTES of text, or one longer document) is stored as its distinct words and each document as
+positions among them. A gram is DEPTH bytes and the symbol after them. A chunk counts its texts' grams and sends its distinct
+ones, packed, to BUCKETS buckets, which add the counts up; the tree is made of distinct grams. The buckets answer each chunk's
+own grams with their probabilities, and the chunk adds these up along its texts. The base model gets its words by a join.
+Nothing is broadcast and no task holds more than a chunk or a bucket's distinct grams.
+
+`score` without across_words starts every context anew at the word's start, as tests of the tree need it; the query does not.
 
 Defined cases: a null or empty text is the end symbol alone; null ids (they count as the empty text when rows are held out)
 and repeated rows are kept; without training rows every bit has probability 1/2 and every base term is log10(1); an empty
@@ -35,6 +39,8 @@ DEPTH, SPLIT, CHUNK_BYTES, LOT_BYTES, BRANCH_GRAMS, START, END = 6, 3, 20 << 20,
 #: `head` holds the documents of a chunk: rows that meet many others must not carry arrays, whose sizes Spark takes anew for each row it hands to Python.
 CHUNK = "chunk long, words array<binary>, trained array<long>, ends long, head binary"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+#: Positions whose grams a task holds at once; buckets of grams; place of a bucket's answer among those to a chunk.
+PIECE_BYTES, BUCKETS, FAR = 4 << 20, 1021, 1 << 40
 END_GRAM = int.from_bytes(bytes([START] * DEPTH + [END]), "big")
 
 
@@ -372,7 +378,187 @@ def answered(stored_chunks: DataFrame, words: DataFrame, totals: dict) -> DataFr
     return rows.mapInArrow(run, RESULT)
 
 
-def score(docs: DataFrame) -> DataFrame:
+ASKED = "bucket int, chunk long, asked binary"
+
+
+def streams(words: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, end of each): of a text DEPTH times START, its words, each with a space, and END."""
+    pad, end, spaced, out, at = bytes([START] * DEPTH), bytes([END]), [w + b" " for w in words], [], 0
+    for n in sizes.tolist():
+        out += [pad, *map(spaced.__getitem__, flat[at : at + n].tolist()), end]
+        at += n
+    owner, k = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
+    lengths = np.bincount(owner, np.fromiter(map(len, spaced), float, len(spaced))[flat], k) + DEPTH + 1
+    return np.frombuffer(b"".join(out), np.uint8), lengths.astype(np.int64).cumsum()
+
+
+def text_grams(raw: np.ndarray, ends: np.ndarray):
+    """(distinct grams, gram's place among them at each symbol, text of each symbol) of pieces of the streams."""
+    starts = np.append(0, ends[:-1])
+    for lo in range(DEPTH, len(raw), PIECE_BYTES):
+        hi = min(len(raw), lo + PIECE_BYTES)
+        owner = np.repeat(np.arange(len(ends)), np.clip(ends, lo, hi) - np.clip(starts, lo, hi))
+        code = np.zeros(hi - lo, np.int64)
+        for j in range(DEPTH + 1):
+            code = (code << 8) | raw[lo - DEPTH + j : hi - DEPTH + j]
+        real = np.arange(lo, hi) - starts[owner] >= DEPTH
+        coded = pa.array(code[real]).dictionary_encode()
+        yield coded.dictionary.to_numpy(), coded.indices.to_numpy(), owner[real]
+
+
+def added(grams: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and the sum of n of each."""
+    grams, n = np.concatenate(grams), np.concatenate(n)
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+    return grams[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def asked_grams(stored_chunks: DataFrame) -> DataFrame:
+    """ASKED: the distinct grams of each chunk by bucket, in order (as differences), and how often training texts have them."""
+    schema = arrow_schema(ASKED)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, held, sizes, _, flat = unpacked(batch.column(2)[i].as_py())
+                raw, ends = streams(batch.column(1)[i].as_py(), sizes, flat)
+                teaches, found = ~np.array(held, bool), []
+                for grams, place, owner in text_grams(raw, ends):
+                    found.append((grams, np.bincount(place[teaches[owner]], minlength=len(grams))))
+                grams, n = added(*zip(*found))
+                bucket = (grams >> 16) % BUCKETS
+                order = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+                rows = [(b, packed((np.diff(grams[o], prepend=0), n[o]))) for b in range(BUCKETS) if len(o := order[edges[b] : edges[b + 1]])]
+                columns = [[b for b, _ in rows], [batch.column(0)[i].as_py()] * len(rows), [x for _, x in rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
+
+    return stored_chunks.select("chunk", "words", "head").mapInArrow(run, ASKED)
+
+
+def added_grams(asked: DataFrame) -> DataFrame:
+    """(gram, n) over all chunks; grams of other texts have n = 0, so that their nodes exist."""
+    ddl = "gram long, n long"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        bucket, grams, n, waiting = None, [], [], 0
+
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in added(grams, n)], schema=schema)
+
+        for batch in batches:
+            for own, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if own != bucket:
+                    if grams:
+                        yield emit()
+                    bucket, grams, n, waiting = own, [], [], 0
+                steps, counts = unpacked(blob.as_py())
+                grams.append(steps.cumsum())
+                n.append(counts)
+                waiting += len(steps)
+                if waiting > max(PIECE_BYTES, 2 * len(grams[0])):
+                    grams, n = ([x] for x in added(grams, n))
+                    waiting = len(grams[0])
+        if grams:
+            yield emit()
+
+    return asked.select("bucket", "asked").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
+
+
+def told_grams(asked: DataFrame, scored: DataFrame) -> DataFrame:
+    """(chunk, place, told): what each chunk asked of a bucket, with the grams' log10 probabilities."""
+    ddl = "chunk long, place long, told binary"
+    schema = arrow_schema(ddl)
+    known = scored.select((F.shiftright("gram", 16) % BUCKETS).cast("int").alias("bucket"), F.lit(-1).cast("long").alias("chunk"), "gram", "lp", F.lit(None).cast("binary").alias("asked"))
+    rows = known.unionByName(asked.select("bucket", "chunk", F.lit(0).cast("long").alias("gram"), F.lit(0.0).alias("lp"), "asked"))
+
+    def run(batches):
+        bucket, parts, table = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            buckets, chunk, gram, lp = (batch.column(i).to_numpy() for i in range(4))
+            edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if buckets[lo] != bucket:
+                    bucket, parts, table = buckets[lo], [], None
+                cut = lo + int(np.searchsorted(chunk[lo:hi], 0))  # sorted: what is known comes first
+                if cut > lo:
+                    parts.append((gram[lo:cut].copy(), lp[lo:cut].copy()))
+                if cut < hi and table is None:
+                    table, parts = tuple(map(np.concatenate, zip(*parts))), []
+                out = []
+                for i in range(cut, hi):
+                    grams = unpacked(batch.column(4)[i].as_py())[0].cumsum()
+                    out.append(packed((np.diff(grams, prepend=0), table[1][np.searchsorted(table[0], grams)])))
+                if out:
+                    columns = [chunk[cut:hi], np.full(hi - cut, FAR + int(bucket)), out]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
+
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "chunk", "gram")
+    return rows.select("bucket", "chunk", "gram", "lp", "asked").mapInArrow(run, ddl)
+
+
+def answered_texts(stored_chunks: DataFrame, vocab: DataFrame, told: DataFrame, totals: dict) -> DataFrame:
+    """RESULT for every document of the chunks, from the counts of its words and the answers to its grams."""
+    asked = stored_chunks.select("chunk", F.posexplode("words").alias("place", "word"))
+    none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
+    rows = asked.join(vocab, "word").select("chunk", F.col("place").cast("long").alias("place"), "c", "word", none.alias("blob"))
+    rows = rows.unionByName(stored_chunks.select("chunk", F.lit(-1).cast("long").alias("place"), zero.alias("c"), none.alias("word"), F.col("head").alias("blob")))
+    rows = rows.unionByName(told.select("chunk", "place", zero.alias("c"), none.alias("word"), F.col("told").alias("blob")))
+    schema, t = arrow_schema(RESULT), totals
+
+    def finish(head, words, c, parts):
+        ids, held, sizes, coded, flat = unpacked(head)
+        raw, ends = streams(words, sizes, flat)
+        sizes, k = sizes.astype(np.int64), len(sizes)
+        owner = np.repeat(np.arange(k), sizes)
+        total = lambda values: np.bincount(owner, weights=values[flat], minlength=k)
+        whole = t["tokens"] + t["distinct"] + 1
+        base = total(np.log10((c + 1) / whole)) + math.log10((t["ends"] + 1) / whole)
+        known = total((c > 0).astype(float)) + (t["ends"] > 0)
+        grams, lp = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(grams)
+        grams, lp, score = grams[order], lp[order], np.zeros(k)
+        for distinct, place, of in text_grams(raw, ends):
+            score += np.bincount(of, lp[np.searchsorted(grams, distinct)][place], k)
+        return [ids, held, sizes + 1, known.astype(np.int64), np.full(k, t["tokens"]), base, score, -score * math.log2(10) / np.array(coded, float)]
+
+    def run(batches):
+        head, words, cs, parts = None, [], [], []
+
+        def emit():
+            columns = finish(head, words, np.concatenate(cs) if cs else np.zeros(0, np.int64), parts)
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, c, blob = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(4)
+            starts = [*np.flatnonzero(place < 0).tolist(), batch.num_rows]
+            edges = [0, *starts] if starts[0] else starts
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if place[lo] < 0:
+                    if head is not None:
+                        yield emit()
+                    head, words, cs, parts = blob[lo].as_py(), [], [], []
+                    lo += 1
+                far = lo + int(np.searchsorted(place[lo:hi], FAR))
+                words += batch.column(3).slice(lo, far - lo).to_pylist()
+                cs.append(c[lo:far].copy())
+                for i in range(far, hi):
+                    steps, lp = unpacked(blob[i].as_py())
+                    parts.append((steps.cumsum(), lp))
+        if head is not None:
+            yield emit()
+
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(run, RESULT)
+
+
+def score(docs: DataFrame, across_words: bool = False) -> DataFrame:
     """RESULT for every row of docs; rows that are not held out teach."""
     folder = shared_dir(docs.sparkSession, "weighting")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -380,6 +566,12 @@ def score(docs: DataFrame) -> DataFrame:
     ends = parts.select(F.sum("ends")).first()[0] or 0
     vocab = stored(vocabulary(parts), folder, "vocabulary")
     told = vocab.select(F.sum("c").alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct")).first()
+    if across_words:
+        totals = {"tokens": (told["tokens"] or 0) + ends, "distinct": told["distinct"] + (ends > 0), "ends": ends}
+        asked = stored(asked_grams(parts), folder, "asked")
+        grams = stored(added_grams(asked), folder, "grams")
+        scored = stored(gram_scores(grams, folder), folder, "scored")
+        return answered_texts(parts, vocab, told_grams(asked, scored), totals)
     end = docs.sparkSession.range(1).select(F.lit(END_GRAM).cast("long").alias("gram"), F.lit(ends).cast("long").alias("n"))
     grams = stored(gram_counts(vocab).unionByName(end).groupBy("gram").agg(F.sum("n").alias("n")), folder, "grams")
     scored = stored(gram_scores(grams, folder), folder, "scored")
@@ -388,4 +580,4 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(read_table(spark, sf_dir, "documents"))
+    return score(read_table(spark, sf_dir, "documents"), across_words=True)

@@ -1,0 +1,76 @@
+import math
+import zlib
+from collections import Counter
+
+import pytest
+
+from spanfold.llm import tree_weighting as q
+
+from .test_tree_weighting import ROWS, D
+from .test_tree_weighting import brute as brute_of_words
+
+
+def held(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+
+
+def brute(rows):
+    """[score] of each row by recursion over a dictionary of nodes; contexts run over the whole text."""
+
+    def symbols(text):
+        x = bytes([255] * D) + b"".join(w + b" " for w in (text or "").encode().lower().split()) + bytes([255])
+        return [(x[k - D : k], x[k]) for k in range(D, len(x))]
+
+    counts, nodes = Counter(g for i, t in rows if not held(i) for g in symbols(t)), {}
+    for (context, s), c in counts.items():
+        for k in range(8):
+            for d in range(D + 1):
+                nodes.setdefault((context[D - d :], (1 << k) | (s >> (8 - k))), [0, 0])[s >> (7 - k) & 1] += c
+    own = {n: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) for n, (a, b) in nodes.items()}
+    below, weighted = Counter(), {}
+    for d in range(D, -1, -1):
+        for n in [n for n in nodes if len(n[0]) == d]:
+            high = max(own[n], below[n])
+            weighted[n] = own[n] if d == D else high + math.log(math.exp(own[n] - high) + math.exp(below[n] - high)) - math.log(2)
+            if d:
+                below[(n[0][1:], n[1])] += weighted[n]
+
+    def one(context, h, d=0):
+        a, b = nodes.get((context[D - d :], h), (0, 0))
+        if d == D or sum(nodes.get((context[D - d - 1 :], h), (0, 0))) == 0:
+            return (b + 0.5) / (a + b + 1)
+        w = 1 / (1 + math.exp(min(700, below[(context[D - d :], h)] - own[(context[D - d :], h)])))
+        return w * (b + 0.5) / (a + b + 1) + (1 - w) * one(context, h, d + 1)
+
+    def lp(context, s):
+        return sum(math.log10(p if s >> (7 - k) & 1 else 1 - p) for k in range(8) for p in [one(context, (1 << k) | (s >> (8 - k)))])
+
+    return [sum(lp(*g) for g in symbols(t)) for _, t in rows]
+
+
+@pytest.mark.parametrize("piece", [q.PIECE_BYTES, 7])
+@pytest.mark.parametrize("rows", [ROWS, [(1, "held out only")], [(5, "one")]])
+def test_against_brute_force(spark, monkeypatch, rows, piece):
+    monkeypatch.setattr(q, "PIECE_BYTES", piece)
+    got = q.score(spark.createDataFrame(rows, "doc_id long, text string"), across_words=True).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    want = [(*w[:5], s) for w, s in zip(brute_of_words(rows), brute(rows))]
+    for r, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and r.held_out == held(r.doc_id)
+        assert r.base_score == pytest.approx(w[4], abs=1e-9) and r.score == pytest.approx(w[5], abs=1e-6)
+
+
+def test_chunks_do_not_matter(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = {r.doc_id: r.score for r in q.query(spark, "/root/testdata/sf0.001").collect()}
+    parts = {r.doc_id: r.score for r in q.score(docs.repartition(7), across_words=True).collect()}
+    assert len(whole) == 200 and all(parts[i] == pytest.approx(s, abs=1e-6) for i, s in whole.items())
+
+
+def test_held_out_text_is_better_than_the_base(spark):
+    rows = [r for r in q.query(spark, "/root/testdata/sf0.1").collect() if r.held_out]
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_empty(spark):
+    assert q.score(spark.createDataFrame([], "doc_id long, text string"), across_words=True).count() == 0
