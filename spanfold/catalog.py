@@ -352,7 +352,7 @@ TELEMETRY_LIMITS = {"max_services": 60, "max_transaction_groups_per_service": 3,
 def q29(spark, d):
     exact = limiting.Distinct(True)
     cut = limiting.admit(aggregate(txn(spark, d), [HOUR]), limited(**TELEMETRY_LIMITS), exact)
-    return overflow_counts(cut, exact).filter("aggregation_type <> 'service_destination'")
+    return overflow_counts(cut, exact)
 
 
 Q17 = {"max_services": 60}
