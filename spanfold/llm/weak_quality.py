@@ -26,6 +26,7 @@ from .quality_rules import FEATURES, text_stats
 
 BUCKETS, SAMPLE, EM_STEPS, TRAIN_STEPS, RATE, SCALE = 1 << 16, 4000, 60, 80, 0.3, 20.0
 CONFIDENT, KEEP_CONFIDENT = 0.9, 0.998
+WINDOW = 1000
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(b"the of and to a in is that for it with as was on are by this be at from der die und das zu den mit von ist ein eine nicht auf le la les de des et un une du en est que pour dans el los las y del se por con para".split())
 #: Votes bad where the value exceeds the bound, else abstains. Each kind of junk meets two labellers or more.
@@ -39,6 +40,11 @@ SYMBOL_WORD, LETTER_WORD = re.compile(rb"[#*$%&<>]\S*"), re.compile(rb"[A-Za-z\x
 PLAIN_WORD = re.compile(rb"(?<!\S)[A-Za-z\x80-\xff]+[.,;:?]?(?!\S)")
 
 
+def copies_of_words(words: list[bytes]) -> float:
+    """Share of words that repeat an earlier one of their window; windows of WINDOW words cover the whole text, so its length does not count."""
+    return 1 - sum(len(set(words[at : at + WINDOW])) for at in range(0, len(words), WINDOW)) / len(words)
+
+
 def votes(text: str | None) -> int:
     """Which labellers vote, as bits in the order of LABELLERS; a text without words gets no votes."""
     stats = text_stats(text)
@@ -50,7 +56,7 @@ def votes(text: str | None) -> int:
     values = {f: stats[PLACES[f]] for f in BAD if f in PLACES}
     values["symbol_words"] = len(SYMBOL_WORD.findall(raw)) / n
     values["letterless_words"] = 1 - len(LETTER_WORD.findall(raw)) / n
-    values["copies_of_words"] = 1 - len(set(words)) / n if n < 2000 else values["repeat_rate"]
+    values["copies_of_words"] = copies_of_words(words)
     values["function_words"] = sum(map(FUNCTION_WORDS.__contains__, words)) / n
     values["plain_words"] = len(PLAIN_WORD.findall(raw)) / n
     values["length"] = n
