@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import posixpath
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,41 @@ def write_file(uri: str, pieces) -> None:
     files.move(attempt, path)
 
 
+def read_file(uri: str) -> bytes:
+    files, path = open_fs(uri)
+    with files.open_input_file(path) as f:
+        return f.read()
+
+
+def packed(value) -> bytes:
+    """A value of arrays, bytes and lists, compressed; `unpacked` gives it back."""
+    raw = pickle.dumps(value, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes):
+    return pickle.loads(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+
+
+def smallest(numbers: np.ndarray) -> np.ndarray:
+    """Numbers, none below zero, in the narrowest unsigned type."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max()))) if len(numbers) else numbers.astype(np.uint8)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of batches that hold about most_bytes of `column` together."""
+    group, size = [], 0
+    for batch in batches:
+        n = batch.column(batch.schema.get_field_index(column)).nbytes
+        if group and size + n > most_bytes:
+            yield group
+            group, size = [], 0
+        group.append(batch)
+        size += n
+    if group:
+        yield group
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each holds about most_bytes of `column` at most (one row at least)."""
     for batch in batches:

@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,33 +11,41 @@ from spanfold.llm import byte_bpe as q
 PATH = public_tokenizers.path(q.VOCABULARY)
 RANKS = q.load_ranks(PATH)
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
-ODD = ["", None, "a", "  a  b", "x\n \ny", "x \n y\n  z", "a\n ", "\x1c \x1d a\x1f", "don't we'll ''s", "²½ 12³ Ⅷ", "   x", "é" * 300, "ab" * 500, " " * 100 + "x", "\U0001f600 hi　 you", "a\x85 b", "0" * 200, "the quick_brown fox---", "<|endoftext|>", " lead", "trail "]
+ODD = ["", None, "a", "  a  b", "x\n \ny", "x \n y\n  z", "a\n ", "\x1c \x1d a\x1f", "don't we'll ''s", "²½ 12³ Ⅷ", "   x", "é" * 300, "ab" * 500, " " * 100 + "x", "\U0001f600 hi　 you", "a\x85 b", "0" * 200, "the quick_brown fox---", "<|endoftext|>", " lead", "trail ", "zqxjkvbw" * 400]
 
 
-def words_of(text):
-    import regex
-
-    chunk = q.Chunk(regex.compile(public_tokenizers.PATTERN))
-    chunk.add(text)
-    words, at = chunk.finish()
-    return [words[i] for i in at[0]]
-
-
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sab1é\x85　\x1c\xa0-²"), st.characters(exclude_categories=["Cs"]))))
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sab1é\x85　\x1c\xa0-²"), st.characters(exclude_categories=["Cs"]))), max_size=4))
 @settings(max_examples=400, deadline=None)
-def test_words_and_heap_merges(text):
-    words = words_of(text)
-    assert b"".join(words) == text.encode()
-    assert [i for w in words for i in q.merge_on_heap(w, RANKS)] == LIBRARY.encode_ordinary(text)
+def test_cuts(texts):
+    cutter = q.Cutter(RANKS, public_tokenizers.PATTERN)
+    new, places, ends = cutter.cut(texts)
+    tokens = q.pieces(RANKS)
+    for t, lo, hi in zip(texts, ends[:-1], ends[1:]):
+        words = [new[p] if p >= 0 else tokens[~p] for p in places[lo:hi]]
+        assert b"".join(words) == t.encode()
+        assert [i for w in words for i in LIBRARY.encode_ordinary(w.decode())] == LIBRARY.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("limits", [(200, 20), (50, 1), (1 << 20, 1 << 20)])
+def test_fold(spark, limits):
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(ODD)] + [(3, ODD[3], 5), (None, "nobody here", 5)], "doc_id long, text string, ids int")
+    coded = q.encode(docs, RANKS, public_tokenizers.PATTERN, *limits)
+    rows = coded.collect()
+    assert len(rows) == len(ODD) + 2
+    for r in rows:
+        assert r.ids == LIBRARY.encode_ordinary("nobody here" if r.doc_id is None else ODD[r.doc_id] or "")
+    for r in q.decode(coded, RANKS).collect():
+        assert r.decoded.decode() == ("nobody here" if r.doc_id is None else ODD[r.doc_id] or "")
 
 
-def test_fold(spark):
-    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(ODD)] + [(3, ODD[3], 5), (None, "nobody here", 5)], "doc_id long, text string, ids int")
-    for fold_bytes in (48, 5000):
-        rows = q.encode(docs, RANKS, public_tokenizers.PATTERN, chunk_bytes=200, fold_bytes=fold_bytes).collect()
-        assert len(rows) == len(ODD) + 2
-        for r in rows:
-            assert r.ids == LIBRARY.encode_ordinary("nobody here" if r.doc_id is None else ODD[r.doc_id] or "")
+def test_random_words(spark):
+    import random
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("aeinrstlo", k=rng.randrange(1, 60))) for _ in range(2000)] + ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(40)) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in q.encode(docs, RANKS, public_tokenizers.PATTERN).collect():
+        assert r.ids == LIBRARY.encode_ordinary(texts[r.doc_id])
 
 
 def test_digest(spark):
@@ -46,4 +55,3 @@ def test_digest(spark):
         ids = LIBRARY.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
     assert q.digest(docs.limit(0), PATH).count() == 0
-
