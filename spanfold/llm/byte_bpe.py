@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, grouped, packed, read_file, read_table, shared_dir, small_batches, smallest, stored, texts_of, unpacked, write_file
+from .common import Numbers, arrow_schema, from_planes, grouped, packed, planes, read_file, read_table, shared_dir, small_batches, smallest, stored, texts_of, unpacked, write_file
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK_BYTES, PIECE_BYTES, MOST_WORDS, NO_RANK = 32 << 20, 4 << 20, 1 << 19, 2**17 - 1
@@ -60,14 +60,6 @@ def cut_at_spaces(text: str) -> bool:
     return text[-1:] != " " and not any(s in text for s in OTHER_SPACE)
 
 
-class Numbers(dict):
-    """Number of each key, in the order in which they were first asked for."""
-
-    def __missing__(self, key) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 class Places(dict):
     """Place of each word: ~id of a word that is a token, else its number among the words to fold."""
 
@@ -132,11 +124,6 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return flat[np.arange(len(shift)) + shift]
 
 
-def planes(numbers: np.ndarray) -> np.ndarray:
-    """First, second, ... bytes of all numbers, a row each; they compress better apart."""
-    return np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
-
-
 def asked_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folder: str, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of ASKED. A waiting file holds ids of documents, places of all words and where each document's end."""
     schema = arrow_schema(ASKED)
@@ -159,7 +146,7 @@ def asked_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folder:
             at = np.concatenate(places)
             at[at >= 0] = number[at[at >= 0]]
             chunk, path = task << 32 | k, f"{folder}/waiting/{task}-{k}-{uuid.uuid4().hex}"
-            write_file(path, [packed((ids, planes(at), np.concatenate(ends)))])
+            write_file(path, [packed((ids, planes(at.astype(np.int32)), np.concatenate(ends)))])
             rows = [(-1, path.encode())]
             for b in range(buckets):
                 own = [words[i] for i in order[edges[b] : edges[b + 1]].tolist()]
@@ -338,7 +325,7 @@ def gather(told: DataFrame, chunks: int, ddl: str, use: Callable[[np.ndarray, np
     def run(batches):
         def finish(path, parts):
             doc_ids, rows, ends = unpacked(read_file(path))
-            places = np.ascontiguousarray(rows.T).view(np.int32)[:, 0]
+            places = from_planes(rows, np.int32)
             flat, sizes = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
             sizes = sizes.astype(np.int64)
             starts, lo = sizes.cumsum() - sizes, 0

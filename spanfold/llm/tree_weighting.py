@@ -8,13 +8,13 @@ mix as Pw = (Pe + product) / 2. A score walks from the root to the deepest conte
 (n1 + 1/2) / (n + 1) weighs Pe / (Pe + product), what is deeper weighs the rest; a context not seen takes over its parent's
 value, so every distribution sums to one.
 
-A chunk of documents (CHUNK_BYTES of text, or one longer document) is stored as its distinct words and each document as
-positions among them. A gram is DEPTH bytes and the symbol after them. A chunk counts its texts' grams and sends its distinct
-ones, packed, to BUCKETS buckets, which add the counts up; the tree is made of distinct grams. The buckets answer each chunk's
-own grams with their probabilities, and the chunk adds these up along its texts. The base model gets its words by a join.
-Nothing is broadcast and no task holds more than a chunk or a bucket's distinct grams.
-
-`score` without across_words starts every context anew at the word's start, as tests of the tree need it; the query does not.
+A gram is DEPTH bytes and the symbol after them, as one integer. A chunk of documents (CHUNK_BYTES of text, or one longer
+document) sends its distinct grams and words with their counts in training, packed, to buckets: grams by the SPLIT bytes
+nearest to the symbol, so that a bucket holds all of the tree below such contexts. Buckets add counts up and work the tree out
+from the leaves to SPLIT bytes; the few shorter contexts are tables, aggregated and joined; then buckets go down to the leaves
+and answer each chunk its own grams and words, in the order asked. The chunk's texts meanwhile wait, as numbers of words, in a
+file of the shared folder. What is asked is stored with the names of those files before it is answered, so a task that runs
+again cannot mix two versions. The number of buckets grows with the input; nothing is broadcast.
 
 Defined cases: a null or empty text is the end symbol alone; null ids (they count as the empty text when rows are held out)
 and repeated rows are kept; without training rows every bit has probability 1/2 and every base term is log10(1); an empty
@@ -24,8 +24,8 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import math
-import pickle
-from collections import defaultdict
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -33,551 +33,402 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, held_out, read_table, shared_dir, small_batches, stored, texts_of
+from .common import Numbers, arrow_schema, from_planes, grouped, held_out, packed, planes, read_file, read_table, shared_dir, small_batches, smallest, stored, texts_of, unpacked, write_file
 
-DEPTH, SPLIT, CHUNK_BYTES, LOT_BYTES, BRANCH_GRAMS, START, END = 6, 3, 20 << 20, 2 << 20, 40_000, 0xFF, 0xFF
-#: `head` holds the documents of a chunk: rows that meet many others must not carry arrays, whose sizes Spark takes anew for each row it hands to Python.
-CHUNK = "chunk long, words array<binary>, trained array<long>, ends long, head binary"
+DEPTH, SPLIT, START, END = 6, 3, 0xFF, 0xFF
+#: Text of a chunk; positions whose grams a task holds at once; text for each bucket of grams; grams whose nodes a task holds at once.
+CHUNK_BYTES, PIECE_BYTES, BUCKET_BYTES, BRANCH_GRAMS = 12 << 20, 1 << 20, 8 << 20, 100_000
+#: What a chunk asks of a bucket, packed; bucket -1 names the file of the chunk's documents.
+ASKED = "chunk long, bucket int, blob binary"
+UPPER = "context long, node int, n0 long, n1 long, below double"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-#: Positions whose grams a task holds at once; buckets of grams; place of a bucket's answer among those to a chunk.
-PIECE_BYTES, BUCKETS, FAR = 4 << 20, 1021, 1 << 40
-END_GRAM = int.from_bytes(bytes([START] * DEPTH + [END]), "big")
-
+HASH, FINE = 0x9E3779B1, 1 << 25
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of CHUNK; docs: doc_id, held_out, text."""
-    schema = arrow_schema(CHUNK)
-
-    def run(batches):
-        for k, group in enumerate(grouped(small_batches(batches, "text", CHUNK_BYTES))):
-            number: dict = defaultdict()
-            number.default_factory = number.__len__
-            ids, held, at, coded = [], [], [], []
-            for batch in group:
-                ids.append(batch.column(0))
-                held.append(batch.column(1))
-                for text in texts_of(batch):
-                    words = (text or "").encode().lower().split()  # A-Z only
-                    coded.append(sum(map(len, words)) + len(words) + 1)
-                    at.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
-            ids, held = pa.concat_arrays(ids), pa.concat_arrays(held)
-            sizes = np.fromiter(map(len, at), np.int32, len(at))
-            flat = np.concatenate(at)
-            teaches = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), sizes)
-            trained = np.bincount(flat[teaches], minlength=len(number))
-            values = [(TaskContext.get().partitionId() << 32) | k, list(number), trained.tolist(), int((~held.to_numpy(zero_copy_only=False).astype(bool)).sum()), packed((ids.to_pylist(), held.to_pylist(), sizes, coded, flat))]
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema)], schema=schema)
-
-    return docs.mapInArrow(run, CHUNK)
 
+def streams(words: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, end of each): of a text DEPTH times START, its words, each with a space, and END."""
+    pad, end, spaced, out, at = bytes([START] * DEPTH), bytes([END]), [w + b" " for w in words], [], 0
+    for n in sizes.tolist():
+        out.append(b"".join([pad, *map(spaced.__getitem__, flat[at : at + n].tolist()), end]))
+        at += n
+    lengths = np.fromiter(map(len, out), np.int64, len(out))
+    return np.frombuffer(b"".join(out), np.uint8), lengths.cumsum()
 
-def packed(value) -> bytes:
-    raw = pickle.dumps(value, 5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
+def text_grams(raw: np.ndarray, ends: np.ndarray):
+    """(distinct grams, gram's place among them at each symbol, text of each symbol) of pieces of the streams."""
+    starts = np.append(0, ends[:-1])
+    for lo in range(DEPTH, len(raw), PIECE_BYTES):
+        hi = min(len(raw), lo + PIECE_BYTES)
+        owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.clip(ends, lo, hi) - np.clip(starts, lo, hi))
+        code = np.zeros(hi - lo, np.int64)
+        for j in range(DEPTH + 1):
+            code = (code << 8) | raw[lo - DEPTH + j : hi - DEPTH + j]
+        real = np.arange(lo, hi) - starts[owner] >= DEPTH
+        coded = pa.array(code[real]).dictionary_encode()
+        yield coded.dictionary.to_numpy(), coded.indices.to_numpy(), owner[real]
 
-def unpacked(blob: bytes):
-    return pickle.loads(pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
 
+def added(grams: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and the sum of n of each."""
+    grams, n = np.concatenate(grams), np.concatenate(n)
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+    return grams[first], np.add.reduceat(n[order], first) if len(first) else n
 
-def grouped(batches, most: int = CHUNK_BYTES):
-    """Lists of batches that hold about `most` bytes together."""
-    group, size = [], 0
-    for batch in batches:
-        n = batch.column(2).nbytes
-        if group and size + n > most:
-            yield group
-            group, size = [], 0
-        group.append(batch)
-        size += n
-    if group:
-        yield group
 
+def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return ((grams >> 8 & (1 << 8 * SPLIT) - 1) * HASH >> 15) % buckets
 
-def vocabulary(stored_chunks: DataFrame) -> DataFrame:
-    """word and c, its count in training, of every distinct word."""
-    pairs = stored_chunks.select(F.inline(F.arrays_zip("words", "trained")))
-    return pairs.groupBy(F.col("words").alias("word")).agg(F.sum("trained").alias("c"))
 
+def by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int]]:
+    """(order of the buckets, where each begins in it and the last ends)."""
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
 
-def grams_of(words: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """(gram of every symbol, symbols of each word); a gram is the depth bytes before a symbol, then the symbol, as one integer."""
-    pad = bytes([START] * depth)
-    raw = np.frombuffer(b"".join(x for w in words for x in (pad, w, b" ")), np.uint8)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    code = np.zeros(max(0, len(raw) - depth), np.int64)
-    for j in range(depth + 1):
-        code = (code << 8) | raw[j : len(raw) - depth + j]
-    ends = (sizes + depth).cumsum()
-    starts = np.repeat(ends - sizes - depth - (sizes.cumsum() - sizes), sizes)
-    return code[np.arange(int(sizes.sum())) + starts], sizes
 
+def asked_grams(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
+    """Rows of ASKED; docs: doc_id, held_out, text. A blob has grams (as differences), words, and how often training texts have them.
 
-def gram_counts(vocab: DataFrame) -> DataFrame:
-    """(gram, n): symbols in context over all training words; grams of other words have n = 0, so that their nodes exist."""
-    ddl = "gram long, n long"
-    schema = arrow_schema(ddl)
+    A waiting file holds the documents, the numbers of their words, the words and the grams in the order asked.
+    """
+    schema = arrow_schema(ASKED)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                grams, sizes = grams_of(batch.column(0).to_pylist())
-                own, where = np.unique(grams, return_inverse=True)
-                n = np.zeros(len(own), np.int64)
-                np.add.at(n, where, np.repeat(batch.column(1).to_numpy(), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n)], schema=schema)
-
-    return vocab.select("word", "c").mapInArrow(run, ddl).groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def ln_gamma(x: Column) -> Column:
-    """ln of the gamma function for x >= 1/2: Stirling's series, eight steps up."""
+        task = TaskContext.get().partitionId()
+        for k, group in enumerate(grouped(small_batches(batches, "text", PIECE_BYTES), "text", CHUNK_BYTES)):
+            number, ids, held, at = Numbers(), [], [], []
+            for batch in group:
+                ids += batch.column(0).to_pylist()
+                held += batch.column(1).to_pylist()
+                for text in texts_of(batch):
+                    words = (text or "").encode().lower().split()  # A-Z only
+                    at.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+            words, teaches = list(number), ~np.array(held, bool)
+            sizes, flat = np.fromiter(map(len, at), np.int64, len(at)), np.concatenate(at)
+            trained = np.bincount(flat[np.repeat(teaches, sizes)], minlength=len(words))
+            order, word_edges = by_bucket(np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words)), buckets)
+            place = np.empty(len(words), np.int32)
+            place[order] = np.arange(len(words), dtype=np.int32)
+            words, trained, flat, found = [words[i] for i in order.tolist()], trained[order], place[flat], []
+            raw, ends = streams(words, sizes, flat)
+            for distinct, where, owner in text_grams(raw, ends):
+                found.append((distinct, np.bincount(where[teaches[owner]], minlength=len(distinct)).astype(np.int32)))
+                if sum(len(x) for x, _ in found[1:]) > max(len(found[0][0]), PIECE_BYTES):
+                    found = [added(*zip(*found))]
+            grams, n = added(*zip(*found))
+            del raw, found, at, number
+            order, edges = by_bucket(bucket_of(grams, buckets), buckets)
+            grams, n, lengths = grams[order], n[order], np.fromiter(map(len, words), np.int64, len(words))
+            path = f"{folder}/waiting/{task}-{k}-{uuid.uuid4().hex}"
+            write_file(path, [packed((ids, held, sizes, planes(flat), b"".join(words), smallest(lengths), planes(np.diff(grams, prepend=0))))])
+            rows = [(-1, packed((path, int(teaches.sum()))))]
+            for b in range(buckets):
+                (lo, hi), (wlo, whi) = edges[b : b + 2], word_edges[b : b + 2]
+                if hi > lo or whi > wlo:
+                    rows.append((b, packed((planes(np.diff(grams[lo:hi], prepend=0)), smallest(n[lo:hi]), b"".join(words[wlo:whi]), smallest(lengths[wlo:whi]), smallest(trained[wlo:whi])))))
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k] * len(rows)), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=schema)
+
+    return docs.mapInArrow(run, ASKED)
+
+
+def cut(raw: bytes, lengths: np.ndarray) -> list[bytes]:
+    stops = lengths.astype(np.int64).cumsum().tolist()
+    return [raw[lo:hi] for lo, hi in zip([0, *stops], stops)]
+
+
+class Bucket:
+    """What all chunks asked of one bucket: distinct grams in order, distinct words, and their counts."""
+
+    def __init__(self):
+        self.grams, self.n, self.words, self.c = [], [], Numbers(), np.zeros(0, np.int64)
+        self.waiting = 0
+
+    def add(self, blob: bytes) -> None:
+        steps, n, raw, lengths, trained = unpacked(blob)
+        self.grams.append(from_planes(steps, np.int64).cumsum())
+        self.n.append(n.astype(np.int64))
+        at = np.fromiter(map(self.words.__getitem__, cut(raw, lengths)), np.int64, len(lengths))
+        self.c = np.append(self.c, np.zeros(len(self.words) - len(self.c), np.int64))
+        self.c[at] += trained
+        self.waiting += len(n)
+        if self.waiting > max(4 * PIECE_BYTES, 2 * len(self.grams[0])):
+            self.settle()
+
+    def settle(self) -> None:
+        if len(self.grams) > 1:
+            self.grams, self.n = ([x] for x in added(self.grams, self.n))
+        self.waiting = len(self.grams[0])
+
+    def answer(self, blob: bytes, lp: np.ndarray) -> bytes:
+        """For what one chunk asked, in its order: log10 probabilities of grams (in steps of 1 / FINE, as none is below -76), counts of words."""
+        steps, _, raw, lengths, _ = unpacked(blob)
+        at = np.searchsorted(self.grams[0], from_planes(steps, np.int64).cumsum())
+        words = np.fromiter(map(self.words.__getitem__, cut(raw, lengths)), np.int64, len(lengths))
+        return packed((planes(np.rint(lp[at] * -FINE).astype(np.uint32)), smallest(self.c[words])))
+
+
+def ln_gamma(x):
+    """ln of the gamma function for x >= 1/2, of a column or an array: Stirling's series, eight steps up."""
+    log = F.log if isinstance(x, Column) else np.log
     y = x + 8.0
-    steps = F.lit(0.0)
-    for i in range(8):
-        steps = steps + F.log(x + float(i))
-    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - steps
+    steps = log(x)
+    for i in range(1, 8):
+        steps = steps + log(x + float(i))
+    return (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - steps
 
 
-def ln_block(n0: Column, n1: Column) -> Column:
-    """ln of the Krichevsky-Trofimov probability of a block with n0 zeros and n1 ones."""
-    return F.when(n0 + n1 == 0, F.lit(0.0)).otherwise(ln_gamma(n0 + 0.5) + ln_gamma(n1 + 0.5) - ln_gamma(n0 + n1 + 1.0) - math.log(math.pi))
+#: ln_gamma of n + 1/2 and of n + 1 for small counts.
+_HALVES, _WHOLES = (ln_gamma(np.arange(1 << 16) + shift) for shift in (0.5, 1.0))
 
 
-def shorter(depth: int) -> Column:
-    return F.col("context").bitwiseAND(F.lit((1 << 8 * depth) - 1))
+def ln_gammas(n: np.ndarray, table: np.ndarray, shift: float) -> np.ndarray:
+    out = table[np.minimum(n, len(table) - 1)]
+    if (large := n >= len(table)).any():
+        out[large] = ln_gamma(n[large] + shift)
+    return out
 
 
-def ln_gamma_of(x: np.ndarray) -> np.ndarray:
-    """As ln_gamma, on arrays."""
-    y = x + 8.0
-    steps = sum(np.log(x + i) for i in range(8))
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - steps
+def ln_block(n0, n1):
+    """ln of the Krichevsky-Trofimov probability of a block with n0 zeros and n1 ones, of columns or arrays."""
+    if isinstance(n0, Column):
+        return F.when(n0 + n1 == 0, F.lit(0.0)).otherwise(ln_gamma(n0 + 0.5) + ln_gamma(n1 + 0.5) - ln_gamma(n0 + n1 + 1.0) - math.log(math.pi))
+    return ln_gammas(n0, _HALVES, 0.5) + ln_gammas(n1, _HALVES, 0.5) - ln_gammas(n0 + n1, _WHOLES, 1.0) - math.log(math.pi)
 
 
 class Branch:
-    """The tree below some contexts of SPLIT bytes: all nodes of their grams, from depth bytes up to SPLIT bytes, as arrays."""
-
-    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int, split: int):
-        symbol = grams & 255
-        nodes = np.concatenate([(symbol | 256) >> (8 - k) for k in range(8)])
-        self.bits = np.concatenate([symbol >> (7 - k) & 1 for k in range(8)])
-        keys, self.place = np.unique(np.tile(grams >> 8, 8) << 8 | nodes, return_inverse=True)
-        weight = np.tile(n, 8).astype(float)
-        n0, n1 = (np.bincount(self.place, weight * (self.bits == b), len(keys)) for b in (0, 1))
-        own = self.block(n0, n1)
-        self.levels = [(keys, n0, n1, own, np.zeros(len(keys)), None)]
-        weighted = own
+    """The tree below some contexts of `split` bytes, from distinct grams in order.
+
+    A level has the grams cut to fewer bytes, in order, with counts, and each one's place on the level above. The nodes of k
+    known bits are runs of such grams, as those sort by context and then by symbol.
+    """
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, depth: int = DEPTH, split: int = SPLIT):
+        self.levels = [(grams, n, np.zeros(0, np.int64))]
         for d in range(depth - 1, split - 1, -1):
-            up, parent = np.unique((keys >> 8 & (1 << 8 * d) - 1) << 8 | keys & 255, return_inverse=True)
-            n0, n1, below = (np.bincount(parent, x, len(up)) for x in (n0, n1, weighted))
-            own = self.block(n0, n1)
-            self.levels[-1] = (*self.levels[-1][:5], parent)
-            self.levels.append((up, n0, n1, own, below, None))
-            weighted = np.logaddexp(own, below) - math.log(2.0)
-            keys = up
-        self.weighted = weighted
-
-    @staticmethod
-    def block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-        return np.where(n0 + n1 == 0, 0.0, ln_gamma_of(n0 + 0.5) + ln_gamma_of(n1 + 0.5) - ln_gamma_of(n0 + n1 + 1.0) - math.log(math.pi))
-
-    def scores(self, sure: np.ndarray, rest: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram, from the values at the contexts of SPLIT bytes."""
-        for k in range(len(self.levels) - 1, -1, -1):
-            _, n0, n1, own, below, _ = self.levels[k]
-            n, estimate = n0 + n1, (n1 + 0.5) / (n0 + n1 + 1.0)
-            p = np.where(n > 0, sure + rest * estimate, p)
-            if k:
-                stays = np.where(n > 0, 1 / (1 + np.exp(np.minimum(below - own, 700))), 0.0)
-                sure, rest, parent = sure + rest * stays * estimate, rest * (1 - stays), self.levels[k - 1][5]
-                sure, rest, p = sure[parent], rest[parent], p[parent]
-        found = p[self.place]
-        return np.log10(np.where(self.bits == 1, found, 1 - found)).reshape(8, -1).sum(0)
-
-
-def _whole(batches, *columns: int) -> list[np.ndarray]:
-    parts = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
-    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64) for _ in columns]
-
-
-def pieces(part: np.ndarray, most: int):
-    """Positions in lots of `most` or so, those of equal part together."""
+            short, above = np.unique(self.levels[-1][0] & (1 << 8 * (d + 1)) - 1, return_inverse=True)
+            self.levels[-1] = (*self.levels[-1][:2], above)
+            self.levels.append((short, np.bincount(above, self.levels[-1][1], len(short)).astype(np.int64), np.zeros(0, np.int64)))
+
+    def nodes(self, k: int):
+        """(n0, n1, own, below, first gram, run of each gram, parent node) of each level, from the leaves up."""
+        out, weighted, links = [], None, None
+        for grams, n, above in self.levels:
+            key = grams >> (8 - k)
+            new = np.append(True, key[1:] != key[:-1])
+            first, run = np.flatnonzero(new), new.cumsum() - 1
+            n1 = np.add.reduceat(n * (grams >> (7 - k) & 1), first)
+            n0 = np.add.reduceat(n, first) - n1
+            own = ln_block(n0, n1)
+            if out:
+                links = run[out[-1][-1]]  # the runs of the children's first grams
+                out[-1] = (*out[-1][:-1], links)
+                below = np.bincount(links, weighted, len(first))
+                weighted = np.logaddexp(own, below) - math.log(2.0)
+            else:
+                below, weighted = np.zeros(len(first)), own
+            out.append((n0, n1, own, below, first, run, above[first] if len(above) else None))
+        return out
+
+    def top(self, k: int):
+        """Context, node, n0, n1 and below of the nodes at `split` bytes."""
+        n0, n1, _, below, first, _, _ = self.nodes(k)[-1]
+        grams = self.levels[-1][0][first]
+        return grams >> 8, (grams & 255 | 256) >> (8 - k), n0, n1, below
+
+    def scores(self, values) -> np.ndarray:
+        """log10 probability of each gram; values(context, node): (sure, rest, p) of nodes at `split` bytes."""
+        grams, total = self.levels[0][0], np.zeros(len(self.levels[0][0]))
+        for k in range(8):
+            levels = self.nodes(k)
+            short = self.levels[-1][0][levels[-1][4]]
+            sure, rest, p = values(short >> 8, (short & 255 | 256) >> (8 - k))
+            for i in range(len(levels) - 1, -1, -1):
+                n0, n1, own, below, _, run, _ = levels[i]
+                n, estimate = n0 + n1, (n1 + 0.5) / (n0 + n1 + 1.0)
+                p = np.where(n > 0, sure + rest * estimate, p)
+                if i:
+                    stays = np.where(n > 0, 1 / (1 + np.exp(np.minimum(below - own, 700))), 0.0)
+                    sure, rest = sure + rest * stays * estimate, rest * (1 - stays)
+                    up = levels[i - 1][6]
+                    sure, rest, p = sure[up], rest[up], p[up]
+            found = p[run]
+            total += np.log10(np.where(grams >> (7 - k) & 1 == 1, found, 1 - found))
+        return total
+
+
+def branches(grams: np.ndarray, n: np.ndarray):
+    """(places, Branch) of lots of some BRANCH_GRAMS grams; contexts of SPLIT bytes stay whole."""
+    part = grams >> 8 & (1 << 8 * SPLIT) - 1
     order = np.argsort(part, kind="stable")
     edges = np.append(0, np.flatnonzero(np.diff(part[order])) + 1)
     start = 0
     for stop in [*edges[1:].tolist(), len(part)]:
-        if stop - start >= most or stop == len(part):
-            if stop > start:
-                yield order[start:stop]
+        if stop - start >= BRANCH_GRAMS or stop == len(part) > start:
+            own = np.sort(order[start:stop])
+            yield own, Branch(grams[own], n[own])
             start = stop
 
 
-UPPER = "context long, node int, n0 double, n1 double, own double, below double, weighted double"
-
-
-def gram_scores(grams: DataFrame, folder: str, depth: int = DEPTH, split: int = SPLIT) -> DataFrame:
-    """(gram, lp): log10 probability of each gram's symbol in its context.
-
-    Grams are dealt by the SPLIT bytes before their symbol; what lies below such a context is worked out where its
-    grams are, twice: upwards to its block probabilities, and downwards once the few shorter contexts have theirs.
-    """
-    mask = (1 << 8 * split) - 1
-    up_schema, out_schema = arrow_schema(UPPER), arrow_schema("gram long, lp double")
-    part = F.shiftright("gram", 8).bitwiseAND(F.lit(mask))
-
-    def upwards(batches):
-        gram, n = _whole(batches, 0, 1)
-        for own in pieces(gram >> 8 & mask, BRANCH_GRAMS):
-            branch = Branch(gram[own], n[own], depth, split)
-            keys, n0, n1, own, below, _ = branch.levels[-1]
-            columns = [keys >> 8, (keys & 255).astype(np.int32), n0, n1, own, below, branch.weighted]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, up_schema)], schema=up_schema)
-
-    levels = {split: stored(grams.select("gram", "n").repartition(part).mapInArrow(upwards, UPPER), folder, f"up{split}")}
-    for d in range(split - 1, -1, -1):
-        up = levels[d + 1].groupBy(shorter(d).alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
-        up = up.withColumn("own", ln_block(F.col("n0"), F.col("n1")))
-        high = F.greatest("own", "below")
-        mixed = high + F.log(F.exp(F.col("own") - high) + F.exp(F.col("below") - high)) - math.log(2.0)
-        levels[d] = stored(up.select("context", "node", "n0", "n1", "own", "below", mixed.alias("weighted")), folder, f"up{d}")
-    # Downwards: `sure` is what the contexts passed have added, `rest` the weight left, `p` the value if the path ended there.
-    n, estimate = F.col("n0") + F.col("n1"), (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
-    stays = F.when(n == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(F.col("below") - F.col("own"))))
-    value = levels[0].select("context", "node", F.lit(0.0).alias("sure"), F.lit(1.0).alias("rest"), F.lit(0.5).alias("p"), "n0", "n1", "own", "below")
-    for d in range(1, split + 1):
-        ended = F.when(n > 0, F.col("sure") + F.col("rest") * estimate).otherwise(F.col("p"))
-        above = value.select(F.col("context").alias("up"), "node", (F.col("sure") + F.col("rest") * stays * estimate).alias("sure"), (F.col("rest") * (1 - stays)).alias("rest"), ended.alias("p"))
-        value = levels[d].withColumn("up", shorter(d - 1)).join(above, ["up", "node"]).select("context", "node", "sure", "rest", "p", "n0", "n1", "own", "below")
-    top = stored(value.select("context", "node", "sure", "rest", "p"), folder, "down")
-
-    def downwards(batches):
-        kind, gram, n, sure, rest, p = _whole(batches, *range(6))
-        told = np.flatnonzero(kind == 0)
-        told = told[np.argsort(gram[told])]
-        asked = np.flatnonzero(kind == 1)
-        for own in pieces(gram[asked] >> 8 & mask, BRANCH_GRAMS):
-            own = asked[own]
-            branch = Branch(gram[own], n[own], depth, split)
-            at = told[np.searchsorted(gram[told], branch.levels[-1][0])]
-            lp = branch.scores(sure[at], rest[at], p[at])
-            yield pa.RecordBatch.from_arrays([pa.array(gram[own]), pa.array(lp)], schema=out_schema)
-
-    zero = F.lit(0.0)
-    asked = grams.select(part.alias("part"), F.lit(1).alias("kind"), "gram", "n", zero.alias("sure"), zero.alias("rest"), zero.alias("p"))
-    told = top.select(F.col("context").alias("part"), F.lit(0).alias("kind"), (F.col("context") * 256 + F.col("node")).alias("gram"), F.lit(0).cast("long").alias("n"), "sure", "rest", "p")
-    return asked.unionByName(told).repartition("part").select("kind", "gram", "n", "sure", "rest", "p").mapInArrow(downwards, "gram long, lp double")
-
-
-WORDS = "word binary, c long, lp double"
-
-
-def word_scores(vocab: DataFrame, scored: DataFrame, folder: str) -> DataFrame:
-    """WORDS of every word. Lots of words ask for their distinct grams together and add up the answers themselves."""
-    lots = "lot long, grams array<long>, head binary"
-    schema, out_schema = arrow_schema(lots), arrow_schema(WORDS)
-
-    def gather(batches):
-        def lot(k, group):
-            words = [w for batch in group for w in batch.column(0).to_pylist()]
-            counts = np.concatenate([batch.column(1).to_numpy() for batch in group])
-            grams = np.unique(grams_of(words)[0])
-            own = pa.ListArray.from_arrays(pa.array([0, len(grams)], pa.int32()), pa.array(grams), type=schema.field("grams").type)
-            return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) | k]), own, pa.array([packed((words, counts))], pa.binary())], schema=schema)
-
-        group, size, k = [], 0, 0
-        for batch in batches:
-            if batch.num_rows:
-                group.append(batch)
-                size += batch.column(0).nbytes
-            if size > LOT_BYTES:
-                yield lot(k, group)
-                group, size, k = [], 0, k + 1
-        if group:
-            yield lot(k, group)
-
-    rows = stored(vocab.select("word", "c").mapInArrow(gather, lots), folder, "lots")
-    answers = rows.select("lot", F.explode("grams").alias("gram")).join(scored, "gram").select("lot", "gram", "lp")
-    both = rows.select("lot", F.lit(-1).cast("long").alias("gram"), F.lit(0.0).alias("lp"), "head").unionByName(answers.select("*", F.lit(None).cast("binary").alias("head")))
-
-    def finish(batches):
-        head, keys, values = None, [], []
-
-        def emit():
-            words, counts = unpacked(head)
-            grams, sizes = grams_of(words)
-            known, lp = np.concatenate(keys), np.concatenate(values)  # sorted by gram
-            total = np.add.reduceat(lp[np.searchsorted(known, grams)], sizes.cumsum() - sizes)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), pa.array(total)], schema=out_schema)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            gram, lp = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            starts = [*np.flatnonzero(gram < 0).tolist(), batch.num_rows]
-            edges = [0, *starts] if starts[0] else starts
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if gram[lo] < 0:
-                    if head is not None:
-                        yield emit()
-                    head, keys, values = batch.column(3)[lo].as_py(), [], []
-                    lo += 1
-                keys.append(gram[lo:hi])
-                values.append(lp[lo:hi])
-        if head is not None:
-            yield emit()
-
-    return both.repartition("lot").sortWithinPartitions("lot", "gram").mapInArrow(finish, WORDS)
-
-
-def answered(stored_chunks: DataFrame, words: DataFrame, totals: dict) -> DataFrame:
-    """RESULT for every document of the chunks."""
-    asked = stored_chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    answers = asked.join(words, "word").select("chunk", "place", "c", "lp")
-    both = answers.select("*", F.lit(None).cast("binary").alias("head"))
-    heads = stored_chunks.select("chunk", F.lit(-1).alias("place"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("lp"), "head")
-    rows = heads.unionByName(both).repartition("chunk").sortWithinPartitions("chunk", "place")
-    schema, t = arrow_schema(RESULT), totals
-
-    def finish(head, c, lp):
-        ids, held, sizes, coded, flat = unpacked(head)
-        sizes = sizes.astype(np.int64)
-        owner, k = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
-        total = lambda values: np.bincount(owner, weights=values[flat], minlength=k)
-        whole = t["tokens"] + t["distinct"] + 1
-        base = total(np.log10((c + 1) / whole)) + math.log10((t["ends"] + 1) / whole)
-        score = total(lp) + t["end_lp"]
-        known = total((c > 0).astype(float)) + (t["ends"] > 0)
-        return [ids, held, sizes + 1, known.astype(np.int64), np.full(k, t["tokens"]), base, score, -score * math.log2(10) / np.array(coded, float)]
+def upwards(asked: DataFrame, buckets: int) -> DataFrame:
+    """UPPER of the contexts of SPLIT bytes; context -1 has training tokens (less the ends) and distinct training words as n0 and n1."""
+    schema = arrow_schema(UPPER)
 
     def run(batches):
-        head, cs, lps = None, [], []
-
-        def emit():
-            columns = finish(head, np.concatenate(cs) if cs else np.zeros(0, np.int64), np.concatenate(lps) if lps else np.zeros(0))
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
-
+        def emit(bucket):
+            bucket.settle()
+            totals = [[-1], [0], [int(bucket.c.sum())], [int((bucket.c > 0).sum())], [0.0]]
+            parts = [branch.top(k) for _, branch in branches(bucket.grams[0], bucket.n[0]) for k in range(8)]
+            columns = [np.concatenate(x) for x in zip(totals, *parts)]
+            return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        last, bucket = None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            place = batch.column(1).to_numpy()
-            starts = [*np.flatnonzero(place < 0).tolist(), batch.num_rows]
-            edges = [0, *starts] if starts[0] else starts
-            c, lp = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if place[lo] < 0:
-                    if head is not None:
-                        yield emit()
-                    head, cs, lps = batch.column(4)[lo].as_py(), [], []
-                    lo += 1
-                cs.append(c[lo:hi])
-                lps.append(lp[lo:hi])
-        if head is not None:
-            yield emit()
-
-    return rows.mapInArrow(run, RESULT)
-
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if number != last:
+                    if bucket is not None:
+                        yield emit(bucket)
+                    last, bucket = number, Bucket()
+                bucket.add(blob.as_py())
+        if bucket is not None:
+            yield emit(bucket)
 
-ASKED = "bucket int, chunk long, asked binary"
+    return asked.filter("bucket >= 0").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, UPPER)
 
 
-def streams(words: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes of all texts, end of each): of a text DEPTH times START, its words, each with a space, and END."""
-    pad, end, spaced, out, at = bytes([START] * DEPTH), bytes([END]), [w + b" " for w in words], [], 0
-    for n in sizes.tolist():
-        out += [pad, *map(spaced.__getitem__, flat[at : at + n].tolist()), end]
-        at += n
-    owner, k = np.repeat(np.arange(len(sizes)), sizes), len(sizes)
-    lengths = np.bincount(owner, np.fromiter(map(len, spaced), float, len(spaced))[flat], k) + DEPTH + 1
-    return np.frombuffer(b"".join(out), np.uint8), lengths.astype(np.int64).cumsum()
+def short_contexts(upper: DataFrame, folder: str) -> DataFrame:
+    """(context, node, sure, rest, p) of contexts of SPLIT bytes, by way of all shorter ones.
 
+    `sure` is what the contexts passed have added, `rest` the weight left, `p` the value if the path ended there.
+    """
 
-def text_grams(raw: np.ndarray, ends: np.ndarray):
-    """(distinct grams, gram's place among them at each symbol, text of each symbol) of pieces of the streams."""
-    starts = np.append(0, ends[:-1])
-    for lo in range(DEPTH, len(raw), PIECE_BYTES):
-        hi = min(len(raw), lo + PIECE_BYTES)
-        owner = np.repeat(np.arange(len(ends)), np.clip(ends, lo, hi) - np.clip(starts, lo, hi))
-        code = np.zeros(hi - lo, np.int64)
-        for j in range(DEPTH + 1):
-            code = (code << 8) | raw[lo - DEPTH + j : hi - DEPTH + j]
-        real = np.arange(lo, hi) - starts[owner] >= DEPTH
-        coded = pa.array(code[real]).dictionary_encode()
-        yield coded.dictionary.to_numpy(), coded.indices.to_numpy(), owner[real]
+    def weighted(level: DataFrame) -> DataFrame:
+        level = level.withColumn("own", ln_block(F.col("n0"), F.col("n1")))
+        high = F.greatest("own", "below")
+        return level.withColumn("weighted", high + F.log(F.exp(F.col("own") - high) + F.exp(F.col("below") - high)) - math.log(2.0))
 
+    def shorter(depth: int) -> Column:
+        return F.col("context").bitwiseAND(F.lit((1 << 8 * depth) - 1))
 
-def added(grams: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams in order, and the sum of n of each."""
-    grams, n = np.concatenate(grams), np.concatenate(n)
-    order = np.argsort(grams)
-    grams = grams[order]
-    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
-    return grams[first], np.add.reduceat(n[order], first) if len(first) else n
+    levels = {SPLIT: weighted(upper.filter("context >= 0"))}
+    for d in range(SPLIT - 1, -1, -1):
+        up = levels[d + 1].groupBy(shorter(d).alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("weighted").alias("below"))
+        levels[d] = stored(weighted(up), folder, f"up{d}")
+    n, estimate = F.col("n0") + F.col("n1"), (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
+    stays = F.when(n == 0, F.lit(0.0)).otherwise(1 / (1 + F.exp(F.col("below") - F.col("own"))))
+    start = {"sure": F.lit(0.0), "rest": F.lit(1.0), "p": F.lit(0.5)}
+    value = levels[0].withColumns(start)
+    for d in range(1, SPLIT + 1):
+        ended = F.when(n > 0, F.col("sure") + F.col("rest") * estimate).otherwise(F.col("p"))
+        above = value.select(F.col("context").alias("up"), "node", (F.col("sure") + F.col("rest") * stays * estimate).alias("sure"), (F.col("rest") * (1 - stays)).alias("rest"), ended.alias("p"))
+        value = levels[d].withColumn("up", shorter(d - 1)).join(above, ["up", "node"])
+    return stored(value.select("context", "node", "sure", "rest", "p"), folder, "down")
 
 
-def asked_grams(stored_chunks: DataFrame) -> DataFrame:
-    """ASKED: the distinct grams of each chunk by bucket, in order (as differences), and how often training texts have them."""
+def told_grams(asked: DataFrame, top: DataFrame, buckets: int) -> DataFrame:
+    """Rows of ASKED with the answers to what each chunk asked of each bucket."""
     schema = arrow_schema(ASKED)
+    bucket = (F.shiftright(F.col("context") * F.lit(HASH).cast("long"), 15) % buckets).cast("int")
+    known = top.select(bucket.alias("bucket"), F.lit(-1).cast("long").alias("chunk"), F.lit(None).cast("binary").alias("blob"), (F.col("context") * 256 + F.col("node")).alias("key"), "sure", "rest", "p")
+    none = [F.lit(0).cast("long").alias("key"), *[F.lit(0.0).alias(c) for c in ("sure", "rest", "p")]]
+    rows = known.unionByName(asked.filter("bucket >= 0").select("bucket", "chunk", "blob", *none))
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                _, held, sizes, _, flat = unpacked(batch.column(2)[i].as_py())
-                raw, ends = streams(batch.column(1)[i].as_py(), sizes, flat)
-                teaches, found = ~np.array(held, bool), []
-                for grams, place, owner in text_grams(raw, ends):
-                    found.append((grams, np.bincount(place[teaches[owner]], minlength=len(grams))))
-                grams, n = added(*zip(*found))
-                bucket = (grams >> 16) % BUCKETS
-                order = np.argsort(bucket, kind="stable")
-                edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-                rows = [(b, packed((np.diff(grams[o], prepend=0), n[o]))) for b in range(BUCKETS) if len(o := order[edges[b] : edges[b + 1]])]
-                columns = [[b for b, _ in rows], [batch.column(0)[i].as_py()] * len(rows), [x for _, x in rows]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
-
-    return stored_chunks.select("chunk", "words", "head").mapInArrow(run, ASKED)
-
-
-def added_grams(asked: DataFrame) -> DataFrame:
-    """(gram, n) over all chunks; grams of other texts have n = 0, so that their nodes exist."""
-    ddl = "gram long, n long"
-    schema = arrow_schema(ddl)
-
-    def run(batches):
-        bucket, grams, n, waiting = None, [], [], 0
-
-        def emit():
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in added(grams, n)], schema=schema)
-
-        for batch in batches:
-            for own, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if own != bucket:
-                    if grams:
-                        yield emit()
-                    bucket, grams, n, waiting = own, [], [], 0
-                steps, counts = unpacked(blob.as_py())
-                grams.append(steps.cumsum())
-                n.append(counts)
-                waiting += len(steps)
-                if waiting > max(PIECE_BYTES, 2 * len(grams[0])):
-                    grams, n = ([x] for x in added(grams, n))
-                    waiting = len(grams[0])
-        if grams:
-            yield emit()
-
-    return asked.select("bucket", "asked").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
-
-
-def told_grams(asked: DataFrame, scored: DataFrame) -> DataFrame:
-    """(chunk, place, told): what each chunk asked of a bucket, with the grams' log10 probabilities."""
-    ddl = "chunk long, place long, told binary"
-    schema = arrow_schema(ddl)
-    known = scored.select((F.shiftright("gram", 16) % BUCKETS).cast("int").alias("bucket"), F.lit(-1).cast("long").alias("chunk"), "gram", "lp", F.lit(None).cast("binary").alias("asked"))
-    rows = known.unionByName(asked.select("bucket", "chunk", F.lit(0).cast("long").alias("gram"), F.lit(0.0).alias("lp"), "asked"))
-
-    def run(batches):
-        bucket, parts, table = None, [], None
+        def emit(bucket, told, blobs):
+            held = Bucket()
+            for _, blob in blobs:
+                held.add(blob)
+            held.settle()
+            key, *values = map(np.concatenate, zip(*told)) if told else [np.zeros(0, np.int64)] * 4
+            order = np.argsort(key)
+            key = key[order]
+
+            def of(context, node):
+                at = order[np.searchsorted(key, context * 256 + node)]
+                return [v[at] for v in values]
+
+            lp = np.zeros(len(held.grams[0]))
+            for own, branch in branches(held.grams[0], held.n[0]):
+                lp[own] = branch.scores(of)
+            for chunk, blob in blobs:
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((chunk, bucket, held.answer(blob, lp)), schema)], schema=schema)
+
+        last, told, blobs = None, [], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            buckets, chunk, gram, lp = (batch.column(i).to_numpy() for i in range(4))
-            edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), batch.num_rows]
+            numbers, chunk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero((np.diff(numbers) != 0) | (np.diff(chunk) != 0)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(edges[:-1], edges[1:]):
-                if buckets[lo] != bucket:
-                    bucket, parts, table = buckets[lo], [], None
-                cut = lo + int(np.searchsorted(chunk[lo:hi], 0))  # sorted: what is known comes first
-                if cut > lo:
-                    parts.append((gram[lo:cut].copy(), lp[lo:cut].copy()))
-                if cut < hi and table is None:
-                    table, parts = tuple(map(np.concatenate, zip(*parts))), []
-                out = []
-                for i in range(cut, hi):
-                    grams = unpacked(batch.column(4)[i].as_py())[0].cumsum()
-                    out.append(packed((np.diff(grams, prepend=0), table[1][np.searchsorted(table[0], grams)])))
-                if out:
-                    columns = [chunk[cut:hi], np.full(hi - cut, FAR + int(bucket)), out]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
-
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "chunk", "gram")
-    return rows.select("bucket", "chunk", "gram", "lp", "asked").mapInArrow(run, ddl)
-
-
-def answered_texts(stored_chunks: DataFrame, vocab: DataFrame, told: DataFrame, totals: dict) -> DataFrame:
-    """RESULT for every document of the chunks, from the counts of its words and the answers to its grams."""
-    asked = stored_chunks.select("chunk", F.posexplode("words").alias("place", "word"))
-    none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
-    rows = asked.join(vocab, "word").select("chunk", F.col("place").cast("long").alias("place"), "c", "word", none.alias("blob"))
-    rows = rows.unionByName(stored_chunks.select("chunk", F.lit(-1).cast("long").alias("place"), zero.alias("c"), none.alias("word"), F.col("head").alias("blob")))
-    rows = rows.unionByName(told.select("chunk", "place", zero.alias("c"), none.alias("word"), F.col("told").alias("blob")))
+                if numbers[lo] != last:
+                    if blobs:
+                        yield from emit(last, told, blobs)
+                    last, told, blobs = int(numbers[lo]), [], []
+                if chunk[lo] < 0:
+                    told.append([batch.column(i).to_numpy()[lo:hi].copy() for i in range(3, 7)])
+                else:
+                    blobs += [(int(chunk[i]), batch.column(2)[i].as_py()) for i in range(lo, hi)]
+        if blobs:
+            yield from emit(last, told, blobs)
+
+    return rows.select("bucket", "chunk", "blob", "key", "sure", "rest", "p").repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, ASKED)
+
+
+def answered_texts(told: DataFrame, chunks: int, totals: dict) -> DataFrame:
+    """RESULT for every document of the waiting files, from the answers."""
     schema, t = arrow_schema(RESULT), totals
 
-    def finish(head, words, c, parts):
-        ids, held, sizes, coded, flat = unpacked(head)
+    def finish(path, parts):
+        ids, held, sizes, rows, joined, lengths, steps = unpacked(read_file(path))
+        words, flat, k = cut(joined, lengths), from_planes(rows, np.int32), len(sizes)
         raw, ends = streams(words, sizes, flat)
-        sizes, k = sizes.astype(np.int64), len(sizes)
-        owner = np.repeat(np.arange(k), sizes)
+        fine, c = map(np.concatenate, zip(*((from_planes(rows, np.uint32), n) for rows, n in parts)))
+        owner, c = np.repeat(np.arange(k), sizes), c.astype(np.int64)
         total = lambda values: np.bincount(owner, weights=values[flat], minlength=k)
         whole = t["tokens"] + t["distinct"] + 1
         base = total(np.log10((c + 1) / whole)) + math.log10((t["ends"] + 1) / whole)
         known = total((c > 0).astype(float)) + (t["ends"] > 0)
-        grams, lp = (np.concatenate(x) for x in zip(*parts))
+        grams = from_planes(steps, np.int64).cumsum()
         order = np.argsort(grams)
-        grams, lp, score = grams[order], lp[order], np.zeros(k)
+        grams, lp, score = grams[order], fine[order] / -FINE, np.zeros(k)
         for distinct, place, of in text_grams(raw, ends):
             score += np.bincount(of, lp[np.searchsorted(grams, distinct)][place], k)
-        return [ids, held, sizes + 1, known.astype(np.int64), np.full(k, t["tokens"]), base, score, -score * math.log2(10) / np.array(coded, float)]
+        coded = np.diff(ends, prepend=0) - DEPTH
+        columns = [ids, held, sizes + 1, known.astype(np.int64), np.full(k, t["tokens"]), base, score, -score * math.log2(10) / coded]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
 
     def run(batches):
-        head, words, cs, parts = None, [], [], []
+        path, parts = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if bucket < 0:
+                    if path is not None:
+                        yield finish(path, parts)
+                    (path, _), parts = unpacked(blob.as_py()), []
+                else:
+                    parts.append(unpacked(blob.as_py()))
+        if path is not None:
+            yield finish(path, parts)
 
-        def emit():
-            columns = finish(head, words, np.concatenate(cs) if cs else np.zeros(0, np.int64), parts)
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
+    return told.repartition(chunks, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, RESULT)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            place, c, blob = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(4)
-            starts = [*np.flatnonzero(place < 0).tolist(), batch.num_rows]
-            edges = [0, *starts] if starts[0] else starts
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if place[lo] < 0:
-                    if head is not None:
-                        yield emit()
-                    head, words, cs, parts = blob[lo].as_py(), [], [], []
-                    lo += 1
-                far = lo + int(np.searchsorted(place[lo:hi], FAR))
-                words += batch.column(3).slice(lo, far - lo).to_pylist()
-                cs.append(c[lo:far].copy())
-                for i in range(far, hi):
-                    steps, lp = unpacked(blob[i].as_py())
-                    parts.append((steps.cumsum(), lp))
-        if head is not None:
-            yield emit()
-
-    return rows.repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(run, RESULT)
-
-
-def score(docs: DataFrame, across_words: bool = False) -> DataFrame:
+
+def score(docs: DataFrame) -> DataFrame:
     """RESULT for every row of docs; rows that are not held out teach."""
     folder = shared_dir(docs.sparkSession, "weighting")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7).alias("held_out"), F.col("text").cast("string").alias("text"))
-    parts = stored(chunks(own), folder, "chunks")
-    ends = parts.select(F.sum("ends")).first()[0] or 0
-    vocab = stored(vocabulary(parts), folder, "vocabulary")
-    told = vocab.select(F.sum("c").alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct")).first()
-    if across_words:
-        totals = {"tokens": (told["tokens"] or 0) + ends, "distinct": told["distinct"] + (ends > 0), "ends": ends}
-        asked = stored(asked_grams(parts), folder, "asked")
-        grams = stored(added_grams(asked), folder, "grams")
-        scored = stored(gram_scores(grams, folder), folder, "scored")
-        return answered_texts(parts, vocab, told_grams(asked, scored), totals)
-    end = docs.sparkSession.range(1).select(F.lit(END_GRAM).cast("long").alias("gram"), F.lit(ends).cast("long").alias("n"))
-    grams = stored(gram_counts(vocab).unionByName(end).groupBy("gram").agg(F.sum("n").alias("n")), folder, "grams")
-    scored = stored(gram_scores(grams, folder), folder, "scored")
-    totals = {"tokens": (told["tokens"] or 0) + ends, "distinct": told["distinct"] + (ends > 0), "ends": ends, "end_lp": scored.filter(F.col("gram") == END_GRAM).first()["lp"]}
-    return answered(parts, stored(word_scores(vocab, scored, folder), folder, "words"), totals)
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 7).alias("held_out"), text.alias("text"))
+    told = docs.select(F.sum(F.octet_length(text)).alias("size"), F.count_if(~held_out(F.col("doc_id"), 7)).alias("ends")).first()
+    buckets, ends = max(64, min((told["size"] or 0) // BUCKET_BYTES, 1 << 20)), told["ends"]
+    asked = stored(asked_grams(own, folder, buckets), folder, "asked")
+    upper = stored(upwards(asked, buckets), folder, "upper")
+    found = upper.filter("context < 0").select(F.sum("n0").alias("tokens"), F.sum("n1").alias("distinct")).first()
+    totals = {"tokens": (found["tokens"] or 0) + ends, "distinct": (found["distinct"] or 0) + (ends > 0), "ends": ends}
+    waiting = asked.filter("bucket < 0")
+    told = told_grams(asked, short_contexts(upper, folder), buckets)
+    return answered_texts(waiting.unionByName(told), max(1, waiting.count()), totals)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(read_table(spark, sf_dir, "documents"), across_words=True)
+    return score(read_table(spark, sf_dir, "documents"))
