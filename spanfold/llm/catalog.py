@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import pathlib
-import tempfile
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, language_id, media, mixing, quality_rules, simhash, token_files, tree_weighting, url_filter, weak_quality
+from .common import ship
 
 _MODULES = {
     "op1_token_files": token_files,
@@ -24,19 +21,6 @@ _MODULES = {
 }
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once a session, so that Python workers can import it from anywhere."""
-    if getattr(spark.sparkContext, "_spanfold_shipped", False):
-        return
-    root = pathlib.Path(__file__).resolve().parent.parent
-    to = pathlib.Path(tempfile.mkdtemp(prefix="spanfold-ship-")) / "spanfold_package.zip"
-    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as out:
-        for p in sorted(root.rglob("*.py")):
-            out.write(p, f"{root.name}/{p.relative_to(root)}")
-    spark.sparkContext.addPyFile(str(to))
-    spark.sparkContext._spanfold_shipped = True
-
-
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import pathlib
 import pickle
 import posixpath
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,24 +24,56 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a session, so that Python workers can import it from anywhere."""
+    if getattr(spark.sparkContext, "_spanfold_shipped", False):
+        return
+    root, own = pathlib.Path(__file__).resolve().parent.parent, tempfile.mkdtemp(prefix="spanfold-ship-")
+    atexit.register(shutil.rmtree, own, True)
+    to = pathlib.Path(own) / "spanfold_package.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, f"{root.name}/{p.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(to))
+    spark.sparkContext._spanfold_shipped = True
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors see.
+    """A new folder under spark.checkpoint.dir, which the driver and all executors see; ships the package, too.
 
-    Only where that setting is absent (tests, local mode) a folder of this machine takes its place.
+    Only in local mode a folder of this machine takes the place of an absent setting. `release` removes such folders.
     """
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         base = getattr(spark, "_spanfold_dir", None)
         if base is None:
             own = tempfile.mkdtemp(prefix="spanfold-")
             atexit.register(shutil.rmtree, own, True)
             base = f"file://{own}"
             spark._spanfold_dir = base
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    made = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    spark._spanfold_made = [*getattr(spark, "_spanfold_made", []), made]
+    return made
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the work folders of this session so far; results that still read from them must have been written before."""
+    for made in getattr(spark, "_spanfold_made", []):
+        files, path = open_fs(made)
+        with contextlib.suppress(FileNotFoundError):
+            files.delete_dir(path)
+    spark._spanfold_made = []
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -146,10 +181,6 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
-def map_arrow(df: DataFrame, function, ddl: str) -> DataFrame:
-    return df.mapInArrow(function, ddl)
-
-
 def n_words(text: Column) -> Column:
     """Number of words; null counts as the empty text."""
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))).cast("long")

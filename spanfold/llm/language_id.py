@@ -17,14 +17,12 @@ an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, held_out, read_table, small_batches, texts_of
+from .common import arrow_schema, held_out, read_table, ship, small_batches, texts_of
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -32,12 +30,16 @@ PENALTY = 2.0
 EM_STEPS = 12
 #: A stage keeps a document if one language holds at least this share of its words.
 MIN_SHARE = 0.4
-LETTER = re.compile(r"[^\W\d_]")
 #: ASCII upper case to lower case; every other ASCII character that is no letter becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter (of Unicode's categories L; numerals and fractions are none)."""
+    return any(map(str.isalpha, text))
+
+
 def words_of(text: str) -> bytes:
     """Lower-case letters (and all bytes above ASCII) with one space around each word."""
     return b" " + b" ".join(text.lower().encode().translate(FOLD).split()) + b" "
@@ -92,7 +94,7 @@ class Model:
     def predict(self, texts: list) -> tuple[list[str], np.ndarray]:
         """Language with the largest proportion and that proportion, for each text."""
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
-        some = [i for i, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
+        some = [i for i, t in enumerate(texts) if t and self.languages and has_letter(t)]
         if not some:
             return names, scores
         raws = [words_of(texts[i]) for i in some]
@@ -200,6 +202,7 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     Where no row names a language nothing can be learned, and a text needs a letter only.
     """
+    ship(docs.sparkSession)
     model = Model.learn(training_rows(docs))
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
 
@@ -211,13 +214,14 @@ def accepted(docs: DataFrame) -> DataFrame:
             if own.languages:
                 keep = [n != "und" and s >= MIN_SHARE for n, s in zip(names, scores)]
             else:
-                keep = [bool(t and LETTER.search(t)) for t in texts]
+                keep = [bool(t and has_letter(t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
+    ship(docs.sparkSession)
     return predict(docs, Model.learn(training_rows(docs)))
 
 

@@ -109,7 +109,7 @@ def write_shards(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -
             out = []
             for text in texts_of(batch):
                 if shard is None:
-                    shard, number = Shard(f"{folder}/media-{task:06d}-{number:04d}.tar"), number + 1
+                    shard, number = Shard(f"{folder}/media-{task:010d}-{number:06d}.tar"), number + 1
                 n, payload = payload_of(text)
                 digest = hashlib.sha256(payload).hexdigest()
                 out.append((n, digest, shard.path, *shard.put(digest, payload)))

@@ -157,19 +157,21 @@ def features_of(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def fit_forest(stats: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE) -> Forest:
-    """Fits on trees x subsample rows at most, taken by the hash of their id; documents that fail the base rules take no part.
+    """Fits on trees x subsample rows at most, taken by the hash of id and statistics; documents that fail the base rules take no part.
+    Rows equal in all of these count once, so rows without an id, or with the same one, do not fill the sample.
 
-    The hash bound comes from a count, so that tasks together send the driver little more than the sample.
+    The hash bound comes from an estimate of how many such rows there are, so that tasks together send the driver little more than the sample.
     """
     passed, most = stats.filter(~base_failed()), trees * subsample
-    share = min(1.0, 1.1 * most / max(1, passed.count()))
-    hashed = passed.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)).alias("h"), "doc_id", *FEATURES).filter(F.col("h") < int(share * (1 << 31)))
+    h = F.pmod(F.xxhash64("doc_id", "n_words", "word_chars", *FEATURES), F.lit(1 << 31))
+    share = min(1.0, 1.25 * most / max(1, passed.select(F.approx_count_distinct(h)).first()[0]))
+    hashed = passed.select(h.alias("h"), "doc_id", *FEATURES).filter(F.col("h") < int(share * (1 << 31))).distinct()
     rows = hashed.orderBy("h", "doc_id").limit(most).toPandas()
     rows = rows.sort_values(["h", "doc_id", *FEATURES])
     return Forest(beyond_ordinary(rows[list(FEATURES)].to_numpy(float)), trees, subsample)
 
 
-def with_scores(stats: DataFrame, forest: Forest, also: str = "") -> DataFrame:
+def with_scores(stats: DataFrame, forest: Forest) -> DataFrame:
     keep = [f for f in stats.columns]
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema) + ", anomaly double"
     shared = stats.sparkSession.sparkContext.broadcast(forest)  # trees x 511 nodes at most

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, read_table, shared_dir, small_batches, stored, texts_of
+from .common import arrow_schema, free_name, read_table, shared_dir, small_batches, stored, texts_of
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SPLIT_AT = 2048
@@ -194,7 +194,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows get a number of their own first, so repeated rows and null ids count as what they are.
     """
-    folder, number = shared_dir(docs.sparkSession, "dedup"), "_row_number"
+    folder, number = shared_dir(docs.sparkSession, "dedup"), free_name(docs, "_row_number")
     rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), folder, "rows")
     found = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text")).select(F.col("doc_id").alias(number), "component_id")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(number).alias("row"))

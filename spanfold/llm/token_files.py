@@ -164,7 +164,7 @@ def file_pieces(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, block_
     yield MAGIC
 
 
-def read_file(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def read_ids(uri: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, number of ids of each, all ids) of one file."""
     files, path = open_fs(uri)
     with files.open_input_file(path) as f:
@@ -266,7 +266,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END
             names.append(batch.column(0).fill_null(NO_ID).to_numpy())
         if names:
             n = np.concatenate(counts)
-            path = f"{folder}/tokens-{number:06d}.s8b"
+            path = f"{folder}/tokens-{number:010d}.s8b"
             write_file(path, file_pieces(np.concatenate(names), n, np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], schema=schema)
 
@@ -283,7 +283,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                names, counts, ids = read_file(path)
+                names, counts, ids = read_ids(path)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 ends = counts.cumsum()
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist())]

@@ -4,7 +4,7 @@ Overlapping heuristic labellers vote good or bad on a text, or abstain. Their ac
 expectation-maximisation over the counts of vote patterns of the whole corpus (2^labellers patterns at most, so
 they fit the driver) estimates each labeller's accuracy and the share of good documents. The posterior of
 a document's pattern is its soft label. A linear scorer over hashed byte trigrams and repeated words (relative frequencies,
-BUCKETS weights) learns from the posteriors of a bounded sample, SAMPLE documents taken by the hash of their id; it then
+BUCKETS weights) learns from the posteriors of a bounded sample, about SAMPLE documents taken by the hash of id and text, each once; it then
 scores all texts. The threshold comes from all documents: it keeps KEEP_CONFIDENT of those whose posterior is at
 least CONFIDENT, as far as 1/2 at most.
 
@@ -122,17 +122,18 @@ def feature_buckets(text: str | None) -> np.ndarray:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """buckets and shares (relative frequencies) of each row of docs, with its posterior."""
-    ddl = "doc_id long, posterior double, buckets array<int>, shares array<float>"
+    """h, votes (pattern), buckets and shares (relative frequencies) of each row of docs."""
+    ddl = "h long, pattern int, buckets array<int>, shares array<float>"
     schema = arrow_schema(ddl)
 
     def run(batches):
         for batch in small_batches(batches, "text"):
-            found = [np.unique(feature_buckets(t), return_counts=True) for t in texts_of(batch)]
-            columns = [batch.column(0), batch.column(1), [b.tolist() for b, _ in found], [(n / max(1, n.sum())).tolist() for _, n in found]]
+            texts = texts_of(batch)
+            found = [np.unique(feature_buckets(t), return_counts=True) for t in texts]
+            columns = [batch.column(0), [votes(t) for t in texts], [b.tolist() for b, _ in found], [(n / max(1, n.sum())).tolist() for _, n in found]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select("doc_id", "posterior", "text").mapInArrow(run, ddl)
+    return docs.select("h", "text").mapInArrow(run, ddl)
 
 
 def train(rows) -> tuple[np.ndarray, float]:
@@ -181,9 +182,10 @@ def classify(docs: DataFrame) -> DataFrame:
     table = spark.createDataFrame([(i, float(p)) for i, p in enumerate(by_pattern)], "pattern int, posterior double")
     total = int(counts["count"].sum())
     bound = int(min(1.0, SAMPLE / max(1, total)) * (1 << 31))
-    some = found.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < bound).join(F.broadcast(table), "pattern").select("doc_id", "posterior").dropDuplicates(["doc_id"])
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < bound)
-    rows = hashed(own.join(some, "doc_id")).toPandas().sort_values("doc_id")
+    text = F.col("text").cast("string")
+    own = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("h"), text.alias("text")).filter(F.pmod("h", F.lit(1 << 31)) < bound).dropDuplicates(["h"])
+    rows = hashed(own).toPandas().sort_values("h")
+    rows["posterior"] = by_pattern[rows["pattern"].to_numpy(np.int64)]
     w, b = train(rows)
     judged = stored(scored(docs, w, b).join(F.broadcast(table), "pattern"), folder, "scored")  # the table has PATTERNS rows
     bins = judged.filter(F.col("posterior") >= CONFIDENT).groupBy(F.floor(F.col("score") * 1000).alias("bin")).count().orderBy("bin").collect()
