@@ -14,6 +14,7 @@ from .plans.aggregator import aggregate_documents, harvest_range, is_aligned, no
 from .plans.documents import documents
 from .sources import adapters
 from .sources.work import work_dir
+from .streaming.windows import stream_to_documents
 from .telemetry import overflow_counts
 
 PLENTY = UNLIMITED
@@ -351,10 +352,16 @@ TELEMETRY_LIMITS = {"max_services": 60, "max_transaction_groups_per_service": 3,
 
 def q29(spark, d):
     exact = limiting.Distinct(True)
-    cut = limiting.admit(aggregate(txn(spark, d), [HOUR]), limited(**TELEMETRY_LIMITS), exact)
+    cut = limiting.admit(aggregate(txn(spark, d), [HOUR]).settled(spark, work_dir(spark, "groups")), limited(**TELEMETRY_LIMITS), exact)
     return overflow_counts(cut, exact)
 
 
+def q30(spark, d):
+    """The transactions as a stream: windows close, documents equal those of the batch job."""
+    rows = stream_to_documents(spark, txn(spark, d), config()).filter("metricset_name = 'service_transaction'")
+    return rows.selectExpr(*SVC_TXN_OUT)
+
+
 Q17 = {"max_services": 60}
 Q18 = {"max_transaction_groups_per_service": 2}
 Q19 = {"max_transaction_groups": 500}
@@ -390,6 +397,7 @@ QUERIES = {
     "q27_partitions": q27,
     "q28_totals": q28,
     "q29_overflow_counts": q29,
+    "q30_stream_equals_batch": q30,
 }
 
 _SVC_TXN = svc_txn_sql(b_sql())
@@ -403,7 +411,90 @@ def _floor(seconds: int) -> str:
     return f"to_timestamp(0)::timestamp + to_seconds(cast(floor(epoch(pt)) as bigint) - (cast(floor(epoch(pt)) as bigint) + 62135596800) % {seconds})"
 
 
+def drops_sql(base: str) -> str:
+    """Dropped-span groups of transactions."""
+    return "with " + base + f""", z as (select *, unnest(generate_series(1, k % 4)) as i from b where k % 4 > 0)
+  select cm_id, bts, svc_name, svc_environment, agent_name, global_labels, (k + i) % 7 as drop, cast(round(sum((i + 1) * rep)) as bigint) as metricset_doc_count, cast(round(sum(i * 1000000 * rep)) as bigint) as response_sum
+  from z group by {SVC_SQL}, (k + i) % 7"""
+
+
+def all_metricsets_sql() -> str:
+    parts = {
+        "transaction": f"select cm_id, metricset_doc_count as n, duration_sum as us from ({txn_sql(b_sql())})",
+        "service_transaction": f"select cm_id, metricset_doc_count as n, duration_sum as us from ({_SVC_TXN})",
+        "service_destination": f"select cm_id, metricset_doc_count as n, 0.0 as us from ({drops_sql(b_sql())})",
+        "service_summary": f"select cm_id, 0 as n, 0.0 as us from (with {b_sql()} select distinct {SVC_SQL} from b)",
+    }
+    return " union all ".join(f"select '{m}' as metricset_name, '60m' as metricset_interval, cm_id, count(*) as documents, cast(sum(n) as bigint) as events, cast(sum(us) as double) as micros from ({q}) group by cm_id" for m, q in parts.items())
+
+
+def zero_weight_sql() -> str:
+    some = b_sql(DAY, "seq % 3 = 2", rep="1.0")
+    drops = drops_sql(some).replace("* rep", "* 1.0")
+    parts = {
+        "transaction": f"select svc_name, metricset_doc_count as n from ({txn_sql(some)})",
+        "service_transaction": f"select svc_name, metricset_doc_count as n from ({svc_txn_sql(some)})",
+        "service_destination": f"select svc_name, metricset_doc_count as n from ({drops}) union all select svc_name, metricset_doc_count as n from ({span_sql()})",
+        "service_summary": f"select svc_name, 0 as n from (with {b_sql(DAY)} select distinct {SVC_SQL} from b) union all select svc_name, 0 as n from (with {S.format(seconds=DAY)} select distinct svc_name, bts from a)",
+    }
+    return " union all ".join(f"select '{m}' as metricset_name, svc_name, count(*) as documents, cast(sum(n) as bigint) as events from ({q}) group by svc_name" for m, q in parts.items())
+
+
+def wide_sql() -> str:
+    keys = "svc_name, service_version, event_outcome, transaction_name, region, nation"
+    return f"""with o as (
+    select c_mktsegment as svc_name, o_orderstatus as service_version, case o_orderstatus when 'F' then 'failure' else 'success' end as event_outcome, o_orderpriority as transaction_name, r_name as region, n_name as nation,
+      o_custkey % 1000 * 1000 as us, to_timestamp(0)::timestamp + to_seconds(cast(floor(epoch(o_orderdate::timestamp)) as bigint) - (cast(floor(epoch(o_orderdate::timestamp)) as bigint) + 62135596800) % {DAY}) as bts
+    from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+  h as (select *, cast(length(bin(us | 255)) - 8 as int) as sh from o)
+  select {TS_SQL}, svc_name, 'go' as svc_language, '1' as service_language_version, service_version, event_outcome, transaction_name, region as host_hostname, 'aws' as cloud_provider, region as cloud_region, nation as cloud_availability_zone,
+    count(*) as metricset_doc_count, cast(sum((((us >> sh) + 1) << sh) - 1) as double) as duration_sum from h group by bts, {keys}"""
+
+
+def same_sql(a: str, b: str, columns: str) -> str:
+    return " and ".join(f"{a}.{c} is not distinct from {b}.{c}" for c in columns.split(", "))
+
+
+def merge_with_overflow_sql(per: int = 2) -> str:
+    key = f"{SVC_SQL}, {TKEY}"
+    return "with " + b_sql() + f""",
+  g as (select seq % 2 as half, {key}, min(seq) as f from b group by all),
+  c as (select * from (select *, row_number() over (partition by half, {SVC_SQL} order by f) as r from g) where r <= {per}),
+  m as (select {key}, min(f) as f from c group by {key}),
+  e as (select * from (select *, row_number() over (partition by {SVC_SQL} order by f) as r from m) where r <= {per}),
+  p as (select b.*, c.f is not null and e.f is not null as won from b left join c on (c.half = b.seq % 2 and {same_sql("b", "c", key)}) left join e on ({same_sql("b", "e", key)})),
+  n as (select won, {SVC_SQL}, {", ".join(f"case when won then {c} end as {c}" for c in TKEY.split(", "))}, idx, cast(round(sum(scaled) / 1000.0) as bigint) as n from p group by all),
+  d as (select won, {key}, sum(n) as n from n group by all)
+  select cm_id, svc_name, count(*) filter (won) as groups, count(*) filter (not won) as overflows, cast(sum(n) as bigint) as events from d group by 1, 2"""
+
+
+def overflow_counts_sql(max_services: int, max_transaction_groups_per_service: int, max_service_transaction_groups: int) -> str:
+    return "with " + b_sql() + f""",
+  sv as (select {SVC_SQL}, row_number() over (partition by cm_id order by min(seq)) <= {max_services} as known from b group by {SVC_SQL}),
+  k as (select b.*, sv.known from b join sv using ({SVC_SQL})),
+  t as (select cm_id, known, row_number() over (partition by {SVC_SQL} order by min(seq)) as r from k group by {SVC_SQL}, known, {TKEY}),
+  s as (select cm_id, known, row_number() over (partition by cm_id, known order by min(seq)) as r from k group by {SVC_SQL}, known, ttype),
+  d as (select distinct {SVC_SQL}, (k + i) % 7 as resource from (select *, unnest(generate_series(1, k % 4)) as i from k where k % 4 > 0 and not known)),
+  u as (select cm_id, 'service' as aggregation_type from sv where not known
+    union all select cm_id, 'transaction' from t where not known or r > {max_transaction_groups_per_service}
+    union all select cm_id, 'service_transaction' from s where not known or r > {max_service_transaction_groups}
+    union all select cm_id, 'service_destination' from d)
+  select {HOUR} as interval_s, cm_id, aggregation_type, count(*) as overflowed from u group by 1, 2, 3"""
+
+
+def harvest_range_sql() -> str:
+    parts = [f"select {s} as interval_s, strftime({_floor(s)}, '%Y-%m-%d %H:%M:%S') as bucket, cm_id, cast(count(*) as double) as events_total from y where {_floor(s)} >= timestamp '2024-06-01 02:00:00' - to_seconds({s + HOUR}) and {_floor(s)} < timestamp '2024-06-01 02:00:00' group by 1, 2, 3" for s in (HOUR, 2 * HOUR)]
+    return _shift_sql(" union all ".join(parts))
+
+
 ORACLE_SQL = {
+    "q07_all_metricsets": all_metricsets_sql(),
+    "q10_zero_weight_no_exit": zero_weight_sql(),
+    "q16_wide_key": wide_sql(),
+    "q24_merge_with_overflow": merge_with_overflow_sql(),
+    "q26_harvest_range": harvest_range_sql(),
+    "q29_overflow_counts": overflow_counts_sql(**TELEMETRY_LIMITS),
+    "q30_stream_equals_batch": _SVC_TXN,
     "q01_txn_hourly": txn_sql(b_sql()),
     "q02_txn_histogram_rows": "with " + b_sql() + f"""
   select cm_id, {TS_SQL}, svc_name, svc_environment, agent_name, global_labels, ttype as transaction_type, cast(hi as double) as value, cast(round(sum(scaled) / 1000.0) as bigint) as n from b where idx is not null group by {SVC_SQL}, ttype, hi having sum(scaled) > 0""",

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import timedelta
 
+from pyspark.sql import Column, DataFrame
+
+from .sources.readers import console
+
 
 #: A limit that is none.
 UNLIMITED = 1 << 62
@@ -43,19 +47,24 @@ class AggConfig:
     """Settings; limits must be given, as a limit of zero would let nothing through."""
 
     limits: Limits
-    sink: Callable | None = print
-    data_dir: str = "/tmp"
+    #: Takes the documents of a harvest and the interval in seconds.
+    sink: Callable[[DataFrame, int], None] | None = console
+    #: Holds partials between ingest and harvest; None: a folder under spark.checkpoint.dir that only this aggregator knows.
+    data_dir: str | None = None
     partitions: int = 1
     intervals: tuple[timedelta, ...] = (timedelta(minutes=1),)
     harvest_delay: timedelta = timedelta(0)
     lookback: timedelta = timedelta(0)
     overflow_logging: bool = False
     overflow_count_mode: str = "sketch"  # or "exact": a distinct count, for tests on small data
-    metric_labels: Callable[[str], dict] = field(default=lambda cm_id: {})
+    #: map<string,string> of the tenant, added to the attributes of every metric.
+    metric_labels: Callable[[Column], Column] | None = None
+    #: Takes a DataFrame of metrics (see spanfold.telemetry) after each harvest.
+    metrics_sink: Callable[[DataFrame], None] | None = None
 
     def __post_init__(self) -> None:
         checks = [
-            (not self.data_dir, "data directory is required"),
+            (self.data_dir == "", "data directory is required"),
             (self.sink is None, "processor is required"),
             (self.partitions < 1, "partitions must be greater than zero"),
             (not self.intervals, "at least one aggregation interval is required"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import Limits
+from ..config import UNLIMITED, Limits
 from ..schema import COMBINED, GROUP, HISTOGRAM, SERVICE, SPAN, SUMS
 from .partials import Partials, union_all
 
@@ -43,8 +43,10 @@ def ids(frame: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
     return frame.withColumns({names[0]: F.xxhash64(*columns), names[1]: F.xxhash64(F.lit("second"), *columns)})
 
 
-def admitted_services(services: DataFrame, limit: int) -> DataFrame:
-    """sid1, sid2 of the first `limit` services of each combined key."""
+def admitted_services(services: DataFrame, limit: int) -> DataFrame | None:
+    """sid1, sid2 of the first `limit` services of each combined key; None: all of them."""
+    if limit >= UNLIMITED:
+        return None
     named = ids(services, [*COMBINED, *SERVICE], _SID)
     rank = F.row_number().over(W.partitionBy(*COMBINED).orderBy("first", *_SID))
     return named.select(*COMBINED, *_SID, "first").withColumn("r", rank).filter(F.col("r") <= limit).select(*_SID)
@@ -56,6 +58,8 @@ def first_seen(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
 
 def ranked(keys: DataFrame, by: list[str], limit: int) -> DataFrame:
+    if limit >= UNLIMITED:
+        return keys
     return keys.withColumn("r", F.row_number().over(W.partitionBy(*COMBINED, *by).orderBy("first", *_GID))).filter(F.col("r") <= limit).drop("r")
 
 
@@ -86,10 +90,16 @@ def admitted_spans(keys: DataFrame, total: int, per_service: int) -> tuple[DataF
     return won.select(*_GID), blanking
 
 
-def _routed(rows: DataFrame, metricset: str, services: DataFrame, limits: Limits) -> DataFrame:
+def _known(rows: DataFrame, services: DataFrame | None) -> DataFrame:
+    return rows.withColumn("known", F.lit(True)) if services is None else rows.join(services.withColumn("known", F.lit(True)), _SID, "left")
+
+
+def _routed(rows: DataFrame, metricset: str, services: DataFrame | None, limits: Limits) -> DataFrame:
     """rows with `place`: 'group', 'service' (its overflow) or 'all'; spans may come with their name blanked."""
     total, per_service = limits.of(metricset)
-    rows = rows.join(services.withColumn("known", F.lit(True)), _SID, "left")
+    rows = _known(rows, services)
+    if min(total, per_service) >= UNLIMITED:
+        return rows.withColumn("place", F.when(F.col("known"), "group").otherwise("all"))
     more = ("cgid1", "cgid2") if metricset == "service_destination" else ()
     keys = first_seen(rows.filter("known"), more)
     if metricset != "service_destination":
@@ -121,13 +131,14 @@ def admit(partials: Partials, limits: Limits, distinct: Distinct = Distinct()) -
         over = out.filter("place <> 'group'").select(*COMBINED, *[F.when(F.col("place") == "service", F.col(c)).alias(c) for c in SERVICE], *hist, *sums, "gid1")
         over = over.groupBy(*COMBINED, *SERVICE, *hist).agg(*[F.sum(c).alias(c) for c in sums], distinct.of(F.col("gid1")).alias("sketch"))
         if partials.overflow is not None:
-            before = ids(partials.overflow[m], [*COMBINED, *SERVICE], _SID).join(services.withColumn("known", F.lit(True)), _SID, "left")
+            before = _known(ids(partials.overflow[m], [*COMBINED, *SERVICE], _SID), services)
             before = before.select(*COMBINED, *[F.when(F.col("known"), F.col(c)).alias(c) for c in SERVICE], *hist, *sums, "sketch")
             over = over.unionByName(before).groupBy(*COMBINED, *SERVICE, *hist).agg(*[F.sum(c).alias(c) for c in sums], distinct.union(F.col("sketch")).alias("sketch"))
         overflow[m] = over
     named = ids(partials.services, [*COMBINED, *SERVICE], _SID)
-    kept = named.join(services, _SID, "left_semi").select(*COMBINED, *SERVICE, "first")
-    lost = named.join(services, _SID, "left_anti").groupBy(*COMBINED).agg(distinct.of(F.col("sid1")).alias("sketch"))
+    none = services is None
+    kept = (named if none else named.join(services, _SID, "left_semi")).select(*COMBINED, *SERVICE, "first")
+    lost = (named.filter("false") if none else named.join(services, _SID, "left_anti")).groupBy(*COMBINED).agg(distinct.of(F.col("sid1")).alias("sketch"))
     if partials.service_overflow is not None:
         lost = union_all([lost, partials.service_overflow]).groupBy(*COMBINED).agg(distinct.union(F.col("sketch")).alias("sketch"))
     return Partials(groups, kept, partials.totals, overflow, lost)

@@ -6,15 +6,12 @@ metricset; `seq` and `pos` order observations by arrival. Branches read only the
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import hdr, labels
 from ..functions.time import truncate
-from ..schema import COMBINED, GROUP, MAX_DROPPED_SPANS, SERVICE, SPAN, TRANSACTION_FIELDS
+from ..schema import COMBINED, GROUP, MAX_DROPPED_SPANS, SERVICE, SPAN, TRANSACTION, TRANSACTION_FIELDS
 
 
 def text(name: str) -> Column:
@@ -56,12 +53,13 @@ def is_exit_span() -> Column:
     return F.coalesce((F.col("event_type") == "span") & (span_weight() > 0) & place, F.lit(False))
 
 
-def partition_of(columns: tuple[str, ...], partitions: int) -> Column:
-    return F.lit(0) if partitions == 1 else F.pmod(F.xxhash64(*SERVICE, *columns), F.lit(partitions)).cast("int")
+def partition_of(key: list, partitions: int) -> Column:
+    """The partition of a group key (columns or their names) of the row's service."""
+    return F.lit(0) if partitions == 1 else F.pmod(F.xxhash64(*SERVICE, *key), F.lit(partitions)).cast("int")
 
 
 def _finish(rows: DataFrame, metricset: str, partitions: int, *measures: str) -> DataFrame:
-    rows = rows.withColumn("partition_id", partition_of(GROUP[metricset], partitions))
+    rows = rows.withColumn("partition_id", partition_of(list(GROUP[metricset]), partitions))
     return rows.select(*COMBINED, *SERVICE, *GROUP[metricset], *measures, "seq", "pos")
 
 
@@ -70,9 +68,17 @@ def _duration() -> list[Column]:
     return [hdr.bucket_index(micros).alias("bucket"), hdr.scaled_count(transaction_weight()).alias("scaled")]
 
 
+def _transaction_key() -> list[Column]:
+    return [text("parent_id") == "", F.col("faas.cold_start"), *[text(field) for field in TRANSACTION_FIELDS.values()]]
+
+
+def _span_key() -> list[Column]:
+    return [text("span.name"), text("event.outcome"), text("service.target.type"), text("service.target.name"), text("span.destination_service.resource")]
+
+
 def transactions(fanned: DataFrame, partitions: int = 1) -> DataFrame:
-    keys = [text(field).alias(name) for name, field in TRANSACTION_FIELDS.items()]
-    rows = fanned.filter(is_counted_transaction()).select(*[c for c in COMBINED if c != "partition_id"], *SERVICE, (text("parent_id") == "").alias("trace_root"), F.col("faas.cold_start").alias("faas_cold_start"), *keys, *_duration(), "seq", F.lit(0).alias("pos"))
+    keys = [c.alias(name) for c, name in zip(_transaction_key(), TRANSACTION)]
+    rows = fanned.filter(is_counted_transaction()).select(*[c for c in COMBINED if c != "partition_id"], *SERVICE, *keys, *_duration(), "seq", F.lit(0).alias("pos"))
     return _finish(rows, "transaction", partitions, "bucket", "scaled")
 
 
@@ -87,22 +93,31 @@ def exit_spans(fanned: DataFrame, partitions: int = 1) -> DataFrame:
     weight, composite = span_weight(), F.col("span.composite")
     times = F.when(composite.isNotNull(), F.coalesce(F.col("span.composite.count"), F.lit(0))).otherwise(1)
     nanos = F.when(composite.isNotNull(), (F.coalesce(F.col("span.composite.sum_ms"), F.lit(0.0)) * 1e6).cast("long")).otherwise(F.coalesce(F.col("event.duration_ns"), F.lit(0)))
-    rows = fanned.filter(is_exit_span()).select(*[c for c in COMBINED if c != "partition_id"], *SERVICE, text("span.name").alias("span_name"), text("event.outcome").alias("span_outcome"), text("service.target.type").alias("target_type"), text("service.target.name").alias("target_name"), text("span.destination_service.resource").alias("resource"), (times * weight).alias("count"), (nanos * weight).alias("total"), "seq", F.lit(0).alias("pos"))
+    rows = fanned.filter(is_exit_span()).select(*[c for c in COMBINED if c != "partition_id"], *SERVICE, *[c.alias(name) for c, name in zip(_span_key(), SPAN)], (times * weight).alias("count"), (nanos * weight).alias("total"), "seq", F.lit(0).alias("pos"))
     return _finish(rows, "service_destination", partitions, "count", "total")
 
 
+def _drop_key(d: Column) -> list[Column]:
+    """The span key of a dropped-span statistic."""
+    def part(name: str) -> Column:
+        return F.coalesce(d[name], F.lit(""))
+
+    return [F.lit(""), part("outcome"), part("service_target_type"), part("service_target_name"), part("destination_service_resource")]
+
+
 def dropped_spans(fanned: DataFrame, partitions: int = 1) -> DataFrame:
-    """Dropped-span statistics of counted transactions: the first MAX_DROPPED_SPANS of an event in each partition."""
-    own = fanned.filter(is_counted_transaction())
-    stats = F.col("transaction.dropped_spans_stats")
-    one = F.posexplode(F.slice(stats, 1, MAX_DROPPED_SPANS) if partitions == 1 else stats).alias("pos", "d")
-    rows = own.select(*[c for c in COMBINED if c != "partition_id"], *SERVICE, transaction_weight().alias("weight"), "seq", one)
-    rows = rows.select("*", F.lit("").alias("span_name"), text("d.outcome").alias("span_outcome"), text("d.service_target_type").alias("target_type"), text("d.service_target_name").alias("target_name"), text("d.destination_service_resource").alias("resource"), (F.coalesce(F.col("d.duration.count"), F.lit(0)) * F.col("weight")).alias("count"), (F.coalesce(F.col("d.duration.sum_ns"), F.lit(0)) * F.col("weight")).alias("total"))
-    out = _finish(rows, "service_destination", partitions, "count", "total")
-    if partitions > 1:
-        place = F.row_number().over(W.partitionBy("seq", "interval_s", "partition_id").orderBy("pos"))
-        out = out.withColumn("place", place).filter(F.col("place") <= MAX_DROPPED_SPANS).drop("place")
-    return out
+    """Dropped-span statistics of counted transactions: the first MAX_DROPPED_SPANS of an event in each partition, found in its own row."""
+    own, stats = fanned.filter(is_counted_transaction()), F.col("transaction.dropped_spans_stats")
+    if partitions == 1:
+        held = F.slice(stats, 1, MAX_DROPPED_SPANS)
+    else:
+        own = own.withColumn("parts", F.transform(stats, lambda d: partition_of(_drop_key(d), partitions)))
+        place = lambda i: F.size(F.filter(F.slice("parts", F.lit(1), i + 1), lambda p: p == F.get("parts", i)))
+        held = F.filter(stats, lambda d, i: (F.size(stats) <= MAX_DROPPED_SPANS) | (place(i) <= MAX_DROPPED_SPANS))
+    rows = own.select(*[c for c in COMBINED if c != "partition_id"], *SERVICE, transaction_weight().alias("weight"), "seq", F.posexplode(held).alias("pos", "d"))
+    keys = [c.alias(name) for c, name in zip(_drop_key(F.col("d")), SPAN)]
+    measures = [(F.coalesce(f"d.duration.{c}", F.lit(0)) * F.col("weight")).alias(name) for c, name in (("count", "count"), ("sum_ns", "total"))]
+    return _finish(rows.select(*[c for c in COMBINED if c != "partition_id"], *SERVICE, *keys, *measures, "seq", "pos"), "service_destination", partitions, "count", "total")
 
 
 def spans(fanned: DataFrame, partitions: int = 1) -> DataFrame:
@@ -112,13 +127,19 @@ def spans(fanned: DataFrame, partitions: int = 1) -> DataFrame:
 BRANCHES = {"transaction": transactions, "service_transaction": service_transactions, "service_destination": spans}
 
 
+def touched(partitions: int) -> Column:
+    """The partitions that an event's observations fall into, each once; an event without observations has the one of its service."""
+    nothing = F.array().cast("array<int>")
+    transaction = F.array(partition_of(_transaction_key(), partitions), partition_of([text("transaction.type")], partitions))
+    drops = F.coalesce(F.transform("transaction.dropped_spans_stats", lambda d: partition_of(_drop_key(d), partitions)), nothing)
+    found = F.when(is_counted_transaction(), F.concat(transaction, drops)).when(is_exit_span(), F.array(partition_of(_span_key(), partitions))).otherwise(nothing)
+    return F.array_distinct(F.when(F.size(found) > 0, found).otherwise(F.array(partition_of([], partitions))))
+
+
 def presences(fanned: DataFrame, partitions: int = 1) -> DataFrame:
-    """(combined key, service key, seq, received): each partition an event touches, each event at least once."""
-    common = ["interval_s", "processing_time", "cm_id", *SERVICE, "seq", F.col("event.received").alias("received")]
+    """(combined key, service key, seq, pos, received, share): each partition an event touches, each event at least once; an event's shares sum to 1."""
+    common = ["interval_s", "processing_time", "cm_id", *SERVICE, "seq", F.lit(0).alias("pos"), F.col("event.received").alias("received")]
     if partitions == 1:
-        return fanned.select(*common, F.lit(0).alias("partition_id"))
-    touched = [b(fanned, partitions).select("interval_s", "seq", "partition_id") for b in BRANCHES.values()]
-    touched = reduce(DataFrame.unionByName, touched).distinct()
-    counted = fanned.filter(is_counted_transaction() | is_exit_span()).select(*common).join(touched, ["interval_s", "seq"])
-    rest = fanned.filter(~(is_counted_transaction() | is_exit_span())).select(*common).withColumn("partition_id", partition_of((), partitions))
-    return counted.unionByName(rest)
+        return fanned.select(*common, F.lit(1.0).alias("share"), F.lit(0).alias("partition_id"))
+    rows = fanned.withColumn("parts", touched(partitions))
+    return rows.select(*common, (1.0 / F.size("parts")).alias("share"), F.explode("parts").alias("partition_id"))

@@ -2,7 +2,7 @@
 
 `groups[metricset]` has a row for each group and histogram bucket (null: a duration that no bucket takes), so merging
 is a union and one aggregation with map-side combination; it is associative, and partials written by one cluster
-can be read and merged by another. `first` is the arrival order (seq, pos) of a group's first observation.
+can be read and merged by another. `first` is the arrival order (seq x ORDER + pos) of a group's first observation.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import Limits
-from ..schema import COMBINED, GROUP, HISTOGRAM, SERVICE, SUMS, event_schema
+from ..schema import COMBINED, GROUP, HISTOGRAM, ORDER, SERVICE, SUMS, event_schema
 from .metricsets import BRANCHES, fanned_out, presences
 
 OVERFLOW = (*COMBINED, *SERVICE)
@@ -40,20 +41,26 @@ class Partials:
             out |= {f"overflow_{m}": d for m, d in self.overflow.items()} | {"service_overflow": self.service_overflow}
         return out
 
-    def save(self, folder: str, mode: str = "overwrite") -> None:
+    def save(self, folder: str, mode: str = "overwrite", by: tuple[str, ...] = ("interval_s", "processing_time")) -> None:
         """Parquet tables, divided by interval and processing time, so that a harvest reads its own range only."""
         for name, table in self.tables().items():
-            table.write.mode(mode).partitionBy("interval_s", "processing_time").parquet(f"{folder}/{name}")
+            table.write.mode(mode).partitionBy(*by).parquet(f"{folder}/{name}")
+
+    def settled(self, spark: SparkSession, folder: str, distinct=None) -> Partials:
+        """The same partials, written and read back: what follows reads groups, not events, as often as it likes."""
+        self.save(folder, by=())
+        return Partials.load(spark, folder, self.overflow is not None, distinct)
 
     @classmethod
-    def load(cls, spark: SparkSession, folder: str, overflowed: bool = False, distinct=None) -> Partials:
+    def load(cls, spark: SparkSession, folder: str, overflowed: bool = False, distinct=None, *more: str) -> Partials:
+        """Saved tables; `more`: text columns that they are divided by besides."""
         from .limits import Distinct, admit  # which needs this module
 
         none = aggregate(spark.createDataFrame([], event_schema()), [1])
         kinds = {k: t.schema for k, t in (admit(none, Limits.same(0), distinct or Distinct()) if overflowed else none).tables().items()}
 
         def read(name):  # a table without rows has no files to tell its schema
-            return spark.read.schema(kinds[name]).parquet(f"{folder}/{name}")
+            return spark.read.schema(reduce(lambda kind, c: kind.add(c, "string"), more, StructType(list(kinds[name])))).parquet(f"{folder}/{name}")
 
         groups = {m: read(f"groups_{m}") for m in GROUP}
         if not overflowed:
@@ -85,15 +92,11 @@ def group_columns(metricset: str) -> list[str]:
 def aggregate(events: DataFrame, intervals: list[int], partitions: int = 1) -> Partials:
     """Partials of raw events."""
     fanned = fanned_out(events, intervals)
-    order = F.struct("seq", "pos")
+    order = F.col("seq") * ORDER + F.col("pos")
     groups = {m: branch(fanned, partitions).groupBy(*group_columns(m)).agg(*_sums(m, order)) for m, branch in BRANCHES.items()}
     seen = presences(fanned, partitions)
-    services = seen.groupBy(*COMBINED, *SERVICE).agg(F.min("seq").alias("first"))
-    if partitions == 1:
-        totals = seen.groupBy(*COMBINED).agg(F.count("*").cast("double").alias("events_total"), F.max("received").alias("youngest"))
-    else:
-        share = seen.groupBy("interval_s", "seq").agg(F.count_distinct("partition_id").alias("parts"))
-        totals = seen.join(share, ["interval_s", "seq"]).groupBy(*COMBINED).agg(F.sum(1.0 / F.col("parts")).alias("events_total"), F.max("received").alias("youngest"))
+    services = seen.groupBy(*COMBINED, *SERVICE).agg(F.min(order).alias("first"))
+    totals = seen.groupBy(*COMBINED).agg(F.sum("share").alias("events_total"), F.max("received").alias("youngest"))
     return Partials(groups, services, totals)
 
 

@@ -1,14 +1,20 @@
 """The aggregator: raw events or partials in, documents out, by harvest.
 
-Ingested data lands as partial tables under the data folder; a harvest reads the range of one interval that ends now,
-applies the limits and hands the result to the sink. A sink that fails leaves the range in place, so it is tried again.
+Ingested data lands as partial tables in a folder, divided by batch, interval and processing time; a batch counts once all
+its tables are written. A harvest reads the range of one interval that ends now, applies the limits, hands the result to
+the sink and then deletes the range. A sink that fails leaves it in place, so it is tried again (at least once). Late partials
+within the lookback come out as a second result of their bucket. `run` harvests unattended.
 """
 
 from __future__ import annotations
 
+import logging
 import math
+import threading
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +23,13 @@ from ..config import AggConfig
 from ..functions.time import YEAR_ONE, truncate
 from ..operators import limits as limiting
 from ..operators.partials import Partials, aggregate, merge
+from ..schema import GROUP
+from ..sources.work import Folder, work_dir
+from ..telemetry import harvest_metrics, log_overflow
 from .documents import documents
 
+LOG = logging.getLogger(__name__)
+
 
 class AggregatorClosed(RuntimeError):
     pass
@@ -38,10 +49,14 @@ def partials_to_documents(partials: Partials, config: AggConfig, received=None)
 
 
 def limited(partials: Partials, config: AggConfig) -> Partials:
-    """The partials under the limits; without limits, and without overflow from before, they are what they are."""
+    """The partials under the limits; without limits, and without overflow from before, they are what they are.
+
+    They are written first, as admission reads the groups several times and the events should be read once.
+    """
     if config.limits.unlimited and partials.overflow is None:
         return partials
-    return limiting.admit(partials, config.limits, distinct(config))
+    spark = partials.totals.sparkSession
+    return limiting.admit(partials.settled(spark, work_dir(spark, "groups"), distinct(config)), config.limits, distinct(config))
 
 
 def distinct(config: AggConfig) -> limiting.Distinct:
@@ -53,68 +68,162 @@ def aggregate_documents(events: DataFrame, config: AggConfig, received=None) ->
     return partials_to_documents(limited(events_to_partials(events, config), config), config, received)
 
 
+def moment(at: datetime):
+    """A timestamp literal, whatever the session's time zone; a time without zone is UTC."""
+    at = at.replace(tzinfo=at.tzinfo or timezone.utc)
+    return F.timestamp_micros(F.lit(round(at.timestamp() * 1_000_000)))
+
+
 def not_expired(config: AggConfig, now: datetime):
     """Condition on partials: their bucket is no older than the lookback allows."""
-    start = truncate(F.lit(now).cast("timestamp"), F.col("interval_s"))
+    start = truncate(moment(now), F.col("interval_s"))
     return F.col("processing_time") >= start - F.expr(f"interval {int(config.lookback.total_seconds())} seconds")
 
 
 def harvest_range(interval_s: int, end: datetime, lookback: timedelta):
     """Condition on the combined columns: the interval's buckets from end - interval - lookback up to end."""
     low = end - timedelta(seconds=interval_s) - lookback
-    return (F.col("interval_s") == interval_s) & (F.col("processing_time") >= F.lit(low)) & (F.col("processing_time") < F.lit(end))
+    return (F.col("interval_s") == interval_s) & (F.col("processing_time") >= moment(low)) & (F.col("processing_time") < moment(end))
+
+
+def _since_year_one(at: datetime) -> int:
+    return math.floor(at.replace(tzinfo=at.tzinfo or timezone.utc).timestamp()) + YEAR_ONE
 
 
 def is_aligned(interval_s: int, end: datetime) -> bool:
     """Whether an interval ends at this time, counted from year one."""
-    return math.floor(end.replace(tzinfo=end.tzinfo or timezone.utc).timestamp() + YEAR_ONE) % interval_s == 0
+    return _since_year_one(end) % interval_s == 0
+
+
+def next_end(interval_s: int, at: datetime) -> datetime:
+    """The first end of an interval after a time: that of the bucket which holds it."""
+    return at.replace(microsecond=0) + timedelta(seconds=interval_s - _since_year_one(at) % interval_s)
 
 
 class Aggregator:
-    """Batch form; spanfold.streaming has the unattended one."""
+    """Ingests, harvests and closes; one harvest runs at a time."""
 
     def __init__(self, spark: SparkSession, config: AggConfig):
-        self.spark, self.config, self.closed, self.running = spark, config, False, False
-        self.pending: list[Partials] = []
-        self.expired: list[Partials] = []
+        self.spark, self.config = spark, config
+        self.folder = f"{config.data_dir.rstrip('/')}/partials" if config.data_dir else work_dir(spark, "partials")
+        self.files, self.lock = Folder(spark, self.folder), threading.RLock()
+        self.closed, self.running, self.stopping = False, False, threading.Event()
+        self.in_flight: dict[int, float] = dict.fromkeys(config.interval_seconds, 0.0)  # events taken in but not yet handed on
+        self.expired = 0.0
+        tables = [f"{kind}_{m}" for kind in ("groups", "overflow") for m in GROUP] + ["services", "totals", "service_overflow", "batches"]
+        self.files.make(*tables)
+        for r in self._batches().groupBy("interval_s").agg(F.sum("events").alias("n")).collect():  # what an earlier run left
+            self.in_flight[r["interval_s"]] = r["n"]
 
     def _open(self) -> None:
         if self.closed:
             raise AggregatorClosed("aggregator is closed")
 
-    def aggregate_batch(self, cm_id: str, events: DataFrame) -> None:
-        """Adds raw events of a tenant; events carry their processing time."""
-        self._open()
-        self.pending.append(events_to_partials(events.withColumn("cm_id", F.lit(cm_id)), self.config))
-
-    def aggregate_partials(self, partials: Partials, now: datetime) -> None:
-        """Adds partials made elsewhere; expired ones are dropped without an error and kept for counting."""
-        self._open()
-        fresh = not_expired(self.config, now)
-        self.pending.append(partials.filter(fresh))
-        self.expired.append(partials.filter(~fresh))
+    def _batches(self) -> DataFrame:
+        """(batch, interval_s, events) of whole batches, with what is still there of them."""
+        whole = self.spark.read.schema("batch string").parquet(f"{self.folder}/batches")
+        held = self.spark.read.schema("events_total double, batch string, interval_s int").parquet(f"{self.folder}/totals")
+        return held.join(whole, "batch").groupBy("batch", "interval_s").agg(F.sum("events_total").alias("events"))
+
+    def _save(self, partials: Partials) -> float:
+        batch = uuid.uuid4().hex
+        tagged = Partials({m: d.withColumn("batch", F.lit(batch)) for m, d in partials.groups.items()}, partials.services.withColumn("batch", F.lit(batch)), partials.totals.withColumn("batch", F.lit(batch)), partials.overflow and {m: d.withColumn("batch", F.lit(batch)) for m, d in partials.overflow.items()}, None if partials.service_overflow is None else partials.service_overflow.withColumn("batch", F.lit(batch)))
+        tagged.save(self.folder, "append", ("batch", "interval_s", "processing_time"))
+        self.spark.range(1).select(F.lit(batch).alias("batch")).write.mode("append").parquet(f"{self.folder}/batches")
+        events = {r["interval_s"]: r["events"] for r in self._batches().filter(F.col("batch") == batch).collect()}  # a row an interval
+        for interval, n in events.items():
+            self.in_flight[interval] = self.in_flight.get(interval, 0.0) + n
+        return max(events.values(), default=0.0)
+
+    def aggregate_batch(self, cm_id: str, events: DataFrame) -> float:
+        """Adds raw events of a tenant; events carry their processing time. Returns how many there were."""
+        with self.lock:
+            self._open()
+            return self._save(events_to_partials(events.withColumn("cm_id", F.lit(cm_id)), self.config))
+
+    def aggregate_partials(self, partials: Partials, now: datetime) -> float:
+        """Adds partials made elsewhere; expired ones are dropped without an error and counted."""
+        with self.lock:
+            self._open()
+            fresh = not_expired(self.config, now)
+            late = partials.totals.filter(~fresh).groupBy("interval_s").agg(F.sum("events_total").alias("n")).collect()
+            self.expired += sum(r["n"] for r in late)
+            return self._save(partials.filter(fresh))
 
     def events_expired(self) -> float:
-        return sum(p.totals.agg(F.coalesce(F.sum("events_total"), F.lit(0.0))).first()[0] for p in self.expired)
+        return self.expired
+
+    def _held(self, inside) -> Partials:
+        """All whole batches' partials that meet a condition on the combined columns, merged."""
+        whole = self.spark.read.schema("batch string").parquet(f"{self.folder}/batches")
+        overflowed = bool(self.files.matching("overflow_*/batch=*"))
+        held = Partials.load(self.spark, self.folder, overflowed, distinct(self.config), "batch").filter(inside)
+        cut = lambda d: None if d is None else d.join(whole, "batch", "left_semi").drop("batch")
+        return merge([Partials({m: cut(d) for m, d in held.groups.items()}, cut(held.services), cut(held.totals), held.overflow and {m: cut(d) for m, d in held.overflow.items()}, cut(held.service_overflow))])
 
     def harvest(self, end: datetime, sink: Callable[[DataFrame, int], None] | None = None) -> None:
         """Hands every interval that ends at `end` to the sink, as documents, and forgets its range afterwards."""
+        with self.lock:
+            self._open()
+            self._harvest({i: end for i in self.config.interval_seconds if is_aligned(i, end)}, sink)
+
+    def _harvest(self, ends: dict[int, datetime], sink) -> None:
+        """All intervals are tried; the first failure is raised at the end."""
+        failed = None
+        for interval, end in ends.items():
+            inside = harvest_range(interval, end, self.config.lookback)
+            held = self._held(inside)
+            buckets = held.totals.groupBy("processing_time").agg(F.sum("events_total").alias("n")).select(F.col("processing_time").cast("string").alias("at"), "n").collect()  # a row a bucket
+            if not buckets:
+                continue
+            cut = limited(held, self.config)
+            try:
+                (sink or self.config.sink)(partials_to_documents(cut, self.config), interval)
+            except Exception as e:
+                failed = failed or e
+                self._report(cut, interval, "failure")
+                continue
+            self._report(cut, interval, "success")
+            gone = {r["at"] for r in buckets}
+            for path in self.files.matching(f"*/batch=*/interval_s={interval}/processing_time=*"):
+                if unquote(path.rsplit("processing_time=", 1)[1]) in gone:
+                    self.files.remove(path)
+            self.in_flight[interval] = self.in_flight.get(interval, 0.0) - sum(r["n"] for r in buckets)
+        if failed:
+            raise failed
+
+    def _report(self, cut: Partials, interval: int, outcome: str) -> None:
+        if self.config.metrics_sink:
+            self.config.metrics_sink(harvest_metrics(cut, self.config, interval, outcome, distinct(self.config)))
+        if self.config.overflow_logging and cut.overflow is not None:
+            log_overflow(cut, self.config.limits, distinct(self.config))
+
+    def run(self, until: datetime | None = None, clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc), wait: Callable[[float], bool] | None = None) -> None:
+        """Harvests whenever the lowest interval ends, harvest_delay later, until closed or beyond `until`; errors are logged and tried again."""
         self._open()
-        self._harvest(end, sink, [i for i in self.config.interval_seconds if is_aligned(i, end)])
-
-    def _harvest(self, end: datetime, sink, intervals: list[int]) -> None:
-        if not self.pending:
-            return
-        whole = merge(self.pending) if len(self.pending) > 1 else self.pending[0]
-        for interval in intervals:
-            stop = end if is_aligned(interval, end) else end + timedelta(seconds=interval - (end.replace(tzinfo=timezone.utc).timestamp() + YEAR_ONE) % interval)
-            inside = harvest_range(interval, stop, self.config.lookback)
-            cut = limited(whole.filter(inside), self.config)
-            (sink or self.config.sink)(partials_to_documents(cut, self.config), interval)
-            self.pending = [p.filter(~inside) for p in self.pending]
+        if self.running:
+            raise RuntimeError("aggregator is already running")
+        self.running, lowest, wait = True, self.config.interval_seconds[0], wait or self.stopping.wait
+        try:
+            end = next_end(lowest, clock())
+            while not self.closed and (until is None or end <= until):
+                pause = (end + self.config.harvest_delay - clock()).total_seconds()
+                if pause > 0 and wait(pause):
+                    break
+                try:
+                    self.harvest(end)
+                except AggregatorClosed:
+                    break
+                except Exception:
+                    LOG.exception("harvest until %s failed", end)
+                end += timedelta(seconds=lowest)
+        finally:
+            self.running = False
 
     def close(self, now: datetime, sink: Callable[[DataFrame, int], None] | None = None) -> None:
-        """Harvests what is left of every interval, also those still open; closing again does nothing."""
-        if not self.closed:
-            self._harvest(now, sink, self.config.interval_seconds)
-            self.closed = True
+        """Stops `run` and harvests what is left of every interval, the bucket that holds `now` included; closing again does nothing."""
+        self.stopping.set()
+        with self.lock:
+            if not self.closed:
+                self._harvest({i: next_end(i, now) for i in self.config.interval_seconds}, sink)
+                self.closed = True

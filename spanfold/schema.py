@@ -71,3 +71,5 @@ GROUP = {"transaction": TRANSACTION, "service_transaction": SERVICE_TRANSACTION,
 SUMS = {"transaction": (), "service_transaction": ("success", "failure"), "service_destination": ("count", "total")}
 HISTOGRAM = {"transaction", "service_transaction"}
 MAX_DROPPED_SPANS = 128
+#: Arrival order is one number, seq x ORDER + pos; pos is below MAX_DROPPED_SPANS within a partition.
+ORDER = 1 << 8

@@ -1,7 +1,9 @@
-"""Folders for tables between jobs."""
+"""Folders for tables between jobs, and the file system they are in."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,35 @@ from pyspark.sql import SparkSession
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; in local sessions without it, of this machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spanfold-')}"
+    """A new folder under spark.checkpoint.dir, which driver and executors share; in local mode without it, of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        own = tempfile.mkdtemp(prefix="spanfold-")
+        atexit.register(shutil.rmtree, own, True)
+        base = f"file://{own}"
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+class Folder:
+    """A folder in any store that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark._jvm, path
+        self.files = self._of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _of(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path)
+
+    def make(self, *names: str) -> None:
+        for name in names:
+            self.files.mkdirs(self._of(f"{self.path}/{name}"))
+
+    def matching(self, pattern: str) -> list[str]:
+        """Paths under the folder that fit a pattern."""
+        return [str(x.getPath()) for x in self.files.globStatus(self._of(f"{self.path}/{pattern}")) or []]
+
+    def remove(self, path: str) -> None:
+        self.files.delete(self._of(path), True)

@@ -22,13 +22,14 @@ from ..operators.metricsets import BRANCHES, fanned_out, presences
 from ..operators.partials import Partials
 from ..plans.aggregator import limited, partials_to_documents
 from ..sources.work import work_dir
-from ..schema import COMBINED, GROUP, HISTOGRAM, SERVICE, SPAN, SUMS, TRANSACTION
+from ..schema import COMBINED, GROUP, HISTOGRAM, ORDER, SERVICE, SPAN, SUMS, TRANSACTION
 
-_KEYS = {c: "string" for c in (*TRANSACTION, *SPAN)} | {"trace_root": "boolean", "faas_cold_start": "boolean"}
-_VALUES = {"bucket": "int", "scaled": "bigint", "success": "double", "failure": "double", "count": "double", "total": "double", "seq": "bigint", "pos": "int", "received": "timestamp"}
+_FLAGS = ("trace_root", "faas_cold_start")
+_KEYS = {c: "string" for c in (*TRANSACTION, *SPAN)} | dict.fromkeys(_FLAGS, "int")
+_VALUES = {"scaled": "bigint", "success": "double", "failure": "double", "count": "double", "total": "double", "seq": "bigint", "pos": "int", "received": "timestamp"}
 PRESENCE = "presence"
-#: Arrival order as one number keeps the state fixed in width: seq x ORDER + pos, pos being below 128.
-ORDER = 256
+#: What stands for an absent key in the state, whose keys have a value each.
+_ABSENT = {"string": "", "int": -1}
 
 
 def observations(events: DataFrame, interval_s: int, config: AggConfig) -> DataFrame:
@@ -41,7 +42,8 @@ def observations(events: DataFrame, interval_s: int, config: AggConfig) -> DataF
     frames = []
     for m, frame in parts.items():
         have = set(frame.columns)
-        columns = [F.col(c).cast(k).alias(c) if c in have else F.lit(None).cast(k).alias(c) for c, k in (_KEYS | _VALUES).items()]
+        columns = [F.coalesce(F.col(c).cast(k), F.lit(_ABSENT[k])).alias(c) if c in have else F.lit(_ABSENT[k]).alias(c) for c, k in (_KEYS | {"bucket": "int"}).items()]
+        columns += [F.col(c).cast(k).alias(c) if c in have else F.lit(None).cast(k).alias(c) for c, k in _VALUES.items()]
         frames.append(frame.select(F.lit(m).alias("metricset"), *COMBINED, *SERVICE, *columns))
     return reduce(DataFrame.unionByName, frames)
 
@@ -51,20 +53,19 @@ def windowed(events: DataFrame, interval_s: int, config: AggConfig) -> DataFrame
     interval = next(i for i in config.intervals if int(i.total_seconds()) == interval_s)
     rows = observations(events, interval_s, config).withWatermark("processing_time", f"{int(config.harvest_delay.total_seconds())} seconds")
     window = F.window("processing_time", f"{interval_s} seconds", None, window_start(interval)).alias("w")
-    out = rows.groupBy(window, "metricset", *[c for c in COMBINED if c != "processing_time"], *SERVICE, *_KEYS, "bucket").agg(F.sum("scaled").alias("scaled"), *[F.sum(c).alias(c) for c in ("success", "failure", "count", "total")], F.min(F.col("seq") * ORDER + F.col("pos")).alias("arrival"), F.count("*").alias("events"), F.max("received").alias("youngest"))
+    out = rows.groupBy(window, "metricset", *[c for c in COMBINED if c != "processing_time"], *SERVICE, *_KEYS, "bucket").agg(F.sum("scaled").alias("scaled"), *[F.sum(c).alias(c) for c in ("success", "failure", "count", "total")], F.min(F.col("seq") * ORDER + F.col("pos")).alias("first"), F.count("*").alias("events"), F.max("received").alias("youngest"))
     return out.withColumn("processing_time", F.col("w.start")).drop("w")
 
 
 def partials_of(rows: DataFrame) -> Partials:
     """The partials of closed windows' rows (one partition id a row, so an event's presence counts once)."""
-    first = F.struct(F.expr(f"arrival div {ORDER}").alias("seq"), (F.col("arrival") % ORDER).cast("int").alias("pos"))
-    rows = rows.withColumn("first", first)
+    rows = rows.withColumns({c: F.when(F.col(c) >= 0, F.col(c) == 1) for c in _FLAGS} | {"bucket": F.when(F.col("bucket") >= 0, F.col("bucket"))})
     groups = {}
     for m in GROUP:
         hist = ["bucket", "scaled"] if m in HISTOGRAM else []
         groups[m] = rows.filter(F.col("metricset") == m).select(*COMBINED, *SERVICE, *GROUP[m], *hist, *SUMS[m], "first")
     seen = rows.filter(F.col("metricset") == PRESENCE)
-    services = seen.select(*COMBINED, *SERVICE, F.col("first.seq").alias("first"))
+    services = seen.select(*COMBINED, *SERVICE, "first")
     totals = seen.groupBy(*COMBINED).agg(F.sum("events").cast("double").alias("events_total"), F.max("youngest").alias("youngest"))
     return Partials(groups, services, totals)
 

@@ -1,17 +1,21 @@
-"""Overflow counts and warnings of a harvest, and counters of events on their way."""
+"""Overflow counts and warnings, and the metrics of a harvest."""
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .config import Limits
+from .config import AggConfig, Limits
+from .functions.time import interval_label
 from .operators.limits import Distinct
 from .operators.partials import Partials
 from .schema import COMBINED, GROUP, SERVICE
 
+LOG, MOST_WARNINGS = logging.getLogger(__name__), 1000
+
 
 def overflow_by_owner(partials: Partials, distinct: Distinct = Distinct()) -> DataFrame:
     """(combined, service, aggregation_type, overflowed): the estimate of each overflow bucket; null service: of the whole key."""
@@ -51,6 +55,23 @@ def latencies(partials: Partials, emitted, harvest_delay_s: int = 0) -> DataFram
     return partials.totals.select(*COMBINED, "events_total", (at - end).alias("processed_latency_s"), (at - F.unix_timestamp("youngest")).alias("queued_latency_s"))
 
 
-def observed(events: DataFrame, name: str = "ingest") -> DataFrame:
-    """events, with a count of rows and of those without usable time, reported through Spark's observation metrics."""
-    return events.observe(name, F.count("*").alias("events"), F.count_if(F.col("processing_time").isNull()).alias("without_time"))
+def harvest_metrics(partials: Partials, config: AggConfig, interval_s: int, outcome: str, distinct: Distinct = Distinct(), emitted=None) -> DataFrame:
+    """(name, cm_id, value, attributes) of a harvest: events processed, latencies in seconds, overflow counts by type."""
+    interval, emitted = interval_label(interval_s), F.current_timestamp() if emitted is None else emitted
+    base = [F.lit("aggregation_interval"), F.lit(interval)]
+    late = latencies(partials, emitted, int(config.harvest_delay.total_seconds()))
+    sums = late.groupBy("cm_id").agg(F.sum("events_total").alias("events.processed.count"), F.max("processed_latency_s").cast("double").alias("events.processed.latency"), F.max("queued_latency_s").cast("double").alias("events.processed.queued-latency"))
+    names = [c for c in sums.columns if c != "cm_id"]
+    rows = sums.select("cm_id", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for c in names])).alias("m"))
+    out = [rows.select("m.name", "cm_id", "m.value", F.create_map(*base, F.lit("outcome"), F.lit(outcome)).alias("attributes"))]
+    if partials.overflow is not None:
+        over = overflow_counts(partials, distinct).filter("overflowed > 0")
+        out.append(over.select(F.lit("metrics.overflowed.count").alias("name"), "cm_id", F.col("overflowed").cast("double").alias("value"), F.create_map(*base, F.lit("aggregation_type"), F.col("aggregation_type")).alias("attributes")))
+    rows = reduce(DataFrame.unionByName, out)
+    return rows if config.metric_labels is None else rows.withColumn("attributes", F.map_concat("attributes", config.metric_labels(F.col("cm_id"))))
+
+
+def log_overflow(partials: Partials, limits: Limits, distinct: Distinct = Distinct()) -> None:
+    """Logs the warnings of overflow_log, MOST_WARNINGS of them; the table has all."""
+    for r in overflow_log(partials, limits, distinct).limit(MOST_WARNINGS).collect():
+        LOG.warning("%s limit of %d reached: tenant %s, %s, interval %ss", r["scope"], r["limit"], r["cm_id"], r["aggregation_type"] + (f" of {r['svc_name']}" if r["svc_name"] else ""), r["interval_s"])
