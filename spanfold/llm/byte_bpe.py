@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import Numbers, arrow_schema, from_planes, grouped, packed, planes, read_file, read_table, shared_dir, small_batches, smallest, stored, texts_of, unpacked, write_file
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK_BYTES, PIECE_BYTES, MOST_WORDS, NO_RANK = 32 << 20, 4 << 20, 1 << 19, 2**17 - 1
+CHUNK_BYTES, PIECE_BYTES, MOST_WORDS, NO_RANK = 12 << 20, 2 << 20, 1 << 19, 2**17 - 1
 SLOTS, MOVES = 262_147, 65_537
 #: Bits of a packed piece: its place in the word, its id.
 PLACE_BITS, ID_BITS = 29, 17
