@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Numbers, arrow_schema, from_planes, grouped, packed, planes, read_file, read_table, shared_dir, small_batches, smallest, stored, texts_of, unpacked, write_file
+from .common import Numbers, arrow_schema, from_planes, grouped, lean, packed, planes, read_file, read_table, shared_dir, small_batches, smallest, stored, texts_of, unpacked, write_file
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK_BYTES, PIECE_BYTES, MOST_WORDS, NO_RANK = 12 << 20, 2 << 20, 1 << 19, 2**17 - 1
@@ -154,7 +154,7 @@ def asked_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folder:
                     rows.append((b, packed((b"".join(own), smallest(np.fromiter(map(len, own), np.int64, len(own)))))))
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(rows)), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, ASKED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), ASKED)
 
 
 def distinct_words(asked: DataFrame, buckets: int, most_words: int = MOST_WORDS) -> DataFrame:
@@ -180,7 +180,7 @@ def distinct_words(asked: DataFrame, buckets: int, most_words: int = MOST_WORDS)
                 row = [generation, None, chunk, bucket, at.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
-    return asked.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, CUT)
+    return asked.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), CUT)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -303,7 +303,7 @@ def answers(folded: DataFrame) -> DataFrame:
                     out.append(packed((smallest(gathered(ids, starts[at], sizes[at])), smallest(sizes[at]))))
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(out, pa.binary())], schema=schema)
 
-    return folded.mapInArrow(run, ASKED)
+    return folded.mapInArrow(lean(run), ASKED)
 
 
 def ids_of(places: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -348,7 +348,7 @@ def gather(told: DataFrame, chunks: int, ddl: str, use: Callable[[np.ndarray, np
         if path is not None:
             yield from finish(path, parts)
 
-    return told.repartition(chunks, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, ddl)
+    return told.repartition(chunks, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(lean(run), ddl)
 
 
 def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ddl: str, use, chunk_bytes: int, most_words: int) -> DataFrame:
@@ -391,7 +391,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             found = [b"".join(map(table, ids or ())) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], schema=schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, ddl)
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), ddl)
 
 
 def digest(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, held_out, read_table, ship, small_batches, texts_of
+from .common import arrow_schema, held_out, lean, read_table, ship, small_batches, texts_of
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -72,7 +72,7 @@ def count_trigrams(training: DataFrame) -> DataFrame:
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(found[at].astype(np.int64))], schema=schema)
 
-    return training.select("lang", "text").mapInArrow(run, ddl).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return training.select("lang", "text").mapInArrow(lean(run), ddl).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -194,7 +194,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             names, scores = own.predict(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), 4).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), 4).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), RESULT)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def accepted(docs: DataFrame) -> DataFrame:
                 keep = [bool(t and has_letter(t)) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

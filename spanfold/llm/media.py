@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, open_fs, read_table, shared_dir, small_batches, stored, texts_of, write_file
+from .common import arrow_schema, lean, open_fs, read_table, shared_dir, small_batches, stored, texts_of, write_file
 
 WIDTH, UNIT, SHARD_BYTES, LEVEL = 64, 64, 32 << 20, 1
 SIGNATURE, HEADER_BYTES = b"\x89PNG\r\n\x1a\n", 33
@@ -121,7 +121,7 @@ def write_shards(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -
         if shard is not None:
             shard.close()
 
-    return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROWS), folder, "rows")
+    return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), ROWS), folder, "rows")
 
 
 def addresses(rows: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _ranged(places: DataFrame, ddl: str, use) -> DataFrame:
         if file is not None:
             file.close()
 
-    return places.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(run, ddl)
+    return places.select("digest", "shard", "offset", "length").repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(lean(run), ddl)
 
 
 def metadata(places: DataFrame) -> DataFrame:

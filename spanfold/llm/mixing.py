@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_schema, n_words, read_table, shared_dir, stored
+from .common import WORD, arrow_schema, lean, n_words, read_table, shared_dir, stored
 
 BLOCK, SHARD_SLOTS, MAX_SHARDS, BUCKET_ROWS, SEED = 64, 4096, 8192, 2048, 6
 WEIGHTS, GROWTH, MOST_USES = (5, 2, 1), 1.5, 2
@@ -175,7 +175,7 @@ def slots(spark: SparkSession, plan: Plan, seed: int = SEED) -> DataFrame:
                         out[here] = permute(k[here] % blocks[source_no], blocks[source_no], (seed * 1_000_003 + source_no) * 64 + int(t))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), s, np.int32)), pa.array(np.full(len(k), source_no, np.int32)), pa.array(k), pa.array(turn.astype(np.int32)), pa.array(out)], schema=schema)
 
-    return drawn.mapInArrow(run, ddl)
+    return drawn.mapInArrow(lean(run), ddl)
 
 
 def mixed_blocks(rows: DataFrame, plan: Plan, block: int = BLOCK, seed: int = SEED) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, read_table, shared_dir, small_batches, stored, texts_of
+from .common import arrow_schema, lean, read_table, shared_dir, small_batches, stored, texts_of
 
 TREES, SUBSAMPLE, SEED = 100, 256, 10
 DEFAULT_THRESHOLD = 0.62
@@ -86,7 +86,7 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), *rows]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, STATS)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), STATS)
 
 
 def base_failed():
@@ -180,7 +180,7 @@ def with_scores(stats: DataFrame, forest: Forest) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(features_of(batch)), pa.float64())], names=[*keep, "anomaly"])
 
-    return stats.mapInArrow(run, ddl)
+    return stats.mapInArrow(lean(run), ddl)
 
 
 def calibrate(scored: DataFrame, labels: DataFrame | None, default: float = DEFAULT_THRESHOLD) -> float:
@@ -219,7 +219,7 @@ def accepted(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
             keep = ~failed & (model.score(beyond_ordinary(stats[:, 5:].astype(np.float32))) < bound)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def judge(docs: DataFrame, labels: DataFrame | None) -> DataFrame:

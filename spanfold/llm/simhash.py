@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, free_name, read_table, shared_dir, small_batches, stored, texts_of
+from .common import arrow_schema, free_name, lean, read_table, shared_dir, small_batches, stored, texts_of
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SPLIT_AT = 2048
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = np.array([fingerprint(t, shingle) for t in texts_of(batch)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), ddl)
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -131,7 +131,7 @@ def edges_within(members: DataFrame, radius: int = RADIUS) -> DataFrame:
             pairs, _ = solve(*rest, last=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
-    return members.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, ddl)
+    return members.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(lean(run), ddl)
 
 
 def differing_bits(a: Column, b: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, open_fs, read_table, shared_dir, small_batches, stored, texts_of, write_file
+from .common import arrow_schema, lean, open_fs, read_table, shared_dir, small_batches, stored, texts_of, write_file
 
 VOCABULARY, END_ID, BLOCK_IDS, MAGIC, NO_ID = "word_bpe_49k.json", 2, 4096, b"SF8BTOK1", -(2**63)
 #: Fixed values of the format: (ids, bits of each) for selectors 1 to 15.
@@ -270,7 +270,7 @@ def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END
             write_file(path, file_pieces(np.concatenate(names), n, np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([path]), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], schema=schema)
 
-    found = stored(own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, ddl), folder, "written")
+    found = stored(own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(lean(run), ddl), folder, "written")
     before = W.orderBy("file_no").rowsBetween(W.unboundedPreceding, -1)  # a row a file
     return found.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
@@ -291,7 +291,7 @@ def read_files(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys, pa.array(start + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], schema=schema)
 
     files = max(1, manifest.count())
-    return manifest.select("path", "start").repartition(files, "path").mapInArrow(run, ddl)
+    return manifest.select("path", "start").repartition(files, "path").mapInArrow(lean(run), ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Numbers, arrow_schema, from_planes, grouped, held_out, packed, planes, read_file, read_table, shared_dir, small_batches, smallest, stored, texts_of, unpacked, write_file
+from .common import Numbers, arrow_schema, from_planes, grouped, held_out, lean, packed, planes, read_file, read_table, shared_dir, small_batches, smallest, stored, texts_of, unpacked, write_file
 
 DEPTH, SPLIT, START, END = 6, 3, 0xFF, 0xFF
 #: Text of a chunk; positions whose grams a task holds at once; text for each bucket of grams; grams whose nodes a task holds at once.
@@ -130,7 +130,7 @@ def asked_grams(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
                     rows.append((b, packed((planes(np.diff(grams[lo:hi], prepend=0)), smallest(n[lo:hi]), b"".join(words[wlo:whi]), smallest(lengths[wlo:whi]), smallest(trained[wlo:whi])))))
             yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k] * len(rows)), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=schema)
 
-    return docs.mapInArrow(run, ASKED)
+    return docs.mapInArrow(lean(run), ASKED)
 
 
 def cut(raw: bytes, lengths: np.ndarray) -> list[bytes]:
@@ -294,7 +294,7 @@ def upwards(asked: DataFrame, buckets: int) -> DataFrame:
         if bucket is not None:
             yield emit(bucket)
 
-    return asked.filter("bucket >= 0").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, UPPER)
+    return asked.filter("bucket >= 0").select("bucket", "blob").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), UPPER)
 
 
 def short_contexts(upper: DataFrame, folder: str) -> DataFrame:
@@ -372,7 +372,7 @@ def told_grams(asked: DataFrame, top: DataFrame, buckets: int) -> DataFrame:
         if blobs:
             yield from emit(last, told, blobs)
 
-    return rows.select("bucket", "chunk", "blob", "key", "sure", "rest", "p").repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(run, ASKED)
+    return rows.select("bucket", "chunk", "blob", "key", "sure", "rest", "p").repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(lean(run), ASKED)
 
 
 def answered_texts(told: DataFrame, chunks: int, totals: dict) -> DataFrame:
@@ -411,7 +411,7 @@ def answered_texts(told: DataFrame, chunks: int, totals: dict) -> DataFrame:
         if path is not None:
             yield finish(path, parts)
 
-    return told.repartition(chunks, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, RESULT)
+    return told.repartition(chunks, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(lean(run), RESULT)
 
 
 def score(docs: DataFrame) -> DataFrame:

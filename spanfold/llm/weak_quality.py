@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, read_table, shared_dir, small_batches, stored, texts_of
+from .common import arrow_schema, lean, read_table, shared_dir, small_batches, stored, texts_of
 from .quality_rules import FEATURES, text_stats
 
 BUCKETS, SAMPLE, EM_STEPS, TRAIN_STEPS, RATE, SCALE = 1 << 16, 4000, 60, 80, 0.3, 20.0
@@ -72,7 +72,7 @@ def voted(docs: DataFrame) -> DataFrame:
         for batch in small_batches(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([votes(t) for t in texts_of(batch)], pa.int32())], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), ddl)
 
 
 #: +1 for labellers that vote good, -1 for those that vote bad.
@@ -133,7 +133,7 @@ def hashed(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), [votes(t) for t in texts], [b.tolist() for b, _ in found], [(n / max(1, n.sum())).tolist() for _, n in found]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select("h", "text").mapInArrow(run, ddl)
+    return docs.select("h", "text").mapInArrow(lean(run), ddl)
 
 
 def train(rows) -> tuple[np.ndarray, float]:
@@ -170,7 +170,7 @@ def scored(docs: DataFrame, w: np.ndarray, b: float) -> DataFrame:
             columns = [batch.column(0), [votes(t) for t in texts], 1 / (1 + np.exp(-np.clip(logit, -60, 60)))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), ddl)
 
 
 def classify(docs: DataFrame) -> DataFrame:
