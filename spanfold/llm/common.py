@@ -24,6 +24,8 @@ from pyspark.sql.types import StructType
 
 #: Words are runs of anything but the six ASCII white-space characters; bytes.split() cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that Spark hands to Python at once, unless the session says otherwise.
+ARROW_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,6 +39,8 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             out.write(p, f"{root.name}/{p.relative_to(root)}")
     spark.sparkContext.addPyFile(str(to))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":  # the default suits short rows, not whole texts
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.sparkContext._spanfold_shipped = True
 
 
