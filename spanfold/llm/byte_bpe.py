@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Numbers, arrow_schema, from_planes, grouped, lean, packed, planes, read_file, read_table, shared_dir, small_batches, smallest, stored, texts_of, unpacked, write_file
+from .common import Numbers, arrow_schema, from_planes, gathered, grouped, lean, packed, planes, read_file, read_table, shared_dir, small_batches, smallest, stored, texts_of, unpacked, write_file
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 CHUNK_BYTES, PIECE_BYTES, MOST_WORDS, NO_RANK = 12 << 20, 2 << 20, 1 << 19, 2**17 - 1
@@ -118,12 +118,6 @@ class Cutter:
         return new, gathered(self.flat, self.starts[at], n), ends[np.append(0, texts_end)]
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs of `flat` that begin at starts, one after the other."""
-    shift = np.repeat(starts - (lengths.cumsum() - lengths), lengths)
-    return flat[np.arange(len(shift)) + shift]
-
-
 def asked_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folder: str, buckets: int, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Rows of ASKED. A waiting file holds ids of documents, places of all words and where each document's end."""
     schema = arrow_schema(ASKED)
