@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, media, mixing, quality_rules, simhash, token_files, tree_weighting, url_filter, weak_quality
+from . import byte_bpe, divergence, language_id, media, merkle, mixing, quality_rules, simhash, token_files, tree_weighting, url_filter, weak_quality
 from .common import ship
 
 _MODULES = {
@@ -18,6 +18,8 @@ _MODULES = {
     "op8_tree_weighting": tree_weighting,
     "op9_byte_bpe": byte_bpe,
     "op10_quality_rules": quality_rules,
+    "op11_source_divergence": divergence,
+    "op12_merkle_manifest": merkle,
 }
 
 
