@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, divergence, language_id, media, merkle, mixing, quality_rules, simhash, token_files, tree_weighting, url_filter, weak_quality
+from . import byte_bpe, divergence, language_id, license_scan, media, merkle, mixing, quality_rules, simhash, token_files, tree_weighting, url_filter, weak_quality
 from .common import ship
 
 _MODULES = {
@@ -20,6 +20,7 @@ _MODULES = {
     "op10_quality_rules": quality_rules,
     "op11_source_divergence": divergence,
     "op12_merkle_manifest": merkle,
+    "op13_license_scan": license_scan,
 }
 
 
