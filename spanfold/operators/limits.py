@@ -28,12 +28,19 @@ class Distinct:
 
     exact: bool = False
 
+    @property
+    def kind(self) -> str:
+        return "array<bigint>" if self.exact else "binary"
+
     def of(self, key: Column) -> Column:
         return F.collect_set(key) if self.exact else F.hll_sketch_agg(key, F.lit(SKETCH_PRECISION))
 
     def union(self, sketch: Column) -> Column:
         return F.array_distinct(F.flatten(F.collect_list(sketch))) if self.exact else F.hll_union_agg(sketch)
 
+    def both(self, a: Column, b: Column) -> Column:
+        return F.array_union(a, b) if self.exact else F.hll_union(a, b)
+
     def count(self, sketch: Column) -> Column:
         return (F.coalesce(F.size(sketch), F.lit(0)) if self.exact else F.coalesce(F.hll_sketch_estimate(sketch), F.lit(0))).cast("long")
 

@@ -71,6 +71,13 @@ def harvest_metrics(partials: Partials, config: AggConfig, interval_s: int, outc
     return rows if config.metric_labels is None else rows.withColumn("attributes", F.map_concat("attributes", config.metric_labels(F.col("cm_id"))))
 
 
+def expired_metrics(late: DataFrame, config: AggConfig, interval_s: int) -> DataFrame:
+    """(name, cm_id, value, attributes) of events that no harvest takes: failures; late: cm_id, events."""
+    told = F.create_map(F.lit("aggregation_interval"), F.lit(interval_label(interval_s)), F.lit("outcome"), F.lit("failure"))
+    rows = late.filter("events > 0").select(F.lit("events.processed.count").alias("name"), "cm_id", F.col("events").cast("double").alias("value"), told.alias("attributes"))
+    return rows if config.metric_labels is None else rows.withColumn("attributes", F.map_concat("attributes", config.metric_labels(F.col("cm_id"))))
+
+
 def log_overflow(partials: Partials, limits: Limits, distinct: Distinct = Distinct()) -> None:
     """Logs the warnings of overflow_log, MOST_WARNINGS of them; the table has all."""
     for r in overflow_log(partials, limits, distinct).limit(MOST_WARNINGS).collect():
