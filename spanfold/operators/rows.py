@@ -53,10 +53,10 @@ def observed(events: DataFrame, intervals: list[int], partitions: int, distinct:
 
 def combined(rows: DataFrame, *more: Column | str) -> DataFrame:
     """Rows of one key added up; overflow rows keep a sketch each."""
-    kept = rows.filter("over")
     keys = [c for c in columns() if c not in MEASURES and c not in ("first", "events", "youngest", "sketch")]
     own = rows.filter("not over").groupBy(*keys, *more).agg(*[F.sum(c).alias(c) for c in MEASURES], F.min("first").alias("first"), F.sum("events").alias("events"), F.max("youngest").alias("youngest"))
-    return own.unionByName(kept, allowMissingColumns=True)
+    names = [*own.columns, "sketch"]
+    return own.withColumn("sketch", F.lit(None).cast(rows.schema["sketch"].dataType)).unionByName(rows.filter("over").select(*names))
 
 
 def rows_of(partials: Partials, distinct: Distinct = Distinct()) -> DataFrame:

@@ -41,5 +41,9 @@ class Folder:
         """Paths under the folder that fit a pattern."""
         return [str(x.getPath()) for x in self.files.globStatus(self._of(f"{self.path}/{pattern}")) or []]
 
+    def size(self, name: str) -> int:
+        """Bytes of the files in a folder of this one."""
+        return self.files.getContentSummary(self._of(f"{self.path}/{name}")).getLength()
+
     def remove(self, path: str) -> None:
         self.files.delete(self._of(path), True)

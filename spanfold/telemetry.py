@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import AggConfig, Limits
@@ -78,7 +78,17 @@ def expired_metrics(late: DataFrame, config: AggConfig, interval_s: int) -> Data
     return rows if config.metric_labels is None else rows.withColumn("attributes", F.map_concat("attributes", config.metric_labels(F.col("cm_id"))))
 
 
+def taken_metrics(spark: SparkSession, cm_id: str | None, size: int, config: AggConfig) -> DataFrame:
+    """(name, cm_id, value, attributes) of a batch that was taken in: its bytes, of one tenant or (null) of several."""
+    rows = spark.createDataFrame([("events.processed.bytes", cm_id, float(size), {"outcome": "success"})], "name string, cm_id string, value double, attributes map<string,string>")
+    return rows if config.metric_labels is None or cm_id is None else rows.withColumn("attributes", F.map_concat("attributes", config.metric_labels(F.col("cm_id"))))
+
+
 def log_overflow(partials: Partials, limits: Limits, distinct: Distinct = Distinct()) -> None:
-    """Logs the warnings of overflow_log, MOST_WARNINGS of them; the table has all."""
-    for r in overflow_log(partials, limits, distinct).limit(MOST_WARNINGS).collect():
+    """Logs the warnings of overflow_log, MOST_WARNINGS of them and how many more there are; the table has all."""
+    warnings = overflow_log(partials, limits, distinct)
+    told = warnings.limit(MOST_WARNINGS + 1).collect()
+    if len(told) > MOST_WARNINGS:
+        LOG.warning("%d more limits were reached", warnings.count() - MOST_WARNINGS)
+    for r in told[:MOST_WARNINGS]:
         LOG.warning("%s limit of %d reached: tenant %s, %s, interval %ss", r["scope"], r["limit"], r["cm_id"], r["aggregation_type"] + (f" of {r['svc_name']}" if r["svc_name"] else ""), r["interval_s"])

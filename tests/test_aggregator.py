@@ -57,7 +57,8 @@ def test_a_failing_sink_leaves_its_range(spark):
     assert count(sink) == 2
     found = [(m.value, m.attributes["outcome"], m.attributes["aggregation_interval"], m.attributes["project"]) for m in metrics if m.name == "events.processed.count"]
     assert found == [(2, "failure", "1s", "t"), (2, "success", "1s", "t")]
-    assert {m.name for m in metrics} == {"events.processed.count", "events.processed.latency", "events.processed.queued-latency"}
+    assert [m.cm_id for m in metrics if m.name == "events.processed.bytes" and m.value > 0] == ["t"]
+    assert {m.name for m in metrics} == {"events.processed.bytes", "events.processed.count", "events.processed.latency", "events.processed.queued-latency"}
 
 
 def test_late_partials_come_out_again_and_plans_stay_small(spark):
