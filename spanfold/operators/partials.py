@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..config import Limits
-from ..schema import COMBINED, GROUP, HISTOGRAM, ORDER, SERVICE, SUMS, event_schema
+from ..schema import COMBINED, GROUP, HISTOGRAM, ORDER, SERVICE, SUMS
 from .metricsets import BRANCHES, fanned_out, presences
 
 OVERFLOW = (*COMBINED, *SERVICE)
@@ -54,13 +53,10 @@ class Partials:
     @classmethod
     def load(cls, spark: SparkSession, folder: str, overflowed: bool = False, distinct=None, *more: str) -> Partials:
         """Saved tables; `more`: text columns that they are divided by besides."""
-        from .limits import Distinct, admit  # which needs this module
-
-        none = aggregate(spark.createDataFrame([], event_schema()), [1])
-        kinds = {k: t.schema for k, t in (admit(none, Limits.same(0), distinct or Distinct()) if overflowed else none).tables().items()}
+        kinds = _kinds(overflowed, distinct)
 
         def read(name):  # a table without rows has no files to tell its schema
-            return spark.read.schema(reduce(lambda kind, c: kind.add(c, "string"), more, StructType(list(kinds[name])))).parquet(f"{folder}/{name}")
+            return spark.read.schema(reduce(lambda kind, c: kind.add(c, "string"), more, StructType.fromDDL(kinds[name]))).parquet(f"{folder}/{name}")
 
         groups = {m: read(f"groups_{m}") for m in GROUP}
         if not overflowed:
@@ -80,6 +76,22 @@ class Partials:
         return merge([Partials({m: one(d) for m, d in self.groups.items()}, one(self.services), one(self.totals), None if self.overflow is None else {m: one(d) for m, d in self.overflow.items()}, one(self.service_overflow))])
 
 
+def _kinds(overflowed: bool, distinct) -> dict[str, str]:
+    """Columns of the saved tables, by name."""
+    from .rows import columns  # which needs this module
+
+    from .limits import Distinct
+
+    kinds = columns(distinct or Distinct())
+    own = lambda names: ", ".join(f"{c} {kinds[c]}" for c in names)
+    hist = {m: ["bucket", "scaled"] if m in HISTOGRAM else [] for m in GROUP}
+    out = {f"groups_{m}": own([*COMBINED, *SERVICE, *GROUP[m], *hist[m], *SUMS[m], "first"]) for m in GROUP}
+    out |= {"services": own([*COMBINED, *SERVICE, "first"]), "totals": own(COMBINED) + ", events_total double, youngest timestamp"}
+    if overflowed:
+        out |= {f"overflow_{m}": own([*COMBINED, *SERVICE, *hist[m], *SUMS[m], "sketch"]) for m in GROUP} | {"service_overflow": own([*COMBINED, "sketch"])}
+    return out
+
+
 def _sums(metricset: str, first) -> list:
     hist = [F.sum("scaled").alias("scaled")] if metricset in HISTOGRAM else []
     return [*hist, *[F.sum(c).alias(c) for c in SUMS[metricset]], F.min(first).alias("first")]

@@ -57,8 +57,7 @@ def limited(partials: Partials, config: AggConfig, folder: str | None = None) ->
     """
     if config.limits.unlimited and partials.overflow is None:
         return partials
-    spark = partials.totals.sparkSession
-    return limiting.admit(partials.settled(spark, folder or work_dir(spark, "groups"), distinct(config)), config.limits, distinct(config))
+    return limiting.admit(partials, config.limits, distinct(config), folder)
 
 
 def distinct(config: AggConfig) -> limiting.Distinct:

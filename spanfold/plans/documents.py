@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,13 +63,13 @@ def span_measures(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     return out.withColumns({"metricset_doc_count": count, "response_count": count, "response_sum": F.round("total").cast("long")}).drop("count", "total")
 
 
-def _complete(frame: DataFrame, metricset: str, intervals: list[int]) -> DataFrame:
-    """All columns of a flat document."""
+def _complete(frame: DataFrame, metricset: str, intervals: list[int], *more: str) -> DataFrame:
+    """All columns of a flat document, and some more."""
     have = set(frame.columns)
     kinds = {c: "string" for c in (*TRANSACTION, *SPAN)} | {"trace_root": "boolean", "faas_cold_start": "boolean"} | MEASURES | {"event_received": "timestamp", "timestamp": "timestamp"}
     columns = [F.lit(metricset).alias("metricset_name"), label_column(F.col("interval_s"), intervals).alias("metricset_interval"), *COMBINED, *SERVICE]
     columns += [F.col(c).cast(k).alias(c) if c in have else F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
-    return frame.select(*columns)
+    return frame.select(*columns, *more)
 
 
 def documents(partials: Partials, intervals: list[int], distinct: Distinct = Distinct(), received: Column | None = None) -> DataFrame:
@@ -97,21 +99,20 @@ def documents(partials: Partials, intervals: list[int], distinct: Distinct = Dis
             frame = frame.withColumn("overflow_count", distinct.count(F.col("sketch")))
             if m == d:
                 frame = frame.withColumn("metricset_doc_count", F.col("overflow_count"))
-            out.append(_complete(_overflowed(frame, youngest, received), m, intervals))
+            out.append(_complete(_overflowed(frame, received), m, intervals, "whole"))
         rows = partials.service_overflow.withColumn("overflow_count", distinct.count(F.col("sketch")))
         rows = rows.select("*", *[F.lit(None).cast(k).alias(c) for c, k in partials.services.dtypes if c in SERVICE])
-        out.append(_complete(_overflowed(rows, youngest, received), "service_summary", intervals))
-    whole = out[0]
-    for frame in out[1:]:
-        whole = whole.unionByName(frame)
-    return whole
+        out.append(_complete(_overflowed(rows, received), "service_summary", intervals, "whole"))
+        turned = reduce(DataFrame.unionByName, out[4:]).join(youngest, list(COMBINED))
+        out[4:] = [turned.withColumn("event_received", F.when(F.col("whole"), F.col("youngest")).otherwise(F.col("event_received"))).select(*out[0].columns)]
+    return reduce(DataFrame.unionByName, out)
 
 
-def _overflowed(frame: DataFrame, youngest: DataFrame, received: Column) -> DataFrame:
-    """Overflow rows: processing time for timestamp, no labels; those of no service are named `_other` and carry the youngest event's time."""
-    frame = frame.join(youngest, list(COMBINED))
+def _overflowed(frame: DataFrame, received: Column) -> DataFrame:
+    """Overflow rows: processing time for timestamp, no labels; those of no service are named `_other`."""
     whole = F.col("svc_name").isNull()
-    frame = frame.withColumn("event_received", F.when(whole, F.col("youngest")).otherwise(received)).withColumn("timestamp", F.col("processing_time"))
+    frame = frame.withColumns({"event_received": received, "timestamp": F.col("processing_time"), "whole": whole})
+    whole = F.col("whole")
     fill = {c: F.when(whole, F.lit(OTHER if c == "svc_name" else "")).otherwise(F.col(c)) for c in SERVICE if c not in ("svc_timestamp", "global_labels")}
     return frame.withColumns(fill | {"global_labels": F.lit(""), "svc_timestamp": F.lit(None).cast("timestamp")})
 

@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import Limits
-from ..operators.limits import Distinct
+from ..operators.limits import IN_GROUP, OF_ALL, OF_SERVICE, Distinct
 from ..operators.rows import CODES, PRESENCE, columns, with_ids
 
 #: Ids that admission looks at; the rest of a row passes by as text.
 IDS = ("sid1", "sid2", "gid1", "gid2", "cgid1", "cgid2")
-GROUP, OF_SERVICE, OF_ALL = 1, 2, 3  # places of a row
 _SPAN = CODES["service_destination"]
 
 
@@ -60,16 +59,16 @@ class Admitted:
         """(place, whether its span's name is blanked) of a group of an admitted service."""
         groups, (total, per_service) = self.groups[code], self.limits[code]
         if key in groups:
-            return GROUP, False
+            return IN_GROUP, False
         blanked = code == _SPAN and self.own[code, service] >= per_service // 2
         if blanked:
             key = nameless
             if key in groups:
-                return GROUP, True
+                return IN_GROUP, True
         if self.total[code] >= total or self.own[code, service] >= per_service:
             return OF_SERVICE, False
         self._let_in(code, key, service)
-        return GROUP, blanked
+        return IN_GROUP, blanked
 
 
 def places(rows: pd.DataFrame, admitted: Admitted) -> tuple[list[int], list[bool]]:
@@ -85,7 +84,7 @@ def places(rows: pd.DataFrame, admitted: Admitted) -> tuple[list[int], list[bool
     where, blank = [], []
     for code, over, named, s1, s2, g1, g2 in zip(*[rows[c].tolist() for c in ("code", "over", "named", "sid1", "sid2", "gid1", "gid2")]):
         known = named and (s1, s2) in admitted.services
-        place, blanked = (OF_SERVICE if known else OF_ALL, False) if over else (found[code, g1, g2] if known and code in admitted.groups else (GROUP if known or not named else OF_ALL, False))
+        place, blanked = (OF_SERVICE if known else OF_ALL, False) if over else (found[code, g1, g2] if known and code in admitted.groups else (IN_GROUP if known or not named else OF_ALL, False))
         where.append(place)
         blank.append(blanked)
     return where, blank

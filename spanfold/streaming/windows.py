@@ -33,7 +33,8 @@ from ..operators.rows import CODES, KEYS, MEASURES, PRESENCE, SERVICES, TOTALS,
 from ..plans.aggregator import distinct, next_end, partials_to_documents
 from ..sources.work import Folder, work_dir
 from ..telemetry import expired_metrics, harvest_metrics, log_overflow
-from .admission import GROUP, OF_ALL, OF_SERVICE, admitted_rows
+from ..operators.limits import IN_GROUP, OF_ALL, OF_SERVICE
+from .admission import admitted_rows
 
 #: Rows of partials that came too late: counted by tenant, not harvested.
 EXPIRED = 5
@@ -77,31 +78,30 @@ def windowed(rows: DataFrame, interval_s: int, config: AggConfig) -> DataFrame:
     rows = rows.withWatermark("clock", f"{int(config.harvest_delay.total_seconds())} seconds")
     rows = rows.filter("code is not null or clock is null")  # ticks end here; the clock keeps the condition above the watermark
     if config.limits.unlimited:
-        place = F.when(~F.col("over"), GROUP).when(F.col("svc_name").isNull(), OF_ALL).otherwise(OF_SERVICE)
+        place = F.when(~F.col("over"), IN_GROUP).when(F.col("svc_name").isNull(), OF_ALL).otherwise(OF_SERVICE)
         rows = rows.withColumns({"place": place, "key1": F.lit(None).cast("long")})
     else:
         ends = F.unix_millis(truncate(F.col("clock"), F.lit(interval_s))) + 1000 * interval_s
         rows = admitted_rows(rows.withColumn("ends_ms", ends), config.limits, kind)
-    grouped = F.col("place") == GROUP
+    grouped = F.col("place") == IN_GROUP
     rows = rows.withColumns({c: F.when(F.col("place") != OF_ALL, F.col(c)) for c in SERVICES} | {c: F.when(grouped, F.col(c)) for c in KEYS})
     sums = [F.sum(c).alias(c) for c in MEASURES]
     sketches = [kind.of(F.when(~grouped & ~F.col("over"), F.col("key1"))).alias("fresh"), F.count_if(~grouped & ~F.col("over")).alias("n_fresh"), kind.union(F.col("sketch")).alias("before"), F.count("sketch").alias("n_before")]
     window = F.window("clock", f"{interval_s} seconds", None, window_start(interval)).alias("w")
     keys = ["code", "interval_s", "processing_time", "cm_id", "partition_id", "place", *SERVICES, *KEYS, "bucket"]
     out = rows.groupBy(window, *keys).agg(*sums, F.min("first").alias("first"), F.sum("events").alias("events"), F.max("youngest").alias("youngest"), *sketches)
-    fresh, before = F.when(F.col("n_fresh") > 0, F.col("fresh")), F.when(F.col("n_before") > 0, F.col("before"))
-    return out.withColumn("sketch", F.when(fresh.isNotNull() & before.isNotNull(), kind.both(F.col("fresh"), F.col("before"))).otherwise(F.coalesce(fresh, before))).drop("w", "fresh", "before", "n_fresh", "n_before")
+    return out.withColumn("sketch", kind.either("fresh", "n_fresh", "before", "n_before")).drop("w", "fresh", "before", "n_fresh", "n_before")
 
 
 def closed_partials(rows: DataFrame, config: AggConfig) -> Partials:
     """The partials of closed harvests: groups, and overflow where something was turned away."""
     own = rows.filter(F.col("code") != EXPIRED)
-    told = own.withColumn("over", F.col("place") != GROUP).drop("place")
+    told = own.withColumn("over", F.col("place") != IN_GROUP).drop("place")
     out = partials_of(told, True)
     # Events of services that were turned away count, too.
     totals = own.filter(F.col("code").isin(PRESENCE, TOTALS) & F.col("events").isNotNull()).groupBy("interval_s", "processing_time", "cm_id", "partition_id").agg(F.sum("events").alias("events_total"), F.max("youngest").alias("youngest"))
     lost = out.service_overflow.filter("sketch is not null")
-    if config.limits.unlimited and rows.filter(F.col("place") != GROUP).isEmpty():
+    if config.limits.unlimited and rows.filter(F.col("place") != IN_GROUP).isEmpty():
         return Partials(out.groups, out.services, totals)
     return Partials(out.groups, out.services, totals, out.overflow, lost)
 
