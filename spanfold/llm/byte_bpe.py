@@ -9,7 +9,8 @@ the chunks, which gather their documents' ids. Decoding concatenates the binary
 
 What is asked is stored with the names of the waiting files before it is answered, so a task that runs again cannot mix two
 cuts. A bucket that has met MOST_WORDS words forgets them and begins anew, so memory is bounded; results do not depend on
-that, nor on chunks. A word is folded whole at any length; its cost grows with the square of its length.
+that, nor on chunks. The fold's cost grows with the square of a word's length, so words of over LONG bytes are merged where they are
+told apart instead, by a heap of their pairs: the same steps in the same order, near to the length in cost.
 
 Defined cases: a null text counts as empty and has no ids; ids may be null; repeated rows are kept;
 an empty table gives an empty result; further columns are ignored.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import random
 import uuid
@@ -37,14 +39,14 @@ from pyspark.sql import functions as F
 from .common import Numbers, arrow_schema, from_planes, gathered, grouped, lean, packed, planes, read_file, read_table, shared_dir, small_batches, smallest, stored, texts_of, unpacked, write_file
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK_BYTES, PIECE_BYTES, MOST_WORDS, NO_RANK = 12 << 20, 2 << 20, 1 << 19, 2**17 - 1
+CHUNK_BYTES, PIECE_BYTES, MOST_WORDS, NO_RANK, LONG = 12 << 20, 2 << 20, 1 << 19, 2**17 - 1, 1024
 SLOTS, MOVES = 262_147, 65_537
 #: Bits of a packed piece: its place in the word, its id.
 PLACE_BITS, ID_BITS = 29, 17
 #: What a chunk asks of a bucket, packed; bucket -1 names the file of the chunk's documents.
 ASKED = "chunk long, bucket int, blob binary"
-#: A row is a word to fold, or what a chunk asked, as places among the words; a new generation begins with no words.
-CUT = "generation int, word array<tinyint>, chunk long, bucket int, places binary"
+#: A row is a word to fold, a long word's ids, or what a chunk asked, as places among the words; a new generation begins with no words.
+CUT = "generation int, word array<tinyint>, known array<int>, chunk long, bucket int, places binary"
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space after which a space may belong to a longer match than a cut at that space would give.
 OTHER_SPACE = tuple(f"{chr(c)} " for c in range(0x3001) if chr(c).isspace())
@@ -151,9 +153,38 @@ def asked_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folder:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), ASKED)
 
 
-def distinct_words(asked: DataFrame, buckets: int, most_words: int = MOST_WORDS) -> DataFrame:
+def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a long word: the pair of lowest rank first, the leftmost of equals, by a heap."""
+    n = len(word)
+    end, before, there = list(range(1, n + 1)), list(range(-1, n)), bytearray(b"\1") * n
+    heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+
+    def offer(start: int, stop: int) -> None:
+        if (rank := ranks.get(word[start:stop])) is not None:
+            heapq.heappush(heap, (rank, start, stop))
+
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        if not there[i] or (j := end[i]) >= n or end[j] != stop:
+            continue  # one of the two was merged since
+        end[i], there[j] = stop, 0
+        if before[i] >= 0:
+            offer(before[i], stop)
+        if stop < n:
+            before[stop] = i
+            offer(i, end[stop])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
+def distinct_words(asked: DataFrame, ranks: dict[bytes, int], buckets: int, most_words: int = MOST_WORDS) -> DataFrame:
     """Rows of CUT: what is new of a chunk's words, then their places."""
     schema = arrow_schema(CUT)
+    shared = asked.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
         generation, last, known = 0, None, Numbers()
@@ -168,10 +199,12 @@ def distinct_words(asked: DataFrame, buckets: int, most_words: int = MOST_WORDS)
                 new = list(islice(known, had, None))
                 if new:
                     n = len(new)
+                    ids = pa.array([merged_ids(w, shared.value) if len(w) > LONG else None for w in new], schema.field("known").type)
+                    new = [b"" if len(w) > LONG else w for w in new]
                     ends = np.fromiter(map(len, new), np.int64, n).cumsum()
                     lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(new), np.int8)), type=schema.field("word").type)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, generation, np.int32)), lists, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
-                row = [generation, None, chunk, bucket, at.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, generation, np.int32)), lists, ids, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
+                row = [generation, None, None, chunk, bucket, at.tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
     return asked.filter("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), CUT)
@@ -267,7 +300,7 @@ def folded_words(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     entries, moves = rank_map(ranks)
     width, singles = max(ranks.values()) + 1, [ranks[bytes([b])] for b in range(256)]
     ids = bound(literal(entries, "bigint"), lambda e: bound(literal(moves, "bigint"), lambda m: bound(literal(singles, "int"), lambda own: fold_word(RankMap(e, m, width), own, F.col("word")))))
-    return rows.select("generation", F.when(F.col("word").isNotNull(), ids).alias("ids"), "chunk", "bucket", "places")
+    return rows.select("generation", F.when(F.col("known").isNotNull(), F.col("known")).when(F.col("word").isNotNull(), ids).alias("ids"), "chunk", "bucket", "places")
 
 
 def answers(folded: DataFrame) -> DataFrame:
@@ -352,7 +385,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ddl: str, use,
     buckets = max(64, int(4 * (size >> 20) ** 0.5))
     asked = stored(asked_words(docs, ranks, pattern, folder, buckets, chunk_bytes), folder, "asked")
     waiting = asked.filter("bucket < 0")
-    told = answers(folded_words(distinct_words(asked, buckets, most_words), ranks))
+    told = answers(folded_words(distinct_words(asked, ranks, buckets, most_words), ranks))
     return gather(waiting.unionByName(told), max(1, waiting.count()), ddl, use)
 
 

@@ -55,3 +55,25 @@ def test_digest(spark):
         ids = LIBRARY.encode_ordinary(texts[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
     assert q.digest(docs.limit(0), PATH).count() == 0
+
+
+@given(st.lists(st.sampled_from(["ab", "a", "the", "q", "é", "zz", "ing", "0"]), min_size=1, max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_long_words_merge_in_the_same_order(parts):
+    word = "".join(parts).encode()
+    assert q.merged_ids(word, RANKS) == LIBRARY._core_bpe.encode_single_piece(word)
+
+
+def test_very_long_words(spark):
+    import random
+    import time
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    texts = ["".join(rng.choices(letters, k=50_000)), "ab" * 600, "x" * 1025, "é" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in q.encode(docs, RANKS, public_tokenizers.PATTERN).collect():
+        assert r.ids == LIBRARY.encode_ordinary(texts[r.doc_id])
+    word, start = "".join(rng.choices(letters, k=1 << 20)).encode(), time.monotonic()
+    ids = q.merged_ids(word, RANKS)
+    assert b"".join(map(q.pieces(RANKS).__getitem__, ids)) == word and time.monotonic() - start < 60
