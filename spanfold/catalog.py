@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import UNLIMITED, AggConfig, Limits
+from .functions import keys
 from .operators import limits as limiting
 from .operators.partials import Partials, aggregate, merge
-from .plans.aggregator import aggregate_documents, harvest_range, is_aligned, not_expired
+from .operators.rows import rows_of
+from .plans.aggregator import Aggregator, aggregate_documents, harvest_range, is_aligned, not_expired
 from .plans.documents import documents
 from .sources import adapters
 from .sources.work import work_dir
-from .streaming.windows import stream_to_documents
+from .streaming.windows import replayed, stream_to_documents
 from .telemetry import overflow_counts
 
 PLENTY = UNLIMITED
@@ -217,9 +219,9 @@ def q16(spark, d):
     return rows.selectExpr(stamp("timestamp"), "svc_name", "svc_language", "service_language_version", "service_version", "event_outcome", "transaction_name", "host_hostname", "cloud_provider", "cloud_region", "cloud_availability_zone", "metricset_doc_count", "duration_sum")
 
 
-def limits_query(**given):
+def limits_query(make=aggregate_documents, **given):
     def run(spark, d):
-        rows = docs_of(txn(spark, d), config(limited(**given)), "transaction", "service_transaction", "service_summary")
+        rows = make(txn(spark, d), config(limited(**given))).filter(F.col("metricset_name").isin("transaction", "service_transaction", "service_summary"))
         named = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("transaction_name", "transaction_type")]
         return rows.select("metricset_name", "cm_id", "svc_name", *named, F.coalesce("overflow_count", F.lit(0)).cast("long").alias("overflow_count"), F.coalesce("metricset_doc_count", F.lit(0)).alias("n"), F.coalesce("duration_sum", F.lit(0.0)).alias("dsum")).groupBy("metricset_name", "cm_id", "svc_name", "transaction_name", "transaction_type").agg(F.count("*").alias("documents"), F.sum("overflow_count").alias("overflowed"), F.sum("n").alias("events"), F.sum("dsum").alias("micros"))
 
@@ -362,6 +364,53 @@ def q30(spark, d):
     return rows.selectExpr(*SVC_TXN_OUT)
 
 
+def q32(spark, d):
+    """Hour-old partials that come as a stream at 02:30, with a lookback of one hour: what is harvested, by bucket."""
+    cfg = AggConfig(FREE, intervals=(timedelta(hours=1),), lookback=timedelta(hours=1))
+    partials = rows_of(aggregate(_spread_in_time(txn(spark, d)), cfg.interval_seconds)).withColumn("arrived", F.lit("2024-06-01 02:30:00").cast("timestamp"))
+    rows = replayed(spark, cfg, datetime(2024, 6, 1, 2, 30), partials=partials).filter("metricset_name = 'service_transaction'")
+    return rows.groupBy(F.date_format("processing_time", "yyyy-MM-dd HH:mm:ss").alias("bucket"), "cm_id").agg(F.count("*").alias("documents"), F.sum("metricset_doc_count").alias("events"))
+
+
+def q33(spark, d):
+    """Partials of two halves, as streams of their own would leave them, merged by a stream of the next level."""
+    cfg = config()
+    halves = [rows_of(aggregate(txn(spark, d).filter(F.col("seq") % 2 == i), [HOUR]), limiting.Distinct(True)) for i in range(2)]
+    arrived = F.lit(adapters.BATCH_TIME).cast("timestamp")
+    rows = replayed(spark, cfg, datetime(2024, 6, 1), partials=halves[0].unionByName(halves[1]).withColumn("arrived", arrived))
+    return rows.filter("metricset_name = 'service_transaction'").selectExpr(*SVC_TXN_OUT)
+
+
+def q34(spark, d):
+    """The aggregator itself: four batches of each tenant taken in, one harvest, the rest at the end."""
+    folder, cfg = work_dir(spark, "facade"), config(FREE, HOUR, 2 * HOUR)
+
+    def sink(rows, interval_s):
+        rows.withColumn("seconds", F.lit(interval_s)).write.mode("append").parquet(f"{folder}/documents")
+
+    agg, events = Aggregator(spark, cfg), txn(spark, d)
+    for i in range(4):
+        agg.aggregate_batch(f"t{i % 2}", events.filter((F.col("seq") % 2 == i // 2) & (F.col("cm_id") == f"t{i % 2}")))
+    agg.harvest(datetime(2024, 6, 1, 1), sink)
+    agg.close(datetime(2024, 6, 1, 1), sink)
+    return spark.read.parquet(f"{folder}/documents").filter(f"metricset_name = 'service_transaction' and seconds = {HOUR}").selectExpr(*SVC_TXN_OUT)
+
+
+def q35(spark, d):
+    """Sortable keys of the buckets, and what they are decoded to."""
+    totals = aggregate(_spread_in_time(txn(spark, d)), [HOUR, 2 * HOUR]).totals.withColumn("key", keys.encoded())
+    back = keys.decoded(F.col("key"))
+    return totals.select(F.hex("key").alias("key"), back["interval_s"].alias("interval_s"), F.date_format(back["processing_time"], "yyyy-MM-dd HH:mm:ss").alias("bucket"), back["cm_id"].alias("cm_id"), back["partition_id"].alias("partition_id"), "events_total")
+
+
+def q36(spark, d):
+    """Overflow estimates of q22 beside exact counts: how many documents, the exact sum, and whether each estimate is within 5 per cent (or 2)."""
+    owner = ["metricset_name", "cm_id", "svc_name", "processing_time", "timestamp"]
+    exact, near = (aggregate_documents(spans(spark, d), AggConfig(limited(**SPAN_LIMITS), intervals=(timedelta(seconds=DAY),), overflow_count_mode=mode)).filter("overflow_count is not null").select(*owner, F.col("overflow_count").alias(mode)) for mode in ("exact", "sketch"))
+    close = F.abs(F.col("sketch") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.05 * F.col("exact"))
+    return exact.join(near, owner).groupBy("metricset_name").agg(F.count("*").alias("documents"), F.sum("exact").alias("overflowed"), F.min(close).alias("all_close"))
+
+
 Q17 = {"max_services": 60}
 Q18 = {"max_transaction_groups_per_service": 2}
 Q19 = {"max_transaction_groups": 500}
@@ -398,6 +447,12 @@ QUERIES = {
     "q28_totals": q28,
     "q29_overflow_counts": q29,
     "q30_stream_equals_batch": q30,
+    "q31_stream_admission": limits_query(lambda events, cfg: stream_to_documents(events.sparkSession, events, cfg), **Q18),
+    "q32_stream_lookback": q32,
+    "q33_stream_of_partials": q33,
+    "q34_aggregator": q34,
+    "q35_sortable_keys": q35,
+    "q36_estimate_bounds": q36,
 }
 
 _SVC_TXN = svc_txn_sql(b_sql())
@@ -487,7 +542,23 @@ def harvest_range_sql() -> str:
     return _shift_sql(" union all ".join(parts))
 
 
+def stream_lookback_sql() -> str:
+    parts = [f"select '2024-06-01 0{2 - shift}:00:00' as bucket, cm_id, count(*) as documents, cast(sum(metricset_doc_count) as bigint) as events from ({svc_txn_sql(b_sql(HOUR, f'seq % 4 = {shift}'))}) group by cm_id" for shift in (0, 1)]
+    return " union all ".join(parts)
+
+
+def sortable_keys_sql() -> str:
+    parts = [f"select {s} as interval_s, {_floor(s)} as bt, cm_id, cast(count(*) as double) as events_total from y group by 1, 2, 3" for s in (HOUR, 2 * HOUR)]
+    return _shift_sql("select upper(printf('%04x%016x', interval_s, cast(epoch(bt) as bigint)) || rpad(hex(cm_id), 32, '0') || '0000') as key, interval_s, strftime(bt, '%Y-%m-%d %H:%M:%S') as bucket, cm_id, 0 as partition_id, events_total from (" + " union all ".join(parts) + ")")
+
+
 ORACLE_SQL = {
+    "q31_stream_admission": limits_sql(**Q18),
+    "q32_stream_lookback": stream_lookback_sql(),
+    "q33_stream_of_partials": _SVC_TXN,
+    "q34_aggregator": _SVC_TXN,
+    "q35_sortable_keys": sortable_keys_sql(),
+    "q36_estimate_bounds": f"select 'service_destination' as metricset_name, count(*) as documents, cast(sum(overflow_count) as bigint) as overflowed, true as all_close from ({q21_sql()}) where overflow_count > 0 having count(*) > 0",
     "q07_all_metricsets": all_metricsets_sql(),
     "q10_zero_weight_no_exit": zero_weight_sql(),
     "q16_wide_key": wide_sql(),
