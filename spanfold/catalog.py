@@ -17,7 +17,7 @@ from .plans.documents import documents
 from .sources import adapters
 from .sources.work import work_dir
 from .streaming.windows import replayed, stream_to_documents
-from .telemetry import overflow_counts
+from .telemetry import overflow_by_owner, overflow_counts
 
 PLENTY = UNLIMITED
 FREE = Limits.same(PLENTY)
@@ -404,11 +404,15 @@ def q35(spark, d):
 
 
 def q36(spark, d):
-    """Overflow estimates of q22 beside exact counts: how many documents, the exact sum, and whether each estimate is within 5 per cent (or 2)."""
-    owner = ["metricset_name", "cm_id", "svc_name", "processing_time", "timestamp"]
-    exact, near = (aggregate_documents(spans(spark, d), AggConfig(limited(**SPAN_LIMITS), intervals=(timedelta(seconds=DAY),), overflow_count_mode=mode)).filter("overflow_count is not null").select(*owner, F.col("overflow_count").alias(mode)) for mode in ("exact", "sketch"))
+    """Overflow estimates at the limits of q21 beside exact counts: how many buckets, the exact sum, whether each estimate is within 5 per cent (or 2)."""
+    whole = aggregate(spans(spark, d), [DAY]).settled(spark, work_dir(spark, "groups"))
+    counted = []
+    for name, kind in (("exact", limiting.Distinct(True)), ("sketch", limiting.Distinct())):
+        rows = overflow_by_owner(limiting.admit(whole, limited(**SPAN_LIMITS), kind), kind).filter("overflowed > 0")
+        counted.append(rows.withColumnRenamed("overflowed", name))
+    both = counted[0].join(counted[1], [c for c in counted[0].columns if c != "exact"])
     close = F.abs(F.col("sketch") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.05 * F.col("exact"))
-    return exact.join(near, owner).groupBy("metricset_name").agg(F.count("*").alias("documents"), F.sum("exact").alias("overflowed"), F.min(close).alias("all_close"))
+    return both.groupBy(F.col("aggregation_type").alias("metricset_name")).agg(F.count("*").alias("documents"), F.sum("exact").alias("overflowed"), F.min(close).alias("all_close"))
 
 
 Q17 = {"max_services": 60}
