@@ -89,6 +89,53 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
+def chosen(rows: DataFrame, number: str, numbers: DataFrame, folder: str, name: str) -> DataFrame:
+    """The rows whose number is among `numbers`; numbers are of monotonically_increasing_id, and rows are not shuffled for it.
+
+    What is asked of each part of the numbering (its upper bits) goes to a file of the shared folder, never more than
+    the part has rows; tasks that read rows look their parts up.
+    """
+    to, schema = f"{folder}/{name}-chosen", arrow_schema("part long, n long")
+
+    def note(batches):
+        part, held = None, []
+
+        def told():
+            write_file(f"{to}/{part}", [packed(np.concatenate(held))])
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([sum(map(len, held))])], schema=schema)
+
+        for batch in batches:
+            own, asked = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for p in np.unique(own).tolist():
+                if p != part:
+                    if held:
+                        yield told()
+                    part, held = p, []
+                held.append(asked[own == p].copy())
+        if held:
+            yield told()
+
+    asked = numbers.select(F.shiftright(F.col(number), 33).alias("part"), F.col(number).alias("number")).repartition("part").sortWithinPartitions("part", "number")
+    stored(asked.mapInArrow(lean(note), "part long, n long"), folder, f"{name}-noted")
+    at = rows.columns.index(number)
+
+    def pick(batches):
+        part, held = None, np.zeros(0, np.int64)
+        files, path = open_fs(to)
+        for batch in batches:
+            own = batch.column(at).to_numpy()
+            keep = np.zeros(len(own), bool)
+            for p in np.unique(own >> 33).tolist():
+                if p != part:
+                    there = files.get_file_info(f"{path}/{p}").is_file
+                    part, held = p, unpacked(read_file(f"{to}/{p}")) if there else np.zeros(0, np.int64)
+                keep |= (own >> 33 == p) & np.isin(own, held)
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return rows.mapInArrow(lean(pick), rows.schema)
+
+
 def open_fs(uri: str):
     """(file system, path) of a folder or file in any store that pyarrow knows."""
     from pyarrow import fs
