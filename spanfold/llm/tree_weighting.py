@@ -43,6 +43,8 @@ ASKED = "chunk long, bucket int, blob binary"
 UPPER = "context long, node int, n0 long, n1 long, below double"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 HASH, FINE = 0x9E3779B1, 1 << 25
+#: Bits that tell the texts of a piece apart; beside the 56 of a gram.
+TEXT_BITS = 7
 
 
 def streams(words: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,26 +57,56 @@ def streams(words: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> tuple[np
     return np.frombuffer(b"".join(out), np.uint8), lengths.cumsum()
 
 
-def text_grams(raw: np.ndarray, ends: np.ndarray):
-    """(distinct grams, gram's place among them at each symbol, text of each symbol) of pieces of the streams."""
+def gram_pieces(raw: np.ndarray, ends: np.ndarray, most_texts: int = 1 << 30):
+    """(gram at each symbol, its text, counted from the piece's first, that text) of pieces of the streams, of some texts at most."""
     starts = np.append(0, ends[:-1])
-    for lo in range(DEPTH, len(raw), PIECE_BYTES):
-        hi = min(len(raw), lo + PIECE_BYTES)
-        owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.clip(ends, lo, hi) - np.clip(starts, lo, hi))
-        code = np.zeros(hi - lo, np.int64)
-        for j in range(DEPTH + 1):
-            code = (code << 8) | raw[lo - DEPTH + j : hi - DEPTH + j]
-        real = np.arange(lo, hi) - starts[owner] >= DEPTH
-        coded = pa.array(code[real]).dictionary_encode()
-        yield coded.dictionary.to_numpy(), coded.indices.to_numpy(), owner[real]
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, min(first + most_texts, int(np.searchsorted(ends, starts[first] + PIECE_BYTES, "right"))))
+        for lo in range(int(starts[first]) + DEPTH, int(ends[last - 1]), PIECE_BYTES):  # of one text, if it is longer
+            hi = min(int(ends[last - 1]), lo + PIECE_BYTES)
+            owner = np.repeat(np.arange(last - first), np.clip(ends[first:last], lo, hi) - np.clip(starts[first:last], lo, hi))
+            code = np.zeros(hi - lo, np.int64)
+            for j in range(DEPTH + 1):
+                code = (code << 8) | raw[lo - DEPTH + j : hi - DEPTH + j]
+            real = np.arange(lo, hi) - starts[first + owner] >= DEPTH
+            yield code[real], owner[real], first
+        first = last
+
+
+def runs(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+
+
+def counted_grams(raw: np.ndarray, ends: np.ndarray, teaches: np.ndarray):
+    """(distinct grams in order, how often texts that teach have each) of pieces of the streams; a sort brings equal ones together."""
+    for code, owner, first in gram_pieces(raw, ends):
+        marked = np.sort(code << 1 | teaches[first + owner])
+        grams = marked >> 1
+        at = runs(grams)
+        yield grams[at], np.add.reduceat(marked & 1, at).astype(np.int32) if len(at) else np.zeros(0, np.int32)
+
+
+def text_sums(raw: np.ndarray, ends: np.ndarray, grams: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum over each text of the values of its grams; grams: all of them, in order. A symbol's text is the low bits of what is sorted."""
+    total = np.zeros(len(ends))
+    for code, owner, first in gram_pieces(raw, ends, 1 << TEXT_BITS):
+        marked = np.sort(code << TEXT_BITS | owner)
+        own = marked >> TEXT_BITS
+        at = runs(own)
+        found = np.repeat(values[np.searchsorted(grams, own[at])], np.diff(np.append(at, len(own))))
+        sums = np.bincount(marked & (1 << TEXT_BITS) - 1, found)
+        total[first : first + len(sums)] += sums
+    return total
 
 
 def added(grams: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams in order, and the sum of n of each."""
+    """Distinct grams in order, and the sum of n of each; a stable sort merges what comes in order fast."""
     grams, n = np.concatenate(grams), np.concatenate(n)
-    order = np.argsort(grams)
+    order = np.argsort(grams, kind="stable")
     grams = grams[order]
-    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
+    first = runs(grams)
     return grams[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
@@ -113,8 +145,8 @@ def asked_grams(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
             place[order] = np.arange(len(words), dtype=np.int32)
             words, trained, flat, found = [words[i] for i in order.tolist()], trained[order], place[flat], []
             raw, ends = streams(words, sizes, flat)
-            for distinct, where, owner in text_grams(raw, ends):
-                found.append((distinct, np.bincount(where[teaches[owner]], minlength=len(distinct)).astype(np.int32)))
+            for piece in counted_grams(raw, ends, teaches):
+                found.append(piece)
                 if sum(len(x) for x, _ in found[1:]) > max(len(found[0][0]), PIECE_BYTES):
                     found = [added(*zip(*found))]
             grams, n = added(*zip(*found))
@@ -390,10 +422,8 @@ def answered_texts(told: DataFrame, chunks: int, totals: dict) -> DataFrame:
         base = total(np.log10((c + 1) / whole)) + math.log10((t["ends"] + 1) / whole)
         known = total((c > 0).astype(float)) + (t["ends"] > 0)
         grams = from_planes(steps, np.int64).cumsum()
-        order = np.argsort(grams)
-        grams, lp, score = grams[order], fine[order] / -FINE, np.zeros(k)
-        for distinct, place, of in text_grams(raw, ends):
-            score += np.bincount(of, lp[np.searchsorted(grams, distinct)][place], k)
+        order = np.argsort(grams, kind="stable")
+        score = text_sums(raw, ends, grams[order], fine[order] / -FINE)
         coded = np.diff(ends, prepend=0) - DEPTH
         columns = [ids, held, sizes + 1, known.astype(np.int64), np.full(k, t["tokens"]), base, score, -score * math.log2(10) / coded]
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
