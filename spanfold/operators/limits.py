@@ -134,7 +134,7 @@ def routes(keys: DataFrame, limits: Limits, over: set[int]) -> DataFrame | None:
 
 def admit(partials: Partials, limits: Limits, distinct: Distinct = Distinct(), folder: str | None = None) -> Partials:
     """The partials within the limits, with everything else in overflow rows; written to the folder (a work folder without one)."""
-    from .rows import CODES, KEYS, MEASURES, PRESENCE, SERVICES, partials_of, rows_of, with_ids
+    from .rows import CODES, MEASURES, PRESENCE, SERVICES, partials_of, rows_of, with_ids
 
     spark = partials.totals.sparkSession
     folder = folder or work_dir(spark, "limits")
@@ -144,12 +144,13 @@ def admit(partials: Partials, limits: Limits, distinct: Distinct = Distinct(), f
         return spark.read.schema(frame.schema).parquet(f"{folder}/{name}")
 
     rows = stored(with_ids(rows_of(partials, distinct)), "rows")
+    whole = partials_of(rows)
     own = rows.filter(F.col("code").isin(PRESENCE, *CODES.values()) & ~F.col("over"))
     keys = stored(own.groupBy("code", *COMBINED, *_SID, *_GID, *_CGID).agg(F.min("first").alias("first")), "keys")
     over = reached(keys, limits)
     told = routes(keys, limits, over)
     if told is None and partials.overflow is None:
-        return partials_of(rows, True)  # all is let in; the overflow tables have no rows
+        return whole  # all is let in; the overflow tables have no rows
     # Overflow rows from before go where their service goes.
     of_service = F.col("over") | (F.col("code") == PRESENCE)
     rows = rows.withColumns({"route": F.when(of_service, PRESENCE).otherwise(F.col("code")), "id1": F.when(of_service, F.col("sid1")).otherwise(F.col("gid1")), "id2": F.when(of_service, F.col("sid2")).otherwise(F.col("gid2"))})
@@ -161,15 +162,18 @@ def admit(partials: Partials, limits: Limits, distinct: Distinct = Distinct(), f
     named, told_all = F.col("svc_name").isNotNull(), F.col("told") == OF_ALL
     place = F.when(F.col("over"), F.when(~named | told_all, OF_ALL).otherwise(OF_SERVICE)).otherwise(F.coalesce("told", F.lit(IN_GROUP)))
     rows = rows.withColumns({"place": place, "span_name": F.when(F.col("blanked"), F.lit("")).otherwise(F.col("span_name"))})
-    sums, counted = [F.sum(c).alias(c) for c in MEASURES], [F.sum("events").alias("events"), F.max("youngest").alias("youngest")]
-    inside = rows.filter(F.col("place") == IN_GROUP).groupBy("code", *COMBINED, *SERVICES, *KEYS, "bucket").agg(*sums, F.min("first").alias("first"), *counted)
-    inside = stored(inside.withColumns({"over": F.lit(False), "sketch": F.lit(None).cast(distinct.kind)}), "inside")
+    sums = [F.sum(c).alias(c) for c in MEASURES]
+    inside, groups = rows.filter(F.col("place") == IN_GROUP), {}
+    for m, code in CODES.items():
+        own = inside.filter((F.col("code") == code) & ~F.col("over")).select(*COMBINED, *SERVICE, *GROUP[m], *(["bucket", "scaled"] if m in HISTOGRAM else []), *SUMS[m], "first")
+        if m == "service_destination":  # keys whose names were blanked meet here; all others have a row each
+            own = own.groupBy(*COMBINED, *SERVICE, *GROUP[m]).agg(*[F.sum(c).alias(c) for c in SUMS[m]], F.min("first").alias("first"))
+        groups[m] = own
     # A group's id covers its service, so equal keys of two services stay two.
     turned = rows.filter(F.col("place") != IN_GROUP).withColumns({c: F.when(F.col("place") == OF_SERVICE, F.col(c)) for c in SERVICES} | {"id": F.when(~F.col("over"), F.col("id1"))})
-    turned = turned.groupBy("code", *COMBINED, *SERVICES, "bucket").agg(*sums, *counted, distinct.of(F.col("id")).alias("fresh"), F.count("id").alias("n_fresh"), distinct.union(F.col("sketch")).alias("before"), F.count("sketch").alias("n_before"))
+    turned = turned.groupBy("code", *COMBINED, *SERVICES, "bucket").agg(*sums, distinct.of(F.col("id")).alias("fresh"), F.count("id").alias("n_fresh"), distinct.union(F.col("sketch")).alias("before"), F.count("sketch").alias("n_before"))
     turned = stored(turned.withColumn("sketch", distinct.either("fresh", "n_fresh", "before", "n_before")).drop("fresh", "n_fresh", "before", "n_before"), "turned")
-    first = partials_of(inside, False)
     overflow = {m: turned.filter(F.col("code") == code).select(*COMBINED, *SERVICE, *(["bucket", "scaled"] if m in HISTOGRAM else []), *SUMS[m], "sketch") for m, code in CODES.items()}
     lost = turned.filter(F.col("code") == PRESENCE).select(*COMBINED, "sketch")
-    totals = inside.select(*COMBINED, "code", "events", "youngest").unionByName(turned.select(*COMBINED, "code", "events", "youngest")).filter("events is not null").groupBy(*COMBINED).agg(F.sum("events").alias("events_total"), F.max("youngest").alias("youngest"))
-    return Partials(first.groups, first.services, totals, overflow, lost)
+    services = inside.filter((F.col("code") == PRESENCE) & ~F.col("over")).select(*COMBINED, *SERVICE, "first")
+    return Partials(groups, services, whole.totals, overflow, lost)
