@@ -167,10 +167,10 @@ def read_file(uri: str) -> bytes:
         return f.read()
 
 
-def packed(value) -> bytes:
+def packed(value, level: int = 1) -> bytes:
     """A value of arrays, bytes and lists, compressed; `unpacked` gives it back."""
     raw = pickle.dumps(value, 5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def unpacked(blob: bytes):

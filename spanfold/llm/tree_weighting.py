@@ -43,6 +43,8 @@ ASKED = "chunk long, bucket int, blob binary"
 UPPER = "context long, node int, n0 long, n1 long, below double"
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 HASH, FINE = 0x9E3779B1, 1 << 25
+#: How hard what is asked is compressed: it is stored once and shuffled twice.
+LEVEL = 7
 #: Bits that tell the texts of a piece apart; beside the 56 of a gram.
 TEXT_BITS = 7
 
@@ -159,7 +161,7 @@ def asked_grams(docs: DataFrame, folder: str, buckets: int) -> DataFrame:
             for b in range(buckets):
                 (lo, hi), (wlo, whi) = edges[b : b + 2], word_edges[b : b + 2]
                 if hi > lo or whi > wlo:
-                    rows.append((b, packed((planes(np.diff(grams[lo:hi], prepend=0)), smallest(n[lo:hi]), b"".join(words[wlo:whi]), smallest(lengths[wlo:whi]), smallest(trained[wlo:whi])))))
+                    rows.append((b, packed((planes(np.diff(grams[lo:hi], prepend=0)), smallest(n[lo:hi]), b"".join(words[wlo:whi]), smallest(lengths[wlo:whi]), smallest(trained[wlo:whi])), LEVEL)))
             yield pa.RecordBatch.from_arrays([pa.array([task << 32 | k] * len(rows)), pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], schema=schema)
 
     return docs.mapInArrow(lean(run), ASKED)
