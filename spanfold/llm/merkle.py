@@ -321,3 +321,36 @@ def manifest(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(read_table(spark, sf_dir, "documents"))
+
+
+def _oracle_sql(levels: int = 8, top_levels: int = 5) -> str:
+    """DuckDB SQL of the manifest for trees of so many levels at most: 8 to the power of it leaves."""
+    told = lambda c: f"(case when {c} is null then '-' else strlen({c}) || ':' || {c} end)"
+    text = lambda t: "sha256(" + " || ".join(told(c) for c in ("cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)", t)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bit = "(case when i % 8 = 0 then xor(c, ascii(substr(digits, cast(i // 8 + 1 as int), 1))) else c end)"
+    crc = f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), range(8 * length(digits))), lambda c, i: xor({bit} >> 1, case when {bit} % 2 = 1 then 3988292384 else 0 end)), 4294967295)"
+    out = [
+        f"a as (select doc_id, case when lang is null then '0' else '1' || lang end as tree, coalesce(cast(doc_id as varchar), '') as digits, {text('text')} as leaf, {text(lower)} as low from documents)",
+        f"b as (select doc_id, tree, leaf, case when {crc} % 3 = 0 then low else leaf end as v from a)",
+        "d0 as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as place, '' as proof from b)",
+        "l0 as (select tree, place, leaf as h, count(*) over (partition by tree) as m from d0)",
+    ]
+
+    def climb(k: int, nodes: str, docs: str) -> None:
+        out.append(f"{nodes}r{k} as (select tree, place // 8 as run, list(h order by place) as hs, any_value(m) as m from {nodes}{k} group by 1, 2)")
+        out.append(f"{nodes}{k + 1} as (select tree, run as place, case when m = 1 then hs[1] else sha256(array_to_string(hs, '')) end as h, (m + 7) // 8 as m from {nodes}r{k})")
+        left, right = "array_to_string(hs[1:cast(place % 8 as int)], '')", "array_to_string(hs[cast(place % 8 as int) + 2:], '')"
+        out.append(f"{docs}{k + 1} as (select d.* exclude (v, place, proof), case when m = 1 then v else sha256({left} || v || {right}) end as v, place // 8 as place, case when m = 1 then proof else proof || {left} || {right} end as proof from {docs}{k} d join {nodes}r{k} r on (d.tree = r.tree and d.place // 8 = r.run))")
+
+    for k in range(levels):
+        climb(k, "l", "d")
+    out.append(f"s as (select tree, h as subroot, row_number() over (order by tree) - 1 as place, count(*) over () as m from l{levels})")
+    out.append("t0 as (select '' as tree, place, subroot as h, m from s)")
+    out.append(f"e0 as (select d.doc_id, d.leaf, s.subroot, d.v, s.place, d.proof, '' as tree from d{levels} d join s on d.tree = s.tree)")
+    for k in range(top_levels):
+        climb(k, "t", "e")
+    return "with " + ",\n  ".join(out) + f"\n  select doc_id, leaf, subroot, h as root, sha256(proof) as proof_sha256, v as folded_root, v = h as verified from e{top_levels}, (select h from t{top_levels})"
+
+
+ORACLE_SQL = _oracle_sql()

@@ -109,3 +109,13 @@ def test_walk_holds_three_subtrees():
         middle[i // shape.subtree].add(sha(str(i)))
     for k, (digest, what, path) in enumerate(q.walked(nodes(), [m.rows[2][0] for m in middle], 4, shape)):
         assert what == k and len(taken) <= k + shape.subtree and len(path) == 4
+
+
+def test_equals_sql(spark):
+    import duckdb
+
+    rows = some(random.Random(4), 300)
+    with duckdb.connect() as c:
+        c.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
+        c.executemany("insert into documents values (?, ?, ?, ?, ?)", [tuple(r[k] for k in ("doc_id", "text", "lang", "source", "n_chars")) for r in rows])
+        assert sorted(c.execute(q.ORACLE_SQL).fetchall(), key=str) == brute(rows)
