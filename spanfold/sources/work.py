@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import pathlib
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the engine to the executors, once a session, for the Python that admission in streams runs there."""
+    if getattr(spark.sparkContext, "_spanfold_engine_shipped", False):
+        return
+    root, own = pathlib.Path(__file__).resolve().parent.parent, tempfile.mkdtemp(prefix="spanfold-ship-")
+    atexit.register(shutil.rmtree, own, True)
+    to = pathlib.Path(own) / "spanfold_engine.zip"
+    with zipfile.ZipFile(to, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, f"{root.name}/{p.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(to))
+    spark.sparkContext._spanfold_engine_shipped = True
+
+
 def work_dir(spark: SparkSession, tag: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share; in local mode without it, of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)

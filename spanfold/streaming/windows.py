@@ -31,7 +31,7 @@ from ..functions.time import truncate, window_start
 from ..operators.partials import Partials
 from ..operators.rows import CODES, KEYS, MEASURES, PRESENCE, SERVICES, TOTALS, columns, observed, partials_of
 from ..plans.aggregator import distinct, next_end, partials_to_documents
-from ..sources.work import Folder, work_dir
+from ..sources.work import Folder, ship, work_dir
 from ..telemetry import expired_metrics, harvest_metrics, log_overflow
 from ..operators.limits import IN_GROUP, OF_ALL, OF_SERVICE
 from .admission import admitted_rows
@@ -171,6 +171,8 @@ def start(spark: SparkSession, config: AggConfig, checkpoint: str, events: DataF
     windows; without, only events and `flush` do.
     """
     streams, files = Streams(spark, config, checkpoint), Folder(spark, checkpoint)
+    if not config.limits.unlimited:
+        ship(spark)
 
     def finish(interval_s: int):
         def run(batch: DataFrame, number: int) -> None:
