@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..config import Limits
+from ..config import UNLIMITED, Limits
 from ..operators.limits import IN_GROUP, OF_ALL, OF_SERVICE, Distinct
 from ..operators.rows import CODES, PRESENCE, columns, with_ids
 
@@ -29,11 +29,12 @@ _SPAN = CODES["service_destination"]
 
 
 class Admitted:
-    """Services and groups that got in, under the limits of one combined key."""
+    """Services and groups that got in, under the limits of one combined key; what has no limit is let in without being remembered."""
 
     def __init__(self, limits: Limits):
         self.max_services = limits.max_services
         self.limits = {code: limits.of(m) for m, code in CODES.items()}
+        self.free = {code for code, both in self.limits.items() if min(both) >= UNLIMITED} | ({PRESENCE} if self.max_services >= UNLIMITED else set())
         self.services, self.groups = set(), {code: set() for code in CODES.values()}
         self.total, self.own, self.new = Counter(), Counter(), []
 
@@ -50,13 +51,20 @@ class Admitted:
         self.put(code, key, service)
         self.new.append((code, key, service))
 
+    def knows(self, service: tuple[int, int]) -> bool:
+        return PRESENCE in self.free or service in self.services
+
     def service(self, key: tuple[int, int]) -> bool:
+        if PRESENCE in self.free:
+            return True
         if key not in self.services and len(self.services) < self.max_services:
             self._let_in(PRESENCE, key, key)
         return key in self.services
 
     def group(self, code: int, key, nameless, service) -> tuple[int, bool]:
         """(place, whether its span's name is blanked) of a group of an admitted service."""
+        if code in self.free:
+            return IN_GROUP, False
         groups, (total, per_service) = self.groups[code], self.limits[code]
         if key in groups:
             return IN_GROUP, False
@@ -79,11 +87,11 @@ def places(rows: pd.DataFrame, admitted: Admitted) -> tuple[list[int], list[bool
         admitted.service(key)
     groups, found = fresh[fresh["code"] != PRESENCE].sort_values(["first", "gid1", "gid2"]).drop_duplicates(["code", "gid1", "gid2"]), {}
     for code, s1, s2, g1, g2, c1, c2 in zip(*[groups[c].tolist() for c in ("code", *IDS)]):
-        if (s1, s2) in admitted.services and code in admitted.groups:
+        if admitted.knows((s1, s2)) and code in admitted.groups:
             found[code, g1, g2] = admitted.group(code, (g1, g2), (c1, c2), (s1, s2))
     where, blank = [], []
     for code, over, named, s1, s2, g1, g2 in zip(*[rows[c].tolist() for c in ("code", "over", "named", "sid1", "sid2", "gid1", "gid2")]):
-        known = named and (s1, s2) in admitted.services
+        known = named and admitted.knows((s1, s2))
         place, blanked = (OF_SERVICE if known else OF_ALL, False) if over else (found[code, g1, g2] if known and code in admitted.groups else (IN_GROUP if known or not named else OF_ALL, False))
         where.append(place)
         blank.append(blanked)
