@@ -1,10 +1,12 @@
 """Operator 4, URL filters: ordered host and path rules, then a blocked Bloom filter in front of an exact hash join.
 
 A url that no rule fits is blocked if its canonical form is listed. The list's canonical urls set bits in a blocked
-Bloom filter: one hash picks a block of 512 bits (eight longs), the second sets PROBES bits in it. Blocks are rows,
-made by one aggregation; urls meet their block by a join on its number. Only possible hits go on to the exact join
-with the list, which removes false positives. Both joins are ordinary equi-joins over keys that are even or
-pre-aggregated, so neither side has to fit anywhere.
+Bloom filter: one hash picks a block of 512 bits (eight longs), two more set PROBES bits in it. Blocks are rows, made by
+one aggregation; their size follows from the number of listed urls. Up to MOST_BLOCK_BYTES they are broadcast and urls
+are tested where they are, so that only possible hits are shuffled; beyond it distinct urls meet their block by a join
+on its number. The exact join of distinct possible hits with the list removes false positives. Rows meet the verdict of
+their url in a join, but for frequent urls: those that hold more than one row in MOST_FREQUENT of the rows asked are at
+most MOST_FREQUENT many, and their verdicts are broadcast (up to MOST_BLOCK_BYTES of them), so no task gets their rows.
 
 A canonical url has no scheme and fragment; host in lower case without `www.` and a default port; path without a
 trailing slash, `index.html` or `.html`; query parameters without tracking ones (TRACKING), in order.
@@ -25,6 +27,9 @@ from .common import read_table, shared_dir, stored
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid)(=|$)"
 BITS_PER_URL, BLOCK_BITS, PROBES = 16, 512, 8
+#: What may be broadcast, and how many urls may count as frequent ones.
+MOST_BLOCK_BYTES, MOST_FREQUENT = 64 << 20, 10_000
+BYTES_PER_BLOCK = 8 * (BLOCK_BITS // 64 + 1)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,9 +73,9 @@ def block_of(key: Column, blocks: int) -> Column:
 
 
 def words_of(key: Column) -> list[Column]:
-    """The eight longs whose bits a key sets in its block: PROBES positions, nine bits each, from one hash."""
-    h = F.xxhash64(F.lit("bits"), key)
-    probes = [F.shiftright(h, 7 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)) for i in range(PROBES)]
+    """The eight longs whose bits a key sets in its block: PROBES positions, nine bits each, half of them from each of two hashes."""
+    halves = [F.xxhash64(F.lit(name), key) for name in ("bits", "more bits")]
+    probes = [F.shiftright(h, 9 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)) for h in halves for i in range(PROBES // 2)]
     out = []
     for w in range(BLOCK_BITS // 64):
         bits = [F.when(F.shiftright(p, 6) == w, F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")) for p in probes]
@@ -87,17 +92,42 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOCK_BITS // 64)])
 
 
-def listed_urls(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """Distinct (canonical) of urls that are in listed, both of one column `canonical`: by the filter, then exactly."""
-    blocks = max(1, -(-listed.count() * BITS_PER_URL // BLOCK_BITS))
-    table = bloom(listed, blocks)
-    own = urls.filter("canonical is not null").select("canonical").distinct().select("canonical", block_of(F.col("canonical"), blocks).alias("block"))
-    met = own.join(table, "block")
-    possible = None
+def passes() -> Column:
+    """Whether all bits of a row's canonical url are set in the block beside it (w0..w7); false where there is none."""
+    out = None
     for i, w in enumerate(words_of(F.col("canonical"))):
         hit = F.col(f"w{i}").bitwiseAND(w) == w
-        possible = hit if possible is None else possible & hit
-    return met.filter(possible).select("canonical").join(listed, "canonical", "left_semi")
+        out = hit if out is None else out & hit
+    return F.coalesce(out, F.lit(False))
+
+
+def with_possible(rows: DataFrame, listed: DataFrame, folder: str, most_bytes: int = MOST_BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(stored rows with `possible`, their distinct urls with `n` rows and `maybe`, whether they pass the filter); rows: canonical (null: not asked) and others."""
+    blocks = max(1, -(-listed.count() * BITS_PER_URL // BLOCK_BITS))
+    table, number = bloom(listed, blocks), block_of(F.col("canonical"), blocks)
+    words, counted = [f"w{i}" for i in range(BLOCK_BITS // 64)], F.count("*").alias("n")
+    if blocks * BYTES_PER_BLOCK <= most_bytes:
+        met = rows.withColumn("block", number).join(F.broadcast(table), "block", "left")
+        rows = stored(met.withColumn("possible", passes()).drop("block", *words), folder, "rows")
+        return rows, stored(rows.filter("possible").groupBy("canonical").agg(counted).withColumn("maybe", F.lit(True)), folder, "asked")
+    rows = stored(rows.withColumn("possible", F.col("canonical").isNotNull()), folder, "rows")
+    asked = rows.filter("possible").groupBy("canonical").agg(counted).withColumn("block", number)
+    return rows, stored(asked.join(table, "block", "left").select("canonical", "n", passes().alias("maybe")), folder, "asked")
+
+
+def with_listed(rows: DataFrame, listed: DataFrame, folder: str, most_bytes: int = MOST_BLOCK_BYTES, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+    """rows with `listed`: whether their canonical url (null: no) is in listed, distinct and stored, of one column `canonical`."""
+    rows, asked = with_possible(rows, listed, folder, most_bytes)
+    hits = stored(asked.filter("maybe").select("canonical").join(listed, "canonical", "left_semi"), folder, "hits").withColumn("listed", F.lit(True))
+    total = rows.filter("possible").count()
+    often = asked.filter(F.col("n") * most_frequent > total).join(hits, "canonical", "left").select("canonical", F.coalesce("listed", F.lit(False)).alias("often"))
+    out, met = rows.filter("not possible").withColumn("listed", F.lit(False)), rows.filter("possible")
+    if (often.agg(F.sum(F.octet_length("canonical") + 16)).first()[0] or 0) <= most_bytes:  # else urls of many kilobytes: Spark splits what is skewed
+        met = met.join(F.broadcast(often), "canonical", "left")
+        out = out.unionByName(met.filter("often is not null").withColumn("listed", F.col("often")).drop("often"))
+        met = met.filter("often is null").drop("often")
+    rest = met.join(hits, "canonical", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    return out.unionByName(rest).drop("possible")
 
 
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
@@ -107,10 +137,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     block_list = stored(listed.select(canonical(F.col("url").cast("string")).alias("canonical")).filter("canonical is not null").distinct(), folder, "listed")
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
-    rows = stored(rows.select("*", rule_verdict(F.col("host"), F.col("path"), rules).alias("ruled")), folder, "rows")
-    open_rows = rows.filter("ruled is null and canonical is not null")  # only these are joined
-    hits = listed_urls(open_rows, block_list).withColumn("listed", F.lit(True))
-    out = rows.filter("ruled is not null or canonical is null").withColumn("listed", F.lit(False)).unionByName(open_rows.join(hits, "canonical", "left"))
+    rows = rows.withColumn("ruled", rule_verdict(F.col("host"), F.col("path"), rules))
+    rows = rows.withColumn("canonical", F.when(F.col("ruled").isNull(), F.col("canonical")))  # what a rule settles is not asked
+    out = with_listed(rows, block_list, folder)
     verdict = F.when(F.col("ruled").isNotNull(), F.col("ruled.verdict")).when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), verdict.alias("verdict"))
 

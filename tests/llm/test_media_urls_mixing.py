@@ -67,10 +67,25 @@ def test_urls(spark):
     assert url_filter.judge(pages, url_filter.repeated_urls(pages.limit(0))).filter("rule is null and verdict = 'block'").count() == 0
 
 
-def test_bloom_has_no_false_negatives(spark):
-    listed = spark.range(3000).selectExpr("concat('u', id) canonical")
-    asked = spark.range(6000).selectExpr("concat('u', id) canonical")
-    assert url_filter.listed_urls(asked, listed).count() == 3000
+@pytest.mark.parametrize("most_bytes", [url_filter.MOST_BLOCK_BYTES, 0])
+def test_bloom(spark, tmp_path, most_bytes):
+    """No false negatives, few false positives, whether blocks are broadcast or joined; frequent urls keep their rows."""
+    listed = url_filter.stored(spark.range(3000).selectExpr("concat('u', id) canonical"), f"file://{tmp_path}", "list")
+    rows = spark.range(40000).selectExpr("id row", "case when id % 3 = 0 then 'u7' when id % 7 = 0 then 'v7' when id % 11 > 0 then concat('u', id) end canonical")
+    _, asked = url_filter.with_possible(rows, listed, f"file://{tmp_path}/a", most_bytes)
+    held = {r.canonical for r in asked.filter("maybe").collect()}
+    want = {r.canonical for r in rows.filter("canonical like 'u%'").collect() if int(r.canonical[1:]) < 3000}
+    assert want <= held and len(held - want) < 0.005 * 20000
+    for most_frequent in (10_000, 4):
+        got = url_filter.with_listed(rows, listed, f"file://{tmp_path}/b{most_frequent}", most_bytes, most_frequent).collect()
+        assert len(got) == 40000 and len({r.row for r in got}) == 40000 and all(r.listed == (r.canonical in want) for r in got)
+
+
+def test_long_url(spark):
+    long = "http://h.net/" + "a/" * 500_000
+    pages = spark.createDataFrame([(1, long), (2, long), (3, long + "b")], "page_id long, url string")
+    got = {r.page_id: (len(r.path), r.verdict) for r in url_filter.judge(pages, url_filter.repeated_urls(pages)).collect()}
+    assert got == {1: (1_000_001, "block"), 2: (1_000_001, "block"), 3: (1_000_002, "allow")}
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 64, 1000, 4097])
