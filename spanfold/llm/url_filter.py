@@ -72,32 +72,27 @@ def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks))
 
 
-def words_of(key: Column) -> list[Column]:
-    """The eight longs whose bits a key sets in its block: PROBES positions, nine bits each, half of them from each of two hashes."""
-    halves = [F.xxhash64(F.lit(name), key) for name in ("bits", "more bits")]
-    probes = [F.shiftright(h, 9 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)) for h in halves for i in range(PROBES // 2)]
-    out = []
-    for w in range(BLOCK_BITS // 64):
-        bits = [F.when(F.shiftright(p, 6) == w, F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long")) for p in probes]
-        word = bits[0]
-        for b in bits[1:]:
-            word = word.bitwiseOR(b)
-        out.append(word)
-    return out
+def with_probes(rows: DataFrame) -> DataFrame:
+    """rows with `probes`: PROBES bit positions of the canonical url in its block, nine bits each, half of them from each of two hashes."""
+    halves = [F.xxhash64(F.lit(name), F.col("canonical")) for name in ("bits", "more bits")]
+    return rows.withColumn("probes", F.array(*[F.shiftright(h, 9 * i).bitwiseAND(F.lit(BLOCK_BITS - 1)).cast("int") for h in halves for i in range(PROBES // 2)]))
 
 
 def bloom(listed: DataFrame, blocks: int) -> DataFrame:
-    """(block, w0..w7): the blocks that any listed url sets bits in; listed: (canonical)."""
-    rows = listed.select(block_of(F.col("canonical"), blocks).alias("block"), *[w.alias(f"w{i}") for i, w in enumerate(words_of(F.col("canonical")))])
-    return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(BLOCK_BITS // 64)])
+    """(block, words): the blocks that any listed url sets bits in, as arrays of longs; listed: (canonical)."""
+    bits = with_probes(listed).select(block_of(F.col("canonical"), blocks).alias("block"), F.explode("probes").alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)))
+    words = [F.coalesce(F.bit_or(F.when(F.shiftright("p", 6) == w, bit)), F.lit(0).cast("long")) for w in range(BLOCK_BITS // 64)]
+    return bits.groupBy("block").agg(F.array(*words).alias("words"))
 
 
 def passes() -> Column:
-    """Whether all bits of a row's canonical url are set in the block beside it (w0..w7); false where there is none."""
-    out = None
-    for i, w in enumerate(words_of(F.col("canonical"))):
-        hit = F.col(f"w{i}").bitwiseAND(w) == w
-        out = hit if out is None else out & hit
+    """Whether all bits at a row's `probes` are set in the block beside it (`words`); false where there is none."""
+    out = F.col("words").isNotNull() & F.col("canonical").isNotNull()
+    for i in range(PROBES):
+        p = F.get("probes", F.lit(i))
+        word = F.get("words", F.shiftright(p, 6))
+        out = out & (F.call_function("shiftrightunsigned", word, p.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("long")) == 1)
     return F.coalesce(out, F.lit(False))
 
 
@@ -105,13 +100,13 @@ def with_possible(rows: DataFrame, listed: DataFrame, folder: str, most_bytes: i
     """(stored rows with `possible`, their distinct urls with `n` rows and `maybe`, whether they pass the filter); rows: canonical (null: not asked) and others."""
     blocks = max(1, -(-listed.count() * BITS_PER_URL // BLOCK_BITS))
     table, number = bloom(listed, blocks), block_of(F.col("canonical"), blocks)
-    words, counted = [f"w{i}" for i in range(BLOCK_BITS // 64)], F.count("*").alias("n")
+    counted = F.count("*").alias("n")
     if blocks * BYTES_PER_BLOCK <= most_bytes:
-        met = rows.withColumn("block", number).join(F.broadcast(table), "block", "left")
-        rows = stored(met.withColumn("possible", passes()).drop("block", *words), folder, "rows")
+        met = with_probes(rows).withColumn("block", number).join(F.broadcast(table), "block", "left")
+        rows = stored(met.withColumn("possible", passes()).drop("block", "probes", "words"), folder, "rows")
         return rows, stored(rows.filter("possible").groupBy("canonical").agg(counted).withColumn("maybe", F.lit(True)), folder, "asked")
     rows = stored(rows.withColumn("possible", F.col("canonical").isNotNull()), folder, "rows")
-    asked = rows.filter("possible").groupBy("canonical").agg(counted).withColumn("block", number)
+    asked = with_probes(rows.filter("possible").groupBy("canonical").agg(counted)).withColumn("block", number)
     return rows, stored(asked.join(table, "block", "left").select("canonical", "n", passes().alias("maybe")), folder, "asked")
 
 
