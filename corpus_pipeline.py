@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next
 one's docs. All but the last return the columns of documents.
 
-Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, not those of the thin
-SimHash operator, whose contract sets three-word shingles and three bits.
+Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash fingerprints of
+these shingles and covering masks draw the candidates, at nine bits; the thin SimHash operator's contract sets three-word
+shingles and three bits.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate component."""
+    """Keeps one document of each near-duplicate component: SimHash candidates, then an exact check, also of what their radius leaves apart."""
     return near_copies.one_of_each(docs)
 
 

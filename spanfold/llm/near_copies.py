@@ -1,15 +1,19 @@
 """Near copies of the corpus pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts that are equal word for word (A-Z in lower case) collapse to one row first. Each other text gets BANDS keys, a key
-from ROWS minima of its shingles' hashes; two texts of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS,
-so a pair at 0.8 is missed once in 20 million. Groups with the same members under several keys count once. Within a
-group the exact similarity decides; groups yield the edges of a spanning forest of their links, never all pairs.
+Texts that are equal word for word (A-Z in lower case) collapse to one row first. Then operator 3's method draws the
+candidates: 64-bit SimHash fingerprints of the shingles, covering masks over either half of the bits that miss no pair
+of RADIUS differing bits, spanning edges, components. The exact similarity decides within each component of fingerprints.
+
+Fingerprints of texts at similarity 0.8 differ in 10 bits on average, in over 20 at times, which no covering family of
+practical size reaches, so a check of what they left apart follows: each text gets BANDS keys, a key from ROWS minima of its
+shingles' hashes; two texts of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, so a pair at 0.8 is
+missed once in 20 million. Groups whose texts SimHash has all linked are done, those with the same members under several
+keys count once. Again the exact similarity decides; groups yield the edges of a spanning forest of their links, never all pairs.
 
 A group of over SPLIT_ROWS texts or SPLIT_SHINGLES shingles is dealt in blocks, so a task holds one block at most. Its
 blocks are held against the group's first text, what that leaves against HEADS of the texts linked to it, and what is
 still left against all blocks, block by block. What is settled belongs to one component, so no link is lost. A large
 group costs its size times what it leaves: little where texts are near copies, up to the square where they only share a key.
-64-bit SimHash distances of such pairs go up to 11 bits and more, which no covering family of practical size reaches.
 
 Defined cases: a text of fewer than five words is one shingle; texts without words (null, empty, white space) are equal
 to each other; null ids and repeated rows are kept as rows; an empty table gives an empty result.
@@ -23,10 +27,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import arrow_schema, chosen, free_name, gathered, lean, shared_dir, small_batches, stored, texts_of
 from .simhash import components
 
 SHINGLE, BANDS, ROWS, SEED, STEP = 5, 32, 4, 42, 4096
+#: Differing bits of linked fingerprints; fingerprints of one key that a task holds at most (they are bare numbers).
+RADIUS, SPLIT_PRINTS = 9, 1 << 15
 SPLIT_ROWS, SPLIT_SHINGLES, HEADS = 2048, 1 << 22, 64
 _RANDOM = np.random.default_rng(SEED)
 ADD = _RANDOM.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
@@ -59,8 +66,8 @@ def band_keys(found: np.ndarray) -> list[int]:
 
 
 def prints(rows: DataFrame) -> DataFrame:
-    """number, t1 and t2 (the words' 128-bit hash), number of shingles and band keys of each row of (number, text)."""
-    ddl = "number long, t1 long, t2 long, size long, keys array<long>"
+    """number, t1 and t2 (the words' 128-bit hash), number of shingles, fingerprint and band keys of each row of (number, text)."""
+    ddl = "number long, t1 long, t2 long, size long, fp long, keys array<long>"
     schema = arrow_schema(ddl)
 
     def run(batches):
@@ -68,7 +75,8 @@ def prints(rows: DataFrame) -> DataFrame:
             words = [words_of(t) for t in texts_of(batch)]
             whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), np.int64).reshape(-1, 2)
             found = [shingles(w) for w in words]
-            columns = [batch.column(0), whole[:, 0], whole[:, 1], [len(x) for x in found], [band_keys(x) for x in found]]
+            fps = np.array([simhash.majority(x) for x in found], np.uint64).view(np.int64)
+            columns = [batch.column(0), whole[:, 0], whole[:, 1], [len(x) for x in found], fps, [band_keys(x) for x in found]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return rows.mapInArrow(lean(run), ddl)
@@ -210,23 +218,48 @@ def links_across(members: DataFrame, texts: DataFrame, folder: str, split_rows:
     return edges[0].unionByName(edges[1]).unionByName(across(front, others).select("a", "b"))
 
 
+def fingerprint_groups(texts: DataFrame, folder: str, blocks: Column) -> DataFrame:
+    """(key, number, size, blocks) of the texts (number, size, fp) whose fingerprints hang together over links of RADIUS bits."""
+    fps = stored(texts.select("fp").distinct(), folder, "fps")
+    roots = components(simhash.links(fps, folder, RADIUS, SPLIT_PRINTS, simhash.halved_masks(RADIUS)), folder)
+    named = texts.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("key"), "number", "size")
+    groups = named.groupBy("key").agg(F.count("*").alias("n"), blocks.alias("blocks")).filter("n > 1")
+    return named.join(groups.select("key", "blocks"), "key")
+
+
+def band_groups(texts: DataFrame, settled: DataFrame, blocks: Column) -> DataFrame:
+    """(key, number, size, blocks) of the texts (number, size, keys) that share a key, unless all of a key are settled (node, root) in one component."""
+    owned = texts.join(settled, F.col("number") == F.col("node"), "left")
+    spread = owned.select("number", "size", F.coalesce("root", "number").alias("own"), F.explode("keys").alias("key"))
+    same = ["n", "x", "y"]  # of groups with the same members
+    found = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("number")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "number")).alias("y"), blocks.alias("blocks")]
+    groups = spread.groupBy("key").agg(*found, F.min("own").alias("low"), F.max("own").alias("high")).filter("low < high")
+    groups = groups.groupBy(*same).agg(F.min("key").alias("key"), F.max("blocks").alias("blocks")).select("key", "blocks")
+    return spread.select("key", "number", "size").join(groups, "key")
+
+
+def compared(members: DataFrame, texts: DataFrame, folder: str, split_rows: int, split_shingles: int) -> DataFrame:
+    """Distinct edges (a, b) by the exact similarity within groups; members: key, number, size, blocks."""
+    members = stored(members, folder, "members")
+    texts = stored(chosen(texts, "number", members.select("number").distinct(), folder, "grouped"), folder, "grouped")  # the others need no comparison
+    near, large = links(members.filter("blocks = 1").join(texts, "number")), members.filter("blocks > 1")
+    if not large.isEmpty():
+        near = near.unionByName(links_across(large, texts, folder, split_rows, split_shingles))
+    return stored(near.distinct(), folder, "edges")
+
+
 def one_of_each(docs: DataFrame, split_rows: int = SPLIT_ROWS, split_shingles: int = SPLIT_SHINGLES) -> DataFrame:
     """The rows of docs, with their own columns, less all but one of each component: the smallest doc_id stays, null last."""
     folder, number = shared_dir(docs.sparkSession, "near"), free_name(docs, "_row_number")
     rows = stored(docs.withColumn(number, F.monotonically_increasing_id()), folder, "rows")
     texts = rows.select(F.col(number).alias("number"), F.col("text").cast("string").alias("text"))
-    found = stored(prints(texts), folder, "prints")
+    found, limits = stored(prints(texts), folder, "prints"), (split_rows, split_shingles)
     classes = stored(found.groupBy("t1", "t2").agg(F.min("number").alias("class")), folder, "classes")
-    spread = found.join(classes.select(F.col("class").alias("number")), "number", "left_semi").select("number", "size", F.explode("keys").alias("key"))
-    spread = stored(spread, folder, "spread")
-    same = ["n", "x", "y"]  # of groups with the same members
-    groups = spread.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("number")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "number")).alias("y"), blocks_of(split_rows, split_shingles).alias("blocks")).filter("n > 1")
-    members = stored(spread.join(groups.groupBy(*same).agg(F.min("key").alias("key"), F.max("blocks").alias("blocks")).select("key", "blocks"), "key"), folder, "members")
-    texts = stored(chosen(texts, "number", members.select("number").distinct(), folder, "grouped"), folder, "grouped")  # the others need no comparison
-    near, large = links(members.filter("blocks = 1").join(texts, "number")), members.filter("blocks > 1")
-    if not large.isEmpty():
-        near = near.unionByName(links_across(large, texts, folder, split_rows, split_shingles))
-    near = stored(near.distinct(), folder, "edges")
+    distinct = found.join(classes.select(F.col("class").alias("number")), "number", "left_semi").filter("size > 0")
+    distinct = stored(distinct.select("number", "size", "fp", "keys"), folder, "distinct")
+    near = compared(fingerprint_groups(distinct, f"{folder}/simhash", blocks_of(*limits)), texts, f"{folder}/linked", *limits)
+    rest = band_groups(distinct, components(near, f"{folder}/settled"), blocks_of(*limits))
+    near = near.unionByName(compared(rest, texts, f"{folder}/rest", *limits))
     roots = components(near, folder)
     named = found.select("number", "t1", "t2").join(classes, ["t1", "t2"]).join(roots, F.col("class") == F.col("node"), "left")
     named = named.select(F.col("number").alias(number), F.coalesce("root", "class").alias("component"))

@@ -43,12 +43,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(1, len(words) - shingle + 1)
     hash_of = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())
-    hashes = np.array([hash_of(joined[a:b], SEED) for a, b in spans], np.uint64)
+    return majority(np.array([hash_of(joined[a:b], SEED) for a, b in spans], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes set, as an unsigned number."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += np.add.reduce(bits, axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -70,6 +74,12 @@ def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
     return [sum(1 << i for i in range(bits) if bin(v & (i % size + 1)).count("1") % 2) for v in range(1, size + 1)]
 
 
+def halved_masks(radius: int) -> list[int]:
+    """Covering masks of either half of the bits: whatever `radius` positions differ, one half has radius // 2 of them or fewer."""
+    half = covering_masks(radius // 2, BITS // 2)
+    return [m << shift for shift in (0, BITS // 2) for m in half]
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -138,10 +148,10 @@ def differing_bits(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame, folder: str, radius: int = RADIUS, split_at: int = SPLIT_AT) -> DataFrame:
-    """Distinct edges (a, b) that connect just what is linked; fps: distinct fingerprints."""
-    masks, parts, level = covering_masks(radius), [], 0
-    spread = dealt(fps, masks)
+def links(fps: DataFrame, folder: str, radius: int = RADIUS, split_at: int = SPLIT_AT, masks: list[int] | None = None) -> DataFrame:
+    """Distinct edges (a, b) that connect just what is linked; fps: distinct fingerprints. The masks must cover the radius."""
+    parts, level = [], 0
+    spread = dealt(fps, masks or covering_masks(radius))
     while True:
         groups = stored(spread.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1"), folder, f"groups{level}")
         parts.append(groups.filter("n = 2").filter(differing_bits(F.col("low"), F.col("high")) <= radius).select(F.col("low").alias("a"), F.col("high").alias("b")))
