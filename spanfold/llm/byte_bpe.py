@@ -3,8 +3,9 @@
 A chunk of documents (CHUNK_BYTES of text, or one longer document) is cut by the pattern; its distinct words that are no
 token as a whole are asked for, in buckets by their hash, and the places of all its words wait in a file of the shared
 folder. A bucket folds each distinct word of the whole table once, a word a row: every step merges the adjacent pair of
-lowest rank, the leftmost of equals. Ranks come from a literal map of pairs of ids (every way to cut a token into two
-tokens), laid out as a hash map in two array literals, as Spark searches its own maps from their front. The buckets answer
+lowest rank, the leftmost of equals. Ranks come from a map of pairs of ids (every way to cut a token into two tokens), laid
+out as a hash map in two arrays, as Spark searches its own maps from their front. The arrays are one row of a file that a
+scalar subquery reads: as literals they would be spelt out in every text of the plan that the driver keeps. The buckets answer
 the chunks, which gather their documents' ids. Decoding concatenates the binary pieces of the ids.
 
 What is asked is stored with the names of the waiting files before it is answered, so a task that runs again cannot mix two
@@ -21,7 +22,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import random
 import uuid
 import zlib
@@ -31,6 +31,7 @@ from itertools import islice
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -241,9 +242,13 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     return entries, moves
 
 
-def literal(numbers: list[int], kind: str) -> Column:
-    """An array literal; the optimizer folds it."""
-    return F.from_json(F.lit(json.dumps(numbers, separators=(",", ":"))), f"array<{kind}>")
+def stored_map(spark: SparkSession, ranks: dict[bytes, int], folder: str) -> Column:
+    """A struct of the rank map's arrays and the ids of single bytes."""
+    entries, moves = rank_map(ranks)
+    row = pa.table({"entries": [entries], "moves": [moves], "singles": pa.array([[ranks[bytes([b])] for b in range(256)]], pa.list_(pa.int32()))})
+    pq.write_table(row, out := pa.BufferOutputStream())
+    write_file(f"{folder}/ranks/map.parquet", [out.getvalue()])
+    return spark.read.parquet(f"{folder}/ranks").select(F.struct("entries", "moves", "singles")).scalar()
 
 
 class RankMap:
@@ -295,12 +300,12 @@ def fold_word(table: RankMap, singles: Column, word: Column) -> Column:
     return F.transform(folded, lambda x: id_in(x).cast("int"))
 
 
-def folded_words(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+def folded_words(rows: DataFrame, ranks: dict[bytes, int], folder: str) -> DataFrame:
     """Rows of CUT with `ids` of the words in the words' stead."""
-    entries, moves = rank_map(ranks)
-    width, singles = max(ranks.values()) + 1, [ranks[bytes([b])] for b in range(256)]
-    ids = bound(literal(entries, "bigint"), lambda e: bound(literal(moves, "bigint"), lambda m: bound(literal(singles, "int"), lambda own: fold_word(RankMap(e, m, width), own, F.col("word")))))
-    return rows.select("generation", F.when(F.col("known").isNotNull(), F.col("known")).when(F.col("word").isNotNull(), ids).alias("ids"), "chunk", "bucket", "places")
+    width = max(ranks.values()) + 1
+    opened = lambda t: bound(t["entries"], lambda e: bound(t["moves"], lambda m: bound(t["singles"], lambda own: fold_word(RankMap(e, m, width), own, F.col("word")))))
+    ids = bound(F.col("map"), opened)  # the only use of the column, so Spark puts the subquery in its place
+    return rows.withColumn("map", stored_map(rows.sparkSession, ranks, folder)).select("generation", F.when(F.col("known").isNotNull(), F.col("known")).when(F.col("word").isNotNull(), ids).alias("ids"), "chunk", "bucket", "places")
 
 
 def answers(folded: DataFrame) -> DataFrame:
@@ -385,7 +390,7 @@ def coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, ddl: str, use,
     buckets = max(64, int(4 * (size >> 20) ** 0.5))
     asked = stored(asked_words(docs, ranks, pattern, folder, buckets, chunk_bytes), folder, "asked")
     waiting = asked.filter("bucket < 0")
-    told = answers(folded_words(distinct_words(asked, ranks, buckets, most_words), ranks))
+    told = answers(folded_words(distinct_words(asked, ranks, buckets, most_words), ranks, folder))
     return gather(waiting.unionByName(told), max(1, waiting.count()), ddl, use)
 
 

@@ -77,3 +77,10 @@ def test_very_long_words(spark):
     word, start = "".join(rng.choices(letters, k=1 << 20)).encode(), time.monotonic()
     ids = q.merged_ids(word, RANKS)
     assert b"".join(map(q.pieces(RANKS).__getitem__, ids)) == word and time.monotonic() - start < 60
+
+
+def test_plan_does_not_spell_out_the_rank_map(spark):
+    docs = spark.createDataFrame([(0, "zqxjkvbw")], "doc_id long, text string")
+    coded = q.encode(docs, RANKS, public_tokenizers.PATTERN)
+    assert len(coded._jdf.queryExecution().toString()) < 200_000
+    assert coded.first().ids == LIBRARY.encode_ordinary("zqxjkvbw")
