@@ -87,6 +87,7 @@ class Cutter:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.find = regex.compile(pattern).findall
+        self.whole_words = pattern == public_tokenizers.PATTERN  # there a space and ASCII letters are one match
         self.parts = Numbers()  # a part that follows a space is a string; others, in a tuple of one, stand for themselves
         self.places = Places(ranks)
         self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -106,13 +107,19 @@ class Cutter:
     def cut(self, texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """(new words to fold, places of all texts' words, where each text's begin and the last end)."""
         numbers = [self.numbers_of(t) for t in texts]
-        found = []
+        flat, lengths, place = [], [], self.places.__getitem__
         for part in islice(self.parts, len(self.starts), None):
-            found.append(list(map(self.places.__getitem__, self.find(" " + part if isinstance(part, str) else part[0]))))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
+            if self.whole_words and isinstance(part, str) and part.isascii() and part.isalpha():
+                flat.append(place(" " + part))
+                lengths.append(1)
+            else:
+                found = self.find(" " + part if isinstance(part, str) else part[0])
+                flat.extend(map(place, found))
+                lengths.append(len(found))
+        lengths = np.array(lengths, np.int64)
         self.starts = np.append(self.starts, len(self.flat) + lengths.cumsum() - lengths)
         self.lengths = np.append(self.lengths, lengths)
-        self.flat = np.append(self.flat, np.fromiter((p for x in found for p in x), np.int32, int(lengths.sum())))
+        self.flat = np.append(self.flat, np.array(flat, np.int32))
         at = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         n = self.lengths[at]
         ends = np.append(0, n.cumsum())
