@@ -10,7 +10,7 @@ Equal fingerprints collapse to one row before any table is built, so exact copie
 group with more than SPLIT_AT fingerprints is dealt again by a quarter of its free bits, four ways (three
 differing bits leave one quarter alone), until it is small; fingerprints in a group are distinct, so f free
 bits bound a group at 2^f rows. Groups yield the edges of a spanning forest of their links, never all pairs;
-components come from minimum labels with pointer jumping, each round stored in the shared folder.
+components come from edges that move to ever smaller nodes, each round stored in the shared folder.
 
 Defined cases: a text without words (null, empty, white space) has fingerprint zero, linked like any other;
 null ids are kept as rows and count as the largest id, so a component gets the smallest known one; repeated
@@ -29,6 +29,8 @@ from .common import arrow_schema, free_name, lean, read_table, shared_dir, small
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SPLIT_AT = 2048
+#: Fingerprints of a group that is searched for links together with others; rows that a task gathers before it looks.
+WIDE, HELD = 256, 1 << 16
 MAX_ROUNDS = 60
 
 
@@ -112,59 +114,94 @@ def spanning_edges(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int
     return edges
 
 
+def linked_groups(fps: np.ndarray, group: np.ndarray, starts: np.ndarray, radius: int = RADIUS) -> list[int]:
+    """The groups with any link; group: ascending number of each fingerprint's group. Large ones count as linked unseen."""
+    sizes = np.diff(starts)
+    found = sizes > WIDE
+    at, step = np.flatnonzero((sizes[group] > 1) & ~found[group]), 0
+    while len(at):  # neighbours first, then those two apart, ...; groups that are found need no further look
+        step += 1
+        at = at[at + step < len(fps)]
+        at = at[group[at + step] == group[at]]
+        found[group[at[np.bitwise_count(fps[at] ^ fps[at + step]) <= radius]]] = True
+        at = at[~found[group[at]]]
+    return np.flatnonzero(found).tolist()
+
+
 def edges_within(members: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Spanning edges of each (mask, key) group; a group has at most SPLIT_AT rows, more than 1."""
+    """Spanning edges of each group of equal mask and masked fingerprint; members: mask, fp, at most `split_at` rows a group.
+
+    Each row is shuffled once, alone in its group or not. Most groups of many fingerprints meet by chance alone, so a
+    look at whole batches picks the groups with links.
+    """
     ddl = "a long, b long"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        rest: tuple | None = None
-
-        def solve(mask, key, fp, last):
-            cuts = np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1
-            bounds = [0, *cuts.tolist(), len(fp)]
-            stop = len(bounds) - 1 - (not last)
-            found = [e for i in range(stop) for e in spanning_edges(fp[bounds[i] : bounds[i + 1]], radius)]
-            at = bounds[stop]
+        held: list[list[np.ndarray]] = []
+
+        def solve(last):
+            mask, fp = (np.concatenate(x).view(np.uint64) for x in zip(*held))
+            key = mask & fp
+            starts = np.concatenate([[0], np.flatnonzero((np.diff(mask) != 0) | (np.diff(key) != 0)) + 1, [len(fp)]])
+            stop = len(starts) - 1 if last else len(starts) - 2  # the last group may go on
+            held[:] = [[mask[starts[stop] :].view(np.int64), fp[starts[stop] :].view(np.int64)]]
+            starts, fp = starts[: stop + 1], fp[: starts[stop]]
+            group = np.repeat(np.arange(stop), np.diff(starts))
+            found = [e for g in linked_groups(fp, group, starts, radius) for e in spanning_edges(fp[starts[g] : starts[g + 1]], radius)]
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            return pairs, (mask[at:], key[at:], fp[at:])
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if rest is not None:
-                part = [np.concatenate(x) for x in zip(rest, part)]
-            pairs, rest = solve(*part, last=False)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
-        if rest is not None and len(rest[0]):
-            pairs, _ = solve(*rest, last=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+            if batch.num_rows:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                if sum(len(x[0]) for x in held[1:]) >= HELD:
+                    yield solve(last=False)
+        if held:
+            yield solve(last=True)
 
-    return members.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(lean(run), ddl)
+    key = F.col("fp").bitwiseAND(F.col("mask"))
+    return members.select("mask", "fp").repartition("mask", key).sortWithinPartitions("mask", key).mapInArrow(lean(run), ddl)
 
 
 def differing_bits(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def hot_groups(spread: DataFrame, rows: int, split_at: int, folder: str) -> DataFrame | None:
+    """(mask, key) of the groups of over split_at rows, or None; rows: how many spread has.
+
+    Rows are counted by a hash of their group first, which sends no row anywhere; only what falls into a full bucket is
+    counted by its group. A group that is too large fills its bucket, so none is missed.
+    """
+    if rows <= split_at:
+        return None
+    bucket = F.pmod(F.xxhash64("mask", "key"), F.lit(1 << max(12, (8 * rows // split_at).bit_length())))
+    full = stored(spread.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).filter(F.col("n") > split_at).select("bucket"), folder, "full")
+    if full.isEmpty():
+        return None
+    counted = spread.withColumn("bucket", bucket).join(full, "bucket").groupBy("mask", "key").agg(F.count("*").alias("n"))
+    hot = stored(counted.filter(F.col("n") > split_at).select("mask", "key"), folder, "hot")
+    return None if hot.isEmpty() else hot
+
+
 def links(fps: DataFrame, folder: str, radius: int = RADIUS, split_at: int = SPLIT_AT, masks: list[int] | None = None) -> DataFrame:
     """Distinct edges (a, b) that connect just what is linked; fps: distinct fingerprints. The masks must cover the radius."""
+    masks = masks or covering_masks(radius)
     parts, level = [], 0
-    spread = dealt(fps, masks or covering_masks(radius))
+    spread, n = dealt(fps, masks), fps.count()
+    rows = 0 if n <= split_at else n * len(masks)  # no group has more rows than there are fingerprints
     while True:
-        groups = stored(spread.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).filter("n > 1"), folder, f"groups{level}")
-        parts.append(groups.filter("n = 2").filter(differing_bits(F.col("low"), F.col("high")) <= radius).select(F.col("low").alias("a"), F.col("high").alias("b")))
-        middle = groups.filter((F.col("n") > 2) & (F.col("n") <= split_at)).select("mask", "key")
-        parts.append(edges_within(spread.join(middle, ["mask", "key"]), radius))
-        hot = groups.filter(F.col("n") > split_at).select("mask", "key")
-        at = {r["mask"]: quarters(r["mask"] & (2**64 - 1), radius) for r in hot.select("mask").distinct().collect()}  # as many as there are masks
-        if not at:
+        hot = hot_groups(spread, rows, split_at, f"{folder}/level{level}")
+        parts.append(edges_within(spread if hot is None else spread.join(hot, ["mask", "key"], "left_anti"), radius))
+        if hot is None:
             break
+        at = {r["mask"]: quarters(r["mask"] & (2**64 - 1), radius) for r in hot.select("mask").distinct().collect()}  # as many as there are masks
         finer = F.create_map(*[x for m, q in at.items() for x in (F.lit(m), F.array(*[F.lit(signed(v)) for v in q]))])
         inside = spread.join(hot, ["mask", "key"]).select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
         level += 1
         spread = stored(inside.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp").distinct(), folder, f"dealt{level}")
+        rows = spread.count()
     edges = parts[0]
     for p in parts[1:]:
         edges = edges.unionByName(p)
@@ -172,17 +209,24 @@ def links(fps: DataFrame, folder: str, radius: int = RADIUS, split_at: int = SPL
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): minimum labels spread over edges, then labels jump to their label's label."""
-    both = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")), folder, "both")
-    labels = stored(both.groupBy("node").agg(F.min(F.least("node", "other")).alias("root")), folder, "labels0")
+    """(node, root) of every node of the edges (a, b), a and b different; root: the smallest node of its component.
+
+    Rounds of two moves: a node's larger neighbours go over to its smallest neighbour (or to itself, if that is
+    smaller), then its smaller ones and the node itself do. Each move leaves what hangs together together, and edges that say the same
+    become one, so the rows of a round fall towards one a node. It ends when every component is a star around its smallest node.
+    """
+    edges = stored(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).filter("low < high").distinct(), folder, "edges0")
     for step in range(1, MAX_ROUNDS):
-        near = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("root").alias("before"), F.least("root", "near").alias("root"))
-        up = lower.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        after = stored(lower.join(up, "root", "left").select("node", "before", F.coalesce(F.least("root", "top"), "root").alias("root")), folder, f"labels{step}")
-        labels = after.select("node", "root")
-        if not after.filter("before <> root").limit(1).count():
-            return labels
+        ends = edges.select(F.col("low").alias("node"), F.col("low").alias("root"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+        ends = ends.unionAll(edges.select("high", "low", F.lit(1), F.lit(0)))
+        nodes = stored(ends.groupBy("node").agg(F.min("root").alias("root"), F.sum("down").alias("down"), F.sum("up").alias("up")), folder, f"nodes{step}")
+        if nodes.filter("down > 1 or (down > 0 and up > 0)").isEmpty():
+            return nodes.select("node", "root")
+        over = edges.join(nodes.select(F.col("node").alias("low"), "root"), "low")
+        edges = stored(over.select(F.col("root").alias("low"), "high").distinct(), folder, f"larger{step}")
+        least = edges.groupBy("high").agg(F.min("low").alias("root"))
+        over = edges.filter("low < high").join(least, "high").select(F.col("root").alias("low"), F.explode(F.array("low", "high")).alias("high"))
+        edges = stored(over.filter("low < high").distinct(), folder, f"smaller{step}")
     raise RuntimeError("labels did not settle")
 
 
