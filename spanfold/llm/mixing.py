@@ -179,8 +179,12 @@ def slots(spark: SparkSession, plan: Plan, seed: int = SEED) -> DataFrame:
 
 
 def mixed_blocks(rows: DataFrame, plan: Plan, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """The mix: (shard, source_no, slot, pass, block, row, at, words), one row for each document part in each slot."""
-    return slots(rows.sparkSession, plan, seed).join(segments(rows, plan, block), ["source_no", "block"])
+    """The mix: (shard, source_no, slot, pass, block, row, at, words), one row for each document part in each slot.
+
+    Spark takes the slots to be as few bytes as the drawn counts they come from, and would send them all to the driver to
+    broadcast them; the hint has them sorted and merged, whatever spark.sql.autoBroadcastJoinThreshold is.
+    """
+    return slots(rows.sparkSession, plan, seed).hint("merge").join(segments(rows, plan, block), ["source_no", "block"])
 
 
 def mix_report(docs: DataFrame) -> DataFrame:

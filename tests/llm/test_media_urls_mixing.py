@@ -124,3 +124,22 @@ def test_mix_edges(spark):
     out = mixing.mix_report(docs).collect()
     assert len(out) == 6 and {(r.doc_id, r.size) for r in out} == {(1, 2), (None, 1), (4, 0), (5, 0), (6, 5000)}
     assert mixing.mix_report(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_slots_are_not_broadcast(spark):
+    """A few drawn counts make megabytes of slots: they are merged with the blocks, not sent to the driver to broadcast them."""
+    docs = spark.range(0, 400, 1, 4).selectExpr("id as doc_id", "repeat('w ', 2000 + cast(id as int)) as text", "concat('s', id % 3) as source")
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        rows = mixing.sized(docs, mixing.shared_dir(spark, "slots"))
+        plan = mixing.plan_of(rows)
+        mix = mixing.mixed_blocks(rows, plan)
+        held = mix.agg({"words": "sum"})
+        words = held.collect()[0][0]  # of this very frame, whose plan is looked at
+        ran = held._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert abs(words - sum(plan.targets)) <= 0.01 * words and sum(plan.slots) > 15_000
+    joined = [line.split("+- ")[-1] for line in ran.split("\n") if "Join [source_no" in line and "block#" in line]
+    assert joined and not any("Broadcast" in line for line in joined)
