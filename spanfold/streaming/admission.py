@@ -6,16 +6,19 @@ What is marked the same adds up in the windowed aggregation that follows, which
 histogram bucket, and one sum and sketch for each overflow bucket. A timer forgets a harvest's keys when it is over.
 
 The keys of a combined key are admitted by one task, as their order decides; partitions divide a large tenant. That task holds
-the rows of a micro-batch of its key, so a trigger's size (maxFilesPerTrigger and the like) bounds its memory.
+each key of a micro-batch once, as ids, and a frame of rows; the rows wait in a temporary file until all keys have been seen. So
+a trigger's keys bound its memory, and not its rows. Rows that no limit can turn away do not pass the processor.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,6 +29,9 @@ from ..operators.rows import CODES, PRESENCE, columns, with_ids
 #: Ids that admission looks at; the rest of a row passes by as text.
 IDS = ("sid1", "sid2", "gid1", "gid2", "cgid1", "cgid2")
 _SPAN = CODES["service_destination"]
+#: Columns that wait in a file, and how much of it stays in memory.
+WAITING = pa.schema([("clock", pa.timestamp("ns")), ("code", pa.int32()), ("over", pa.bool_()), ("named", pa.bool_()), *[(c, pa.int64()) for c in IDS[:4]], ("row", pa.large_string())])
+HELD_BYTES = 8 << 20
 
 
 class Admitted:
@@ -79,23 +85,90 @@ class Admitted:
         return IN_GROUP, blanked
 
 
-def places(rows: pd.DataFrame, admitted: Admitted) -> tuple[list[int], list[bool]]:
-    """Place of every row, and whether its span's name is blanked; lets in what fits, in order of `first`."""
-    fresh = rows[~rows["over"]]
-    services = fresh[fresh["named"]].sort_values(["first", "sid1", "sid2"]).drop_duplicates(["sid1", "sid2"])
-    for key in zip(services["sid1"].tolist(), services["sid2"].tolist()):
-        admitted.service(key)
-    groups, found = fresh[fresh["code"] != PRESENCE].sort_values(["first", "gid1", "gid2"]).drop_duplicates(["code", "gid1", "gid2"]), {}
-    for code, s1, s2, g1, g2, c1, c2 in zip(*[groups[c].tolist() for c in ("code", *IDS)]):
-        if admitted.knows((s1, s2)) and code in admitted.groups:
-            found[code, g1, g2] = admitted.group(code, (g1, g2), (c1, c2), (s1, s2))
-    where, blank = [], []
-    for code, over, named, s1, s2, g1, g2 in zip(*[rows[c].tolist() for c in ("code", "over", "named", "sid1", "sid2", "gid1", "gid2")]):
-        known = named and admitted.knows((s1, s2))
-        place, blanked = (OF_SERVICE if known else OF_ALL, False) if over else (found[code, g1, g2] if known and code in admitted.groups else (IN_GROUP if known or not named else OF_ALL, False))
-        where.append(place)
-        blank.append(blanked)
-    return where, blank
+class Firsts:
+    """Each key of the frames put in, once, by its first arrival."""
+
+    #: Rows that gather before keys are told apart anew.
+    LEAST = 1 << 16
+
+    def __init__(self, by: list[str], columns: list[str]):
+        self.by, self.columns = by, columns
+        self.parts, self.rows, self.most = [], 0, self.LEAST
+
+    def put(self, rows: pd.DataFrame) -> None:
+        own = self._told(rows[["first", *self.columns]])
+        self.parts.append(own)
+        self.rows += len(own)
+        if self.rows > self.most:
+            self.parts = [self.all()]
+            self.rows = len(self.parts[0])
+            self.most = max(self.LEAST, 2 * self.rows)
+
+    def _told(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["first", *self.by]).drop_duplicates(self.columns if len(self.columns) == 2 else ["code", *self.by])
+
+    def all(self) -> pd.DataFrame:
+        return self._told(pd.concat(self.parts, ignore_index=True)) if self.parts else pd.DataFrame(columns=["first", *self.columns], dtype="int64")
+
+    def __iter__(self) -> Iterator[tuple]:
+        """Values of `columns` of each key, in order of arrival."""
+        rows = self.all()
+        for lo in range(0, len(rows), self.LEAST):
+            yield from zip(*[rows[c].iloc[lo : lo + self.LEAST].tolist() for c in self.columns])
+
+
+class Places:
+    """What becomes of the rows of a micro-batch. All frames are seen first, then keys are let in by their arrival, then rows are placed."""
+
+    def __init__(self, admitted: Admitted):
+        self.admitted, self.found = admitted, {}
+        self.services, self.groups = Firsts(["sid1", "sid2"], ["sid1", "sid2"]), Firsts(["gid1", "gid2"], ["code", *IDS])
+
+    def see(self, rows: pd.DataFrame) -> None:
+        fresh = rows[~rows["over"]]
+        if PRESENCE not in self.admitted.free:
+            self.services.put(fresh[fresh["named"]])
+        self.groups.put(fresh[fresh["code"].isin(set(self.admitted.groups) - self.admitted.free)])
+
+    def let_in(self) -> None:
+        """Lets in what fits, in order of `first`; remembers places other than the overflow of a service."""
+        admitted = self.admitted
+        for key in self.services:
+            admitted.service(key)
+        for code, s1, s2, g1, g2, c1, c2 in self.groups:
+            if admitted.knows((s1, s2)):
+                place = admitted.group(code, (g1, g2), (c1, c2), (s1, s2))
+                if place[0] != OF_SERVICE:
+                    self.found[code, g1, g2] = place
+        self.services = self.groups = None
+
+    def of(self, rows: pd.DataFrame) -> tuple[list[int], list[bool]]:
+        """Place of every row, and whether its span's name is blanked."""
+        admitted, found, where, blank = self.admitted, self.found, [], []
+        for code, over, named, s1, s2, g1, g2 in zip(*[rows[c].tolist() for c in ("code", "over", "named", "sid1", "sid2", "gid1", "gid2")]):
+            known = named and admitted.knows((s1, s2))
+            if over:
+                place, blanked = OF_SERVICE if known else OF_ALL, False
+            elif known and code in admitted.groups and code not in admitted.free:
+                place, blanked = found.get((code, g1, g2), (OF_SERVICE, False))
+            else:
+                place, blanked = IN_GROUP if known or not named else OF_ALL, False
+            where.append(place)
+            blank.append(blanked)
+        return where, blank
+
+
+def waiting(frames: Iterable[pd.DataFrame], see, ready) -> Iterator[pd.DataFrame]:
+    """The frames again, once all were seen and ready() was called; meanwhile they are in a temporary file of the task."""
+    with tempfile.SpooledTemporaryFile(HELD_BYTES) as file:
+        with pa.ipc.new_stream(file, WAITING, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for frame in frames:
+                see(frame)
+                out.write_batch(pa.RecordBatch.from_pandas(frame, WAITING, preserve_index=False))
+        ready()
+        file.seek(0)
+        for batch in pa.ipc.open_stream(file):
+            yield batch.to_pandas()
 
 
 class Admission(StatefulProcessor):
@@ -115,16 +188,16 @@ class Admission(StatefulProcessor):
             some = True
         if not some:
             self.handle.registerTimer(int(key[0]))
-        frames = list(rows)
-        whole = pd.concat([f[["code", "over", "named", "first", *IDS]] for f in frames], ignore_index=True)
-        where, blank = places(whole, admitted)
-        for code, own, service in admitted.new:
-            self.state.updateValue((code, *own), service)
-        at = 0
-        for f in frames:
-            n = len(f)
-            yield pd.DataFrame({"clock": f["clock"], "place": where[at : at + n], "blanked": blank[at : at + n], "key1": f["gid1"].where(f["code"] != PRESENCE, f["sid1"]), "row": f["row"]})
-            at += n
+        places = Places(admitted)
+
+        def ready() -> None:
+            places.let_in()
+            for code, own, service in admitted.new:
+                self.state.updateValue((code, *own), service)
+
+        for f in waiting(rows, places.see, ready):
+            where, blank = places.of(f)
+            yield pd.DataFrame({"clock": f["clock"], "place": where, "blanked": blank, "key1": f["gid1"].where(f["code"] != PRESENCE, f["sid1"]), "row": f["row"]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
@@ -134,6 +207,14 @@ class Admission(StatefulProcessor):
         pass
 
 
+def never_turned_away(limits: Limits) -> Column:
+    """Whether no limit can turn a row away: neither its service's nor its own."""
+    limited = Admitted(limits)
+    if PRESENCE not in limited.free:
+        return F.lit(False)
+    return ~F.col("over") & ~F.col("code").isin([code for code in CODES.values() if code not in limited.free])
+
+
 def admitted_rows(rows: DataFrame, limits: Limits, distinct: Distinct) -> DataFrame:
     """Rows of the long table with clock, as they come, with `place` and `key1`, an id of the key that a row stands for.
 
@@ -141,10 +222,16 @@ def admitted_rows(rows: DataFrame, limits: Limits, distinct: Distinct) -> DataFr
     """
     kinds = columns(distinct)
     times = [c for c, k in kinds.items() if k == "timestamp"]
-    told = with_ids(rows).withColumn("named", F.col("svc_name").isNotNull())
+    free = never_turned_away(limits)
+    rest = rows if PRESENCE not in Admitted(limits).free else rows.filter(~free | F.col("clock").isNull())  # the clock keeps conditions above the watermark, which ticks must reach
+    told = with_ids(rest).withColumn("named", F.col("svc_name").isNotNull())
     packed = F.to_json(F.struct(*[(F.unix_micros(c) if c in times else F.col(c)).alias(c) for c in kinds]))
     told = told.select("ends_ms", F.coalesce(F.unix_micros("processing_time"), F.lit(0)).alias("bucket_us"), "cm_id", F.coalesce("partition_id", F.lit(0)).alias("partition_id"), "clock", "code", "over", "named", F.coalesce("first", F.lit(0)).alias("first"), *IDS, packed.alias("row"))
     marked = told.groupBy("ends_ms", "bucket_us", "cm_id", "partition_id").transformWithStateInPandas(Admission(limits), "clock timestamp, place int, blanked boolean, key1 long, row string", "Append", "EventTime", eventTimeColumnName="clock")
     ddl = ", ".join(f"{c} {'bigint' if c in times else k}" for c, k in kinds.items())
     out = marked.withColumn("r", F.from_json("row", ddl)).select("clock", "place", "blanked", "key1", "r.*")
-    return out.withColumns({c: F.timestamp_micros(c) for c in times} | {"span_name": F.when(F.col("blanked"), F.lit("")).otherwise(F.col("span_name"))}).drop("blanked")
+    out = out.withColumns({c: F.timestamp_micros(c) for c in times} | {"span_name": F.when(F.col("blanked"), F.lit("")).otherwise(F.col("span_name"))}).drop("blanked")
+    if PRESENCE not in Admitted(limits).free:
+        return out
+    passed = rows.filter(free | F.col("clock").isNull()).select("clock", F.lit(IN_GROUP).alias("place"), F.lit(None).cast("long").alias("key1"), *kinds)
+    return out.unionByName(passed)

@@ -2,15 +2,21 @@
 
 import random
 import time
+import weakref
+from dataclasses import replace
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from spanfold.config import AggConfig, Limits
 from spanfold.operators.rows import rows_of
+from spanfold.operators.limits import IN_GROUP
 from spanfold.plans.aggregator import aggregate_documents, events_to_partials
 from spanfold.streaming import windows
+from spanfold.streaming.admission import Admission
 from tests.test_aggregation import FREE, frame, span, txn
 
 AT = datetime(2024, 6, 1, tzinfo=timezone.utc)
@@ -146,3 +152,47 @@ def test_two_levels_equal_one_batch(spark, tmp_path):
     want = listed(documents(admit(merge(halves), limits, kind), [10], kind))
     got = windows.replayed(spark, config, AT + timedelta(seconds=19), partials=spark.read.parquet(f"{tmp_path}/level1"))
     assert listed(got) == want and len(want) > 40
+
+
+@pytest.mark.parametrize("given", [{"max_transaction_groups_per_service": 2}, {"max_span_groups": 5, "max_span_groups_per_service": 4}, {"max_service_transaction_groups": 2}])
+def test_what_no_limit_turns_away_passes_by(spark, given):
+    """Some metricsets with limits, others and services without."""
+    events = frame(spark, random_events(random.Random(7), 300))
+    config = AggConfig(replace(FREE, **given), intervals=(timedelta(seconds=10),), overflow_count_mode="exact")
+    want = listed(aggregate_documents(events, config))
+    assert listed(windows.stream_to_documents(spark, events.coalesce(1), config)) == want and any("_other" in r for r in want)
+
+
+class Remembered(dict):
+    """State and handle of a processor."""
+
+    getMapState = lambda self, *_: self
+    iterator = lambda self: iter(list(self.items()))
+    updateValue = dict.__setitem__
+    registerTimer = lambda self, at: None
+
+
+def test_admission_holds_keys_not_rows():
+    """Of a trigger's frames no more than a few are held at once; places go by the first arrival of all frames."""
+    alive, most = [], 0
+
+    def held():
+        return sum(f() is not None for f in alive)
+
+    def frames():
+        nonlocal most
+        for k in range(50):
+            n = np.arange(1000)
+            ids = {c: n % 7 for c in ("sid1", "sid2", "gid1", "gid2", "cgid1", "cgid2")}
+            yield (f := pd.DataFrame({"clock": pd.Timestamp(AT.replace(tzinfo=None)), "code": 1, "over": False, "named": True, "first": 100_000 - 1000 * k + n, **ids, "row": "x"}))
+            alive.append(weakref.ref(f))
+            most = max(most, held())
+            del f
+
+    admission, state = Admission(replace(FREE, max_transaction_groups=3)), Remembered()
+    admission.init(state)
+    rows = 0
+    for out in admission.handleInputRows((0, 0, "c", 0), frames(), None):
+        most, rows = max(most, held()), rows + len(out)
+        assert set(out["key1"][out["place"] == IN_GROUP]) == {0, 1, 2} and len(out) == 1000
+    assert rows == 50_000 and most <= 3 and {key[1] for key in state} == {0, 1, 2}
